@@ -1,9 +1,9 @@
 """The corpus queries by name, with their SQL twins."""
 
-from . import chat
+from . import bpe, chat, packing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (chat,):
+for _module in (bpe, packing, chat):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
