@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode
+from .bpe import encode, tokenizer
 from .common import durable, small_batches, table
 
 SEQUENCE = 2048
@@ -24,9 +24,51 @@ SEQUENCE = 2048
 MAX_PATTERNS, MAX_SLACK = 30_000, 24
 #: Parts in which the pieces of one length are numbered.
 RANK_PARTS = 256
-#: Words whose ids a Python worker remembers.
+#: Words, and parts of words, whose ids a Python worker remembers.
 _MEMORY = 250_000
-_remembered: dict[bytes, bytes] = {}
+_words: dict[bytes, bytes] = {}
+_parts: dict[bytes, bytes] = {b"": b""}
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ends: dict[str, np.ndarray] = {}
+
+
+def _plain_letters(text: str) -> bool:
+    """Only Latin letters, which the tokenizer keeps in one piece and normalises one by one."""
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
+def _split(word: bytes) -> tuple[bytes, bytes]:
+    """A word as (core, trailing punctuation), cut only where the tokenizer always cuts; ASCII letters in lower case."""
+    if b"<|" in word:  # may hold a special string
+        return word, b""
+    low = word.lower()
+    core = low.rstrip(_PUNCTUATION)
+    last = core[-2:].decode("utf-8", "ignore")[-1:]
+    if last.isalnum() and last < "\u0250" and last != "\u0130":  # that one gains a mark in lower case
+        return core, low[len(core) :]
+    return low, b""
+
+
+def _encode_parts(new: list[bytes], path: str) -> None:
+    """Remember the ids of parts: plain words in one text, cut again at the ids that end a word; others one by one."""
+    texts = {p: p.decode("utf-8", "replace") for p in new}
+    plain = [p for p in new if _plain_letters(texts[p])]
+    if plain:
+        if path not in _ends:
+            vocab = tokenizer(path).get_vocab(with_added_tokens=False)
+            ends = np.zeros(max(vocab.values()) + 1, bool)
+            ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+            _ends[path] = ends
+        ids = np.array(encode(path, [" ".join(texts[p] for p in plain)])[0], "<u4")
+        stops = (4 * (np.flatnonzero(_ends[path][ids]) + 1)).tolist()
+        raw, at = ids.tobytes(), 0
+        assert len(stops) == len(plain)
+        for p, stop in zip(plain, stops):
+            _parts[p] = raw[at:stop]
+            at = stop
+    other = [p for p in new if p not in _parts]
+    for p, ids in zip(other, encode(path, [texts[p] for p in other])):
+        _parts[p] = np.array(ids, "<u4").tobytes()
 
 
 def token_bytes(text: bytes | None, path: str) -> bytes:
@@ -36,17 +78,21 @@ def token_bytes(text: bytes | None, path: str) -> bytes:
     are encoded one by one and remembered.
     """
     own = (text or b"").split()
-    known = _remembered
     try:
-        return b"".join(map(known.__getitem__, own)) + b"\0\0\0\0"
+        return b"".join(map(_words.__getitem__, own)) + b"\0\0\0\0"
     except KeyError:
         pass
-    if len(known) > _MEMORY:
-        known.clear()
-    new = [w for w in dict.fromkeys(own) if w not in known]
-    for w, ids in zip(new, encode(path, [w.decode("utf-8", "replace") for w in new])):
-        known[w] = np.array(ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, own)) + b"\0\0\0\0"
+    if len(_words) > _MEMORY:
+        _words.clear()
+    if len(_parts) > _MEMORY:
+        _parts.clear()
+        _parts[b""] = b""
+    split = {w: _split(w) for w in set(own) if w not in _words}
+    if unknown := [p for p in {p for x in split.values() for p in x} if p not in _parts]:
+        _encode_parts(unknown, path)
+    for w, (core, tail) in split.items():
+        _words[w] = _parts[core] + _parts[tail]
+    return b"".join(map(_words.__getitem__, own)) + b"\0\0\0\0"
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:

@@ -1,9 +1,9 @@
 """The corpus queries by name, with their SQL twins."""
 
-from . import bpe, chat, packing
+from . import ann, bpe, chat, dedup, html, itq, langid, packing, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (bpe, packing, chat):
+for _module in (dedup, html, itq, langid, substrings, ann, bpe, packing, chat, quality):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
