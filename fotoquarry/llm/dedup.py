@@ -77,17 +77,19 @@ def _far(a: str, b: str) -> Column:
 def near_components(fps: DataFrame, most: int = 4) -> DataFrame:
     """(fp, root) of the distinct fingerprints that are linked to a smaller one; ``most`` is 4 at most."""
     spread = lambda df, *more: df.select("fp", *more, F.explode(_variants(F.col("fp"))).alias("key"))
-    distinct = durable(fps.select("fp").distinct())
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows that grow 64 times
+    distinct = durable(fps.select("fp").distinct().repartition(parts, "fp"))
     order = Window.partitionBy("key").orderBy("fp")
     met = spread(distinct).select("fp", F.lag("fp").over(order).alias("before"), F.first("fp").over(order).alias("first"))
     pairs = met.select("fp", F.explode(F.array("before", "first")).alias("other")).where((F.col("fp") != F.col("other")) & (_far("fp", "other") <= most))
     chained = durable(components(pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))))
     named = distinct.join(chained, distinct.fp == chained.node, "left").select("fp", F.coalesce("root", "fp").alias("comp"))
-    named = durable(named)
-    # Members of a bucket in different components; the left side leaves out the bucket's largest.
-    sizes = spread(named, "comp").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select(F.col("key").alias("k"), "top")
-    live = spread(named, "comp").join(mixed, F.col("key") == F.col("k")).select("key", "fp", "comp", "top")
+    named = durable(named.repartition(parts, "fp"))
+    # Members of buckets with several components; the left side leaves out a bucket's largest one.
+    bucket, own = Window.partitionBy("key"), Window.partitionBy("key", "comp")
+    live = spread(named, "comp").withColumn("all", F.count(F.lit(1)).over(bucket)).where("all > 1").withColumn("n", F.count(F.lit(1)).over(own))
+    live = live.where("n < all").withColumn("top", F.max(F.struct("n", "comp")).over(bucket)["comp"]).select("key", "fp", "comp", "top")
+    live = durable(live)
     left = live.where("comp <> top").select(F.col("key").alias("lk"), F.col("fp").alias("lf"), F.col("comp").alias("lc"))
     found = left.join(live, (F.col("lk") == F.col("key")) & (F.col("lc") != F.col("comp")) & ((F.col("comp") == F.col("top")) | (F.col("lf") < F.col("fp"))) & (_far("lf", "fp") <= most))
     bridges = components(found.select(F.col("lc").alias("a"), F.col("comp").alias("b")))
