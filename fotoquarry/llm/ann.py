@@ -58,7 +58,7 @@ def probes(x: np.ndarray) -> np.ndarray:
     return _number(low.astype(np.int64)[:, :, None, :] + _OFFSETS[best])
 
 
-def _hashed(rows: DataFrame, longest: float, query: bool) -> DataFrame:
+def _hashed(rows: DataFrame, longest: dict[int, float], query: bool) -> DataFrame:
     """(dim, t, bucket, id, vector), a row for each table and, for queries, each probe."""
 
     def run(batches):
@@ -66,7 +66,7 @@ def _hashed(rows: DataFrame, longest: float, query: bool) -> DataFrame:
 
         for batch in batches:
             for own, x in matrices(batch.column(1)):
-                found = probes(x) if query else buckets(x, longest)[:, :, None]
+                found = probes(x) if query else buckets(x, longest[x.shape[1]])[:, :, None]
                 places = [np.unique(found[t, r]) for t in range(TABLES) for r in range(len(own))]
                 many = [len(p) for p in places]
                 source = np.repeat(np.tile(own, TABLES), many)
@@ -98,7 +98,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     base = base.withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
     base = durable(base.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= k + 1).select("id", "vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    longest = base.agg(F.max(norm)).first()[0] or 1.0
+    longest = {r["dim"]: r["norm"] for r in base.groupBy(F.size("vector").alias("dim")).agg(F.max(norm).alias("norm")).collect()}  # a row a vector length
 
     place = ["dim", "t", "bucket"]
     data, asked = _hashed(base, longest, False), _hashed(queries, longest, True)

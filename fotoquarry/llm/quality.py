@@ -131,7 +131,7 @@ def _features(batch) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model from a bounded sample: ``LABELLED`` labelled rows and ``POOL`` others, by a hash of their ids."""
-    spark = docs.sparkSession
+    docs = docs.select(*_COLUMNS, "text")
     draw = lambda c, m: F.pmod(F.xxhash64(c, F.lit(m)), F.lit(1 << 40))
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     many = label.count()
@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             out = [t.astype(np.float32), m.astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in out)], ["doc_id", "y", "t", "m"])
 
-    got = sorted((r["doc_id"], np.nan if r["y"] is None else r["y"], bytes(r["t"]), bytes(r["m"])) for r in rows.mapInArrow(run, "doc_id long, y double, t binary, m binary").collect())
-    got.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
+    got = list((r["doc_id"], np.nan if r["y"] is None else r["y"], bytes(r["t"]), bytes(r["m"])) for r in rows.mapInArrow(run, "doc_id long, y double, t binary, m binary").collect())
+    got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r), r[2]))  # one order, however the rows came
     part = lambda k, n: np.frombuffer(b"".join(r[k] for r in got), np.float32).reshape(-1, n).astype(float)
     return co_train(part(2, 144), part(3, _SOURCES + 40), np.array([r[1] for r in got], float))
 
