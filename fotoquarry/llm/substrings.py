@@ -147,82 +147,79 @@ def _anchor_rows(batches):
 
 
 def _cut_texts(batches):
-    """The words around each wanted anchor."""
+    """The words around each wanted anchor, in its shard; of an anchor with very many texts, each window in a shard of its own."""
     import pyarrow as pa
 
     for batch in batches:
-        out: list = [[], [], [], [], []]
+        out: list = [[], [], [], [], [], []]
         for d, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):
             own = text.split()
             for w in wanted:
-                for col, v in zip(out, (w["a"], w["c"], d, w["many"], b" ".join(own[w["s"] : w["s"] + w["n"] + SPAN - 1]))):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["a", "c", "f", "many", "words"])
+                if w["many"] <= SHARD:
+                    cut = [(w["a"], 0, b" ".join(own[w["s"] : w["s"] + w["n"] + SPAN - 1]))]
+                else:
+                    lines = [b" ".join(own[i : i + SPAN]) for i in range(w["s"], w["s"] + w["n"])]
+                    cut = [(xxhash.xxh3_64_intdigest(x) - (1 << 63), i, x) for i, x in enumerate(lines)]
+                for shard, i, line in cut:
+                    for col, v in zip(out, (shard, w["a"], w["c"], d, i, line)):
+                        col.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["shard", "a", "c", "f", "i", "words"])
 
 
 def _match(batches):
-    """Streams the texts of each anchor, in doc_id order, through the automaton of those with smaller ids."""
+    """Streams the texts of each shard, in doc_id order, through the automaton of those with smaller ids."""
     import pyarrow as pa
 
-    anchor = doc = machine = None
+    shard = doc = machine = None
     waiting: list[list[bytes]] = []
     for batch in batches:
         out: list = [[], [], [], []]
-        for a, c, f, line in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if a != anchor:
-                anchor, doc, machine, waiting = a, f, Automaton(), []
+        for z, a, c, f, i, line in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if z != shard:
+                shard, doc, machine, waiting = z, f, Automaton(), []
             elif f != doc:
                 for own in waiting:
                     machine.add(own)
                 doc, waiting = f, []
             own = line.split(b" ")
             for start, many in _spans(machine.statistics(own)):
-                for col, v in zip(out, (a, c, start, many)):
+                for col, v in zip(out, (a, c, i + start, many)):
                     col.append(v)
             waiting.append(own)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "c", "i", "k"])
 
 
-def _windows(batches):
-    """Each window of a text as (a, c, f, i, two hashes)."""
-    import pyarrow as pa
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with row keys _d and _r and the text's bytes; _r is -1 without a text, -2 without an id."""
+    d, r = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0))
+    r = F.when(F.col("doc_id").isNull(), F.lit(-2)).when(F.col("text").isNull(), F.lit(-1)).otherwise(r)
+    return docs.withColumns({"_d": d, "_r": r, "_raw": F.coalesce(F.col("text").cast("binary"), F.lit(b""))})
 
-    for batch in batches:
-        out: list = [[], [], [], [], [], []]
-        for a, c, f, line in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            own = line.split(b" ")
-            for i in range(len(own) - SPAN + 1):
-                h = xxhash.xxh3_128_intdigest(b" ".join(own[i : i + SPAN]))
-                for col, v in zip(out, (a, c, f, i, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63))):
-                    col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["a", "c", "f", "i", "h", "g"])
 
+def with_spans(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, _d, _r and _raw of ``_keyed``, and _spans: (s, n) for windows s to s+n-1 that an earlier document has too; null where there are none.
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(d, r, s, n): windows s to s+n-1 of the row with id d and text hash r repeat an earlier document's."""
-    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("r"), F.col("text").cast("binary").alias("text"))
-    found = keyed.mapInArrow(_anchor_rows, "d long, r int, a long, c long, s int, n int").repartition("a")
+    The texts are dealt out by row once, for the cuts around anchors and for the result.
+    """
+    keyed = _keyed(docs)
+    found = keyed.where("_r >= 0").select(F.col("_d").alias("d"), F.col("_r").alias("r"), "_raw").mapInArrow(_anchor_rows, "d long, r int, a long, c long, s int, n int")
     shared = found.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("a")
     live = durable(found.join(shared.hint("shuffle_hash"), "a", "left_semi"))
 
     texts = live.groupBy("a", "c").agg(F.min("d").alias("f"))
-    many = texts.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
+    many = texts.groupBy("a").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     holder = live.join(texts, ["a", "c"])
     # One place of each distinct text, in its first document, where an anchor has several texts.
-    place = holder.where("d = f").groupBy("a", "c", "d").agg(F.min(F.struct("r", "s", "n")).alias("w")).join(many.where("many > 1"), "a")
-    wanted = place.groupBy("d", F.col("w.r").alias("r")).agg(F.collect_list(F.struct("a", "c", F.col("w.s").alias("s"), F.col("w.n").alias("n"), "many")).alias("wanted"))
-    rows = keyed.select("d", "r", "text").join(wanted, ["d", "r"]).select("d", "text", "wanted")
-    cut = durable(rows.mapInArrow(_cut_texts, "a long, c long, f long, many long, words binary").distinct())
-    few = cut.where(F.col("many") <= SHARD).repartition("a").sortWithinPartitions("a", "f", "c").select("a", "c", "f", "words").mapInArrow(_match, "a long, c long, i int, k int")
-    single = cut.where(F.col("many") > SHARD).select("a", "c", "f", "words").mapInArrow(_windows, "a long, c long, f long, i int, h long, g long")
-    first = single.groupBy("a", "h", "g").agg(F.min("f").alias("e"))
-    lone = single.join(first, ["a", "h", "g"]).where("e < f").select("a", "c", "i", F.lit(1).alias("k"))
-    inner = few.unionByName(lone)
+    place = holder.where("d = f").groupBy("a", "c", "d").agg(F.min(F.struct("r", "s", "n")).alias("w")).join(many, "a")
+    wanted = place.groupBy(F.col("d").alias("_d"), F.col("w.r").alias("_r")).agg(F.collect_list(F.struct("a", "c", F.col("w.s").alias("s"), F.col("w.n").alias("n"), "many")).alias("wanted"))
+    cut = keyed.join(wanted, ["_d", "_r"]).select("_d", "_raw", "wanted").mapInArrow(_cut_texts, "shard long, a long, c long, f long, i int, words binary")
+    inner = cut.repartition("shard").sortWithinPartitions("shard", "f", "a", "c").mapInArrow(_match, "a long, c long, i int, k int")
 
     whole = holder.where("d > f").select("d", "r", "s", "n")
     part = holder.where("d = f").join(inner, ["a", "c"]).select("d", "r", (F.col("s") + F.col("i")).alias("s"), F.col("k").alias("n"))
-    return whole.unionByName(part)
+    spans = whole.unionByName(part).groupBy(F.col("d").alias("_d"), F.col("r").alias("_r")).agg(F.collect_set(F.struct("s", "n")).alias("_spans"))
+    return keyed.join(spans, ["_d", "_r"], "left")
 
 
 def _keep(text: bytes, spans) -> tuple[int, list[bytes]]:
@@ -238,13 +235,6 @@ def _keep(text: bytes, spans) -> tuple[int, list[bytes]]:
     return len(own), [w for w, ok in zip(own, stays.tolist()) if ok]
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``, the repeated windows of each row; null where there are none."""
-    spans = repeated_spans(docs).groupBy("d", "r").agg(F.collect_set(F.struct("s", "n")).alias("_spans"))
-    on = (F.col("doc_id") == F.col("d")) & (F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") == F.col("r"))
-    return docs.join(spans, on, "left").drop("d", "r")
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row.
 
@@ -252,21 +242,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     and are no reference. Rows with the same doc_id are the same document and never repeat
     each other. Extra columns are dropped.
     """
-    base = docs.select("doc_id", "text")
-
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             n, gone, sha = [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                total, kept = _keep(text or b"", [(x["s"], x["n"]) for x in spans or ()])
+                total, kept = _keep(text, [(x["s"], x["n"]) for x in spans or ()])
                 n.append(total)
                 gone.append(total - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_spans(base).select("doc_id", F.col("text").cast("binary").alias("text"), "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    doc_id = F.when(F.col("_r") != -2, F.col("_d")).alias("doc_id")
+    return with_spans(docs.select("doc_id", "text")).select(doc_id, "_raw", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -278,9 +267,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     def shorten(text, spans):
         import pandas as pd
 
-        return pd.Series([t if s is None or t is None else b" ".join(_keep(t.encode(), [(x["s"], x["n"]) for x in s])[1]).decode() for t, s in zip(text, spans)], dtype=object)
+        return pd.Series([None if s is None else b" ".join(_keep(bytes(t), [(x["s"], x["n"]) for x in s])[1]).decode("utf-8", "replace") for t, s in zip(text, spans)], dtype=object)
 
-    out = spanned.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shorten("text", "_spans")))
+    out = spanned.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shorten("_raw", "_spans")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return out.select(*names)
