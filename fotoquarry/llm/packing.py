@@ -25,24 +25,31 @@ MAX_PATTERNS, MAX_SLACK = 30_000, 24
 #: Parts in which the pieces of one length are numbered.
 RANK_PARTS = 256
 #: Words, and parts of words, whose ids a Python worker remembers.
-_MEMORY = 250_000
+_MEMORY = 700_000
 _words: dict[bytes, bytes] = {}
 _parts: dict[bytes, bytes] = {b"": b""}
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ends: dict[str, np.ndarray] = {}
 
 
-def _plain_letters(text: str) -> bool:
+def _plain_letters(part: bytes) -> bool:
     """Only Latin letters, which the tokenizer keeps in one piece and normalises one by one."""
+    if part.isalpha():  # of ASCII
+        return True
+    text = part.decode("utf-8", "replace")
     return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
 def _split(word: bytes) -> tuple[bytes, bytes]:
     """A word as (core, trailing punctuation), cut only where the tokenizer always cuts; ASCII letters in lower case."""
+    low = word.lower()
+    if low.isalpha():
+        return low, b""
     if b"<|" in word:  # may hold a special string
         return word, b""
-    low = word.lower()
     core = low.rstrip(_PUNCTUATION)
+    if len(core) == len(low):
+        return low, b""
     last = core[-2:].decode("utf-8", "ignore")[-1:]
     if last.isalnum() and last < "\u0250" and last != "\u0130":  # that one gains a mark in lower case
         return core, low[len(core) :]
@@ -51,48 +58,44 @@ def _split(word: bytes) -> tuple[bytes, bytes]:
 
 def _encode_parts(new: list[bytes], path: str) -> None:
     """Remember the ids of parts: plain words in one text, cut again at the ids that end a word; others one by one."""
-    texts = {p: p.decode("utf-8", "replace") for p in new}
-    plain = [p for p in new if _plain_letters(texts[p])]
+    plain, other = [], []
+    for p in new:
+        (plain if _plain_letters(p) else other).append(p)
     if plain:
         if path not in _ends:
             vocab = tokenizer(path).get_vocab(with_added_tokens=False)
             ends = np.zeros(max(vocab.values()) + 1, bool)
             ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
             _ends[path] = ends
-        ids = np.array(encode(path, [" ".join(texts[p] for p in plain)])[0], "<u4")
+        ids = np.array(encode(path, [b" ".join(plain).decode()])[0], "<u4")
         stops = (4 * (np.flatnonzero(_ends[path][ids]) + 1)).tolist()
         raw, at = ids.tobytes(), 0
         assert len(stops) == len(plain)
         for p, stop in zip(plain, stops):
             _parts[p] = raw[at:stop]
             at = stop
-    other = [p for p in new if p not in _parts]
-    for p, ids in zip(other, encode(path, [texts[p] for p in other])):
+    for p, ids in zip(other, encode(path, [p.decode("utf-8", "replace") for p in other])):
         _parts[p] = np.array(ids, "<u4").tobytes()
 
 
-def token_bytes(text: bytes | None, path: str) -> bytes:
-    """A text's ids, each as four little-endian bytes, then id 0. Null is the empty text.
+def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
+    """Each text's ids, four little-endian bytes an id, then id 0. Null is the empty text.
 
     The tokenizer drops white space and never joins across it, so words at ASCII white space
     are encoded one by one and remembered.
     """
-    own = (text or b"").split()
-    try:
-        return b"".join(map(_words.__getitem__, own)) + b"\0\0\0\0"
-    except KeyError:
-        pass
     if len(_words) > _MEMORY:
         _words.clear()
     if len(_parts) > _MEMORY:
         _parts.clear()
         _parts[b""] = b""
-    split = {w: _split(w) for w in set(own) if w not in _words}
-    if unknown := [p for p in {p for x in split.values() for p in x} if p not in _parts]:
-        _encode_parts(unknown, path)
+    own = [(t or b"").split() for t in texts]
+    split = {w: _split(w) for w in set().union(*own).difference(_words)}
+    if unknown := {p for x in split.values() for p in x}.difference(_parts):
+        _encode_parts(list(unknown), path)
     for w, (core, tail) in split.items():
         _words[w] = _parts[core] + _parts[tail]
-    return b"".join(map(_words.__getitem__, own)) + b"\0\0\0\0"
+    return [b"".join(map(_words.__getitem__, x)) + b"\0\0\0\0" for x in own]
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
@@ -103,8 +106,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
 
         for batch in batches:
             out: list = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = token_bytes(text, path)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), path)):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     for c, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
