@@ -63,11 +63,10 @@ def _meets_first(x: Column) -> Column:
     """The number of the first variant on which codes that differ by ``x`` agree; null if there is none."""
     out = None
     for at, width in SEGMENTS:
-        mask = ((1 << width) - 1) << at
-        part = x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        part = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
         few = F.bit_count(part)
         case = F.when(few == 0, F.lit(at)) if out is None else out.when(few == 0, F.lit(at))
-        out = case.when(few == 1, F.bit_count(part - 1))
+        out = case.when(few == 1, F.bit_count(part - 1) + at)
     return out
 
 

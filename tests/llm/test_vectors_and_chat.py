@@ -57,6 +57,17 @@ def test_codes_are_balanced_and_keep_angles():
     assert np.bitwise_count(c ^ itq.codes(y, model).view(np.uint64)).mean() < 12
 
 
+def test_first_meeting_in_columns(spark):
+    xs = [0, 1, 1 << 63, (1 << 63) | (1 << 62) | 7, (1 << 64) - 1, 0b11 | 1 << 12, 0b11 | 0b11 << 11 | 1 << 43]
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in xs], "x long")
+    got = [r[0] for r in df.select(itq._meets_first(F.col("x"))).collect()]
+    want = []
+    for x in xs:
+        parts = [(at, (x >> at) & ((1 << w) - 1)) for at, w in itq.SEGMENTS]
+        want.append(next((at + max(0, p.bit_length() - 1) for at, p in parts if p.bit_count() <= 1), None))
+    assert got == want
+
+
 def test_first_meeting_is_unique():
     rng = np.random.default_rng(1)
     for _ in range(300):
