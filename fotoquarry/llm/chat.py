@@ -45,23 +45,24 @@ def best_paths(messages: DataFrame) -> DataFrame:
         jump.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti"
     )
     jumps, most = [], None
-    while any_row(jump.where("up IS NOT NULL")):
-        jumps.append(jump.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", "steps"))
+    while any_row(active := jump.where("up IS NOT NULL")):
+        jumps.append(active.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", "steps"))
         most = most or jump.count()
         if 2 ** len(jumps) > 2 * most:
             break
         over = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("t2"))
-        jump = durable(
-            jump.join(over, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")
-            )
+        # What has arrived at a root is not joined again.
+        further = active.join(over, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("t2")).alias("total")
         )
+        jump = durable(further.unionByName(jump.where("up IS NULL")).repartition("tree", "node"))
     ends = jump.where("up IS NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "steps", "total")
     ranked = leaves.join(ends, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     path = ranked.groupBy("tree").agg(F.max_by(F.struct("node", "steps"), F.struct("total", "steps", (-F.col("node")).alias("last"))).alias("b")).select("tree", "b.node", F.col("b.steps").alias("depth"))
+    path = durable(path)
     for j in reversed(jumps):
         up = path.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", F.col("up").alias("node"), (F.col("depth") - F.col("steps")).alias("depth"))
-        path = path.unionByName(up)
+        path = durable(path.unionByName(up).repartition("tree", "node"))  # else each round would double the plan
     return path
 
 
