@@ -17,10 +17,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, durable, small_batches, table
+from .common import components, durable, small_batches, table, written
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Min-hash bands and hashes a band: a pair of similarity 0.8 shares a band with a chance of 0.9999.
+BANDS, ROWS = 24, 5
+#: Members of a bucket, about, that are compared in one place; larger buckets are dealt out in pairs of blocks.
+BLOCK = 512
+_RNG = np.random.default_rng(42)
+_MUL = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -121,11 +128,119 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     Documents without an id stay, as nothing says which of them to keep. Rows that repeat the
     kept doc_id count as one document: one of them stays.
     """
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return _first_of_each(docs, near_duplicates(docs, **how))
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed long for each band of the min-hashes of a set; none for the empty set."""
+    if not len(hashes):
+        return []
+    x, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, (x[at : at + 2048] * _MUL + _ADD).min(1))
+    least = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(least[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, start) edges that join what Jaccard similarities of 0.8 or more connect; the sets have no repeats."""
+    sizes, m = np.array([len(s) for s in sets]), len(sets)
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(m), sizes), n > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((m, m), np.int64)
+    for at in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        x = np.zeros((m, 4096), np.float32)
+        x[owner[a:b], column[a:b] - at] = 1
+        common += (x @ x.T).astype(np.int64)
+    near = 5 * common >= 4 * (sizes[:, None] + sizes[None, :] - common)
+    out, left = [], np.ones(m, bool)
+    for start in range(m):
+        if left[start]:
+            left[start] = False
+            edge = near[start] & left
+            while edge.any():
+                left &= ~edge
+                out += [(k, start) for k in np.flatnonzero(edge).tolist()]
+                edge = near[edge].any(0) & left
+    return out
+
+
+def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every row over links of a Jaccard similarity of 0.8 or more.
+
+    Compared are the sets of ``width``-word shingles. Distinct sets meet where they share a
+    min-hash band, and every pair that meets is verified on the sets themselves. Texts without
+    a word are one set. Null ids are treated as in ``near_duplicates``.
+    """
+    import pyarrow as pa
+
+    def signed(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+            sid = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid), keys, batch.column(1)], ["doc_id", "sid", "keys", "text"])
+
+    def shingled(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["sid", "shingles"])
+
+    def verified(batches):
+        cell, own = None, {}
+
+        def edges():
+            ids = list(own)
+            found = linked([np.frombuffer(own[i], np.uint64) for i in ids]) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in found], pa.int64()), pa.array([ids[k] for _, k in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for *at, sid, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != cell:
+                    if own:
+                        yield edges()
+                    cell, own = at, {}
+                own[sid] = shingles
+        if own:
+            yield edges()
+
+    rows = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(signed, "doc_id long, sid long, keys array<long>, text binary"))
+    named = durable(rows.groupBy("sid").agg(F.min("doc_id").alias("first")))
+    bucket = Window.partitionBy("key")
+    spread = rows.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.explode("keys").alias("key"))
+    met = spread.select("key", "sid", F.count(F.lit(1)).over(bucket).alias("n"), F.bit_xor(F.xxhash64("sid")).over(bucket).alias("who")).where("n > 1")
+    met = durable(met)
+    # Bands with the same members are compared once.
+    once = met.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
+    live = met.join(once, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    live = live.withColumn("block", F.pmod("sid", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    live = durable(live.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid"))
+    texts = rows.select("sid", "text").join(live.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(shingled, "sid long, shingles binary")
+    cells = live.join(sets, "sid").select("key", "lo", "hi", "sid", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    roots = components(cells.mapInArrow(verified, "a long, b long"))
+    named = durable(named.join(roots, named.sid == roots.node, "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_set = named.join(least, "root").select(F.col("sid").alias("s"), "component_id")
+    return rows.select("doc_id", "sid").join(by_set, F.col("sid") == F.col("s")).select("doc_id", "component_id")
+
+
+def keep_first_similar(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``keep_first`` over the groups of ``similar_components``."""
+    return _first_of_each(docs, similar_components(docs, width))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))

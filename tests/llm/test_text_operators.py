@@ -288,3 +288,44 @@ def test_empty_tables(spark, rows):
     path, _ = tokenizers_of("word_bpe_49k.json")
     assert dedup.near_duplicates(none).count() == 0 and substrings.remove_repeats(none).count() == 0 and packing.pack(none, path).count() == 0
     assert bpe.encode_decode(none, tokenizers_of("byte_bpe_50k.json")[0]).count() == 0
+
+
+def brute_jaccard(texts, width=5):
+    """Rows by row: the smallest row reachable over shingle sets of similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        own = words_of((t or "").lower())
+        sets.append({tuple(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set())
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    comp = list(range(len(sets)))
+    for _ in sets:
+        new = [min(comp[j] for j in range(len(sets)) if alike(sets[i], sets[j])) for i in range(len(sets))]
+        if new == comp:
+            break
+        comp = new
+    return comp
+
+
+def test_near_dedup_stage_keeps_one_of_pairs_over_four_fifths(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts = []
+    for seed in range(60):
+        own = passage(1000 + seed, 400).split()
+        texts.append(" ".join(own))
+        # k words far apart change 5 k of 396 shingles: similarities of 0.97 down to 0.68.
+        for at in range(k := 1 + seed % 15):
+            own[10 + at * (380 // k)] = f"new{at}"
+        texts.append(" ".join(own))
+    texts += [None, "", "one", "One", texts[0] + " " + texts[0]]
+    df = table(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)] + [(None, texts[2], "en", "s", 0)])
+    want = brute_jaccard(texts)
+    kept = sorted({*want})
+    assert len(kept) < 95 and sum(a != b for a, b in zip(want[1:120:2], range(1, 120, 2))) > 30
+    for block in (dedup.BLOCK, 1):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        got = corpus_pipeline.near_dedup(spark, df, "")
+        assert got.columns == df.columns
+        assert sorted(r["doc_id"] for r in got.where("doc_id IS NOT NULL").collect()) == kept and got.where("doc_id IS NULL").count() == 1
+    old = [r["doc_id"] for r in dedup.keep_first(df, width=5).collect()]
+    assert len(old) > len(kept) + 1
