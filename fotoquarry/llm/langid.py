@@ -20,6 +20,9 @@ LANGUAGES, PER_LANGUAGE, LANDMARKS, MOST_ROWS = 64, 300, 128, 8192
 RIDGE, SHARPNESS = 1e-3, 4.0
 #: Score below which a text counts as no language that was learned.
 LEAST = 0.3
+#: Share of a language's usual evidence (its labelled texts but the least 5 %) that a text needs to be
+#: kept, and the n-grams below which a text is too short for that much.
+EVIDENCE, FEW = 0.45, 64
 #: Texts that are scored by one matrix product.
 _ROWS = 64
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -69,8 +72,12 @@ def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     return sorted((r["lang"], bytes(r["bits"])) for r in rows)
 
 
-def learn(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, landmark matrix, class weights): kernel ridge regression on the Nyström features."""
+def learn(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, landmark matrix, class weights, evidence weights, usual evidence): kernel ridge regression on the Nyström features.
+
+    Classes are told apart on targets of 1 and -1. Evidence has targets of 1 and 0: about 1 for a
+    text of the language, near 0 for what is like no landmark, however many languages there are.
+    """
     names = sorted({lang for lang, _ in rows})
     x = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
@@ -87,7 +94,9 @@ def learn(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.ndar
     w = (1.0 / np.array([len(by[lang]) for lang, _ in rows]))[:, None]
     w /= w.mean()
     fit = np.linalg.solve(z.T @ (w * z) + RIDGE * len(rows) * np.eye(z.shape[1]), z.T @ (w * y))
-    return names, np.ascontiguousarray(marks.T), whiten @ fit
+    seen = np.linalg.solve(z.T @ (w * z) + RIDGE * len(rows) * np.eye(z.shape[1]), z.T @ (w * (y + 1) / 2))
+    usual = np.array([np.quantile(z[by[n]] @ seen[:, c], 0.05) for c, n in enumerate(names)])
+    return names, np.ascontiguousarray(marks.T), whiten @ fit, whiten @ seen, usual
 
 
 def _predict(model, texts: list, letters: list) -> tuple[list[str], list[float]]:
@@ -95,7 +104,7 @@ def _predict(model, texts: list, letters: list) -> tuple[list[str], list[float]]
     live = [k for k, ok in enumerate(letters) if ok] if model else []
     for at in range(0, len(live), _ROWS):
         part = live[at : at + _ROWS]
-        names, marks, weights = model
+        names, marks, weights = model[:3]
         x = np.array([presence(texts[k]) for k in part], np.float32)
         f = ((x @ marks) / np.sqrt(x.sum(1, keepdims=True))) @ weights * SHARPNESS
         p = np.exp(f - f.max(1, keepdims=True))
@@ -105,6 +114,21 @@ def _predict(model, texts: list, letters: list) -> tuple[list[str], list[float]]
     return pred, score
 
 
+def _known(model, texts: list, letters: list, share: float) -> list[bool]:
+    """Whether a text has enough evidence of some language."""
+    ok = [False] * len(texts)
+    live = [k for k, a in enumerate(letters) if a]
+    _, marks, _, weights, usual = model
+    for at in range(0, len(live), _ROWS):
+        part = live[at : at + _ROWS]
+        x = np.array([presence(texts[k]) for k in part], np.float32)
+        n = x.sum(1, keepdims=True)
+        good = ((x @ marks) / np.sqrt(n)) @ weights >= share * usual * np.sqrt(np.minimum(1.0, n / FEW))
+        for k, own in zip(part, good.any(1).tolist()):
+            ok[k] = own
+    return ok
+
+
 def _model(train: DataFrame):
     rows = sample(train)
     return train.sparkSession.sparkContext.broadcast(learn(rows) if rows else None)
@@ -133,8 +157,8 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     )
 
 
-def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows whose language is identified with a score of at least ``least``; all columns stay.
+def keep_known(docs: DataFrame, share: float = EVIDENCE) -> DataFrame:
+    """The rows with evidence of a learned language, ``share`` of its usual one at least; all columns stay.
 
     Texts that are null or have no letter go. If nothing can be learned, all other rows stay.
     """
@@ -147,8 +171,7 @@ def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
             letters = batch.column(batch.num_columns - 1).to_pylist()
             ok = letters
             if model.value:
-                _, score = _predict(model.value, batch.column(batch.num_columns - 2).to_pylist(), letters)
-                ok = [a and s >= least for a, s in zip(letters, score)]
+                ok = _known(model.value, batch.column(batch.num_columns - 2).to_pylist(), letters, share)
             yield batch.select(range(batch.num_columns - 2)).filter(pa.array(ok, pa.bool_()))
 
     text = F.col("text")

@@ -290,6 +290,23 @@ def test_empty_tables(spark, rows):
     assert bpe.encode_decode(none, tokenizers_of("byte_bpe_50k.json")[0]).count() == 0
 
 
+@pytest.mark.parametrize("langs", [("de",), ("de", "en"), ("de", "en", "es", "fr")])
+def test_unlearned_languages_and_junk_go(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = docs.where(F.col("lang").isin(*langs))
+    rng = np.random.default_rng(3)
+    junk = ["".join(rng.choice(list("qwrtzpsdfghjklxcvbnmaeiou     "), n)) for n in (40, 200, 600)] + ["xqz " * 50, "Zażółć gęślą jaźń i wszystkie inne polskie słowa które są tutaj"]
+    junk += ["Это русский текст о погоде и природе, который никто не учил", "这是一个中文文本没有人学习过", "Tämä on suomenkielinen teksti jota kukaan ei ole opettanut mallille"]
+    odd = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = langid.keep_known(own.unionByName(odd.select(own.columns)))
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert not [junk[i - 10**6] for i in ids if i >= 10**6]
+    assert sum(r["doc_id"] in ids for r in own.collect()) >= 0.998 * own.count()
+    other = docs.where(~F.col("lang").isin(*langs)).withColumn("lang", F.lit(None).cast("string"))
+    stays = langid.keep_known(own.unionByName(other)).join(other.select("doc_id"), "doc_id", "left_semi").count()
+    assert len(langs) == 1 or stays <= 0.03 * other.count()
+
+
 def brute_jaccard(texts, width=5):
     """Rows by row: the smallest row reachable over shingle sets of similarity 0.8 or more."""
     sets = []
