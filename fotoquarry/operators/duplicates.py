@@ -75,6 +75,18 @@ def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), d.alias("distance"))
 
 
+def near_pairs_and_members(hashes: DataFrame, distance: int) -> DataFrame:
+    """(a, b, distance): ``near_pairs`` of the representatives, and (id, representative, 0) of every row with a hash that is not flat.
+
+    A representative is the smallest id of its hash and its own member, so every document is in a row
+    and a hot hash of n documents gives n rows.
+    """
+    own = hashes.where(F.col("h") != FLAT)
+    first = own.groupBy("h").agg(F.min("id").alias("b"))
+    members = own.join(first, "h").select(F.col("id").alias("a"), "b", F.lit(0).alias("distance"))
+    return near_pairs(hashes, distance).unionByName(members)
+
+
 def leader_groups(hashes: DataFrame, distance: int, rounds: int = 100) -> DataFrame:
     """(id, leader) of the groups of two or more.
 

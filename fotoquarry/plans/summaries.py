@@ -69,6 +69,12 @@ _SIMHASH = "WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_sp
 _H = "h AS (SELECT doc_id AS id, " + " + ".join(f"CASE WHEN sum(((x >> {k}) & 1) * 2 - 1) > 0 THEN CAST({1 << k} AS BIGINT) ELSE 0 END" for k in range(60)) + " AS h FROM x GROUP BY doc_id)"
 book.add("text_fingerprints", lambda c: D.text_fingerprint(c.base("documents")), f"{_SIMHASH} {_H} SELECT id, h FROM h")
 book.add("near_pairs", lambda c: D.near_pairs(D.text_fingerprint(c.base("documents")), 6).select("a", "b", F.col("distance").cast("long").alias("distance")), f"{_SIMHASH} {_H}, one AS (SELECT h, min(id) AS id FROM h WHERE h <> 0 GROUP BY h) SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.h, q.h)) AS BIGINT) AS distance FROM one p JOIN one q ON p.h < q.h AND bit_count(xor(p.h, q.h)) <= 6")
+book.add(
+    "near_pairs_and_members",
+    lambda c: D.near_pairs_and_members(D.text_fingerprint(c.base("documents")), 6).select("a", "b", F.col("distance").cast("long").alias("distance")),
+    f"""{_SIMHASH} {_H}, one AS (SELECT h, min(id) AS id FROM h WHERE h <> 0 GROUP BY h) SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.h, q.h)) AS BIGINT) AS distance FROM one p JOIN one q ON p.h < q.h AND bit_count(xor(p.h, q.h)) <= 6
+     UNION ALL SELECT h.id, one.id, CAST(0 AS BIGINT) FROM h JOIN one ON h.h = one.h""",
+)
 book.add("hamming_distances", lambda c: c.base("events").select("event_id", S.hamming(F.xxhash64(F.lit(1)).bitwiseAND(F.lit(0)) + F.col("event_id"), F.col("user_id")).cast("long").alias("d")), "SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS BIGINT) AS d FROM events")
 book.add("leader_groups", lambda c: D.leader_groups(D.text_fingerprint(c.base("documents")), 6))
 book.add(

@@ -240,3 +240,9 @@ def test_plans_stay_declarative(cat):
     assert "TakeOrderedAndProject" in plan
     plan = aggregates.timeline(cat.photos.where("rating >= 3"))._jdf.queryExecution().executedPlan().toString()
     assert "o_clerk" not in plan and "ReadSchema" in plan and "Python" not in plan
+
+
+def test_near_pairs_and_members_name_every_document(spark):
+    df = spark.createDataFrame([(5, 0b111), (3, 0b111), (9, 0b111), (4, 0b110), (7, 1 << 40), (8, 0), (6, None)], "id long, h long")
+    got = sorted(tuple(r) for r in duplicates.near_pairs_and_members(df, 1).collect())
+    assert got == [(3, 3, 0), (3, 4, 1), (4, 4, 0), (5, 3, 0), (7, 7, 0), (9, 3, 0)]
