@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,8 +15,9 @@ ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers must find this package too, where it was not installed or sent with the job.
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.sparkContext.master.startswith("local"):
+        # Workers on this machine find the package here; on a cluster it is installed or sent with the job.
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,11 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only
-    where neither that setting nor ``setCheckpointDir`` has named one (tests).
+    where neither that setting nor ``setCheckpointDir`` has named one and everything runs in
+    one process (tests). On a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fotoquarry-"))
     return sc.getCheckpointDir()
 
@@ -50,6 +55,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made and nothing needs any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def boxed(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """(docs with columns x0, x1, ..., the places of the needed columns, the places of all).
+
+    An operator that keeps its caller's columns works on these names, so that its own can
+    clash with none of them, whatever they are; ``toDF(*docs.columns)`` brings the names back.
+    """
+    places = [f"x{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*places), {n: places[docs.columns.index(n)] for n in needed}, places
+
+
 def any_row(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 

@@ -1,10 +1,16 @@
-"""Removal of long passages that an earlier document has too, by suffix automata.
-
-Every window of ``SPAN`` words belongs to one anchor, its winnowed 25-word run, so equal windows
-have equal anchors. Anchors of one document only are dropped. What is left falls into small
-reference shards, one per anchor: the distinct texts around it, in doc_id order. A task builds
-the suffix automaton of a shard while it streams the shard's texts through it, so each text is
-matched against all earlier ones, and matching statistics of at least ``SPAN`` give the spans.
+"""Removal of long passages that an earlier document has too, by suffix automata of reference shards.
+
+The reference is what documents share: the first occurrence of every window of ``SPAN`` words
+that more than one document may hold. It is cut into chunks of a document, and the chunks are
+dealt by hash to shards of about ``SHARD_WORDS`` words, one suffix automaton each. Every document
+streams its shared passages past the shards that hold their first occurrences; matching statistics
+of at least ``SPAN`` whose state first occurred in a smaller doc_id give the spans, and nothing
+else does. A shard that many documents stream past is copied, automaton and all, to as many tasks
+as its stream needs.
+
+Hashes only choose what meets: every window belongs to one anchor, its winnowed ``GRAM``-word run,
+so equal windows have equal anchors, and anchors of one document only are dropped. Texts around an
+anchor that differ are compared window by window for the document that has each window first.
 """
 
 from __future__ import annotations
@@ -16,13 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table
+from .common import boxed, durable, small_batches, table
 
-SPAN, GRAM = 50, 25
-#: Distinct texts around one anchor that one automaton takes; beyond, its windows are dealt out one by one.
-SHARD = 2000
+SPAN, GRAM = 50, 10
+#: Words of a reference shard, words that stream past one copy of it (both about), window starts of a chunk.
+SHARD_WORDS, STREAM_WORDS, CHUNK = 60_000, 1_500_000, 1024
+#: Bits of a gram's hash that make an anchor; with fewer more texts meet and the result is the same.
+ANCHOR_BITS = 64
 _BASE = 0x9E3779B97F4A7C13
 _powers: dict[str, np.ndarray] = {}
+_RUN = np.dtype([("c", "<i8"), ("s", "<i4"), ("n", "<i4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -44,7 +53,14 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def anchors(own: list[bytes]) -> tuple[np.ndarray, ...]:
+def _rolled(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the word hashes, each times a power of the base, and the powers that undo it."""
+    up, down = _powers_to(len(own) + 1)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(own)]))), down
+
+
+def anchors(own: list[bytes], bits: int = ANCHOR_BITS) -> tuple[np.ndarray, ...]:
     """(anchor, content, first window, windows) of each run of windows with the same anchor.
 
     ``content`` is a hash of all words that the run's windows cover, and of the anchor's place in it.
@@ -52,9 +68,7 @@ def anchors(own: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(own)
     if n < SPAN:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
-    up, down = _powers_to(n + 1)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n])))
+    sums, down = _rolled(own)
     grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     # The first smallest gram of each window, over spans of 1, 2, 4, ... grams.
     at, span, width = np.arange(len(grams)), 1, SPAN - GRAM + 1
@@ -67,38 +81,40 @@ def anchors(own: list[bytes]) -> tuple[np.ndarray, ...]:
     last = np.concatenate((first[1:], [len(at)])) - 1
     inner = (sums[last + SPAN] - sums[first]) * down[first]
     content = _mix(inner + np.uint64(0x2545F4914F6CDD1D) * (at[first] - first + 64 * (last - first)).astype(np.uint64))
-    return grams[at[first]].view(np.int64), content.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)
+    anchor = grams[at[first]] & np.uint64((1 << bits) - 1)
+    return anchor.view(np.int64), content.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)
 
 
 class Automaton:
-    """Suffix automaton of several word sequences."""
+    """Suffix automaton of word sequences that are added in the order of their documents; a state knows the first document that holds its words."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.first = [-1], [0], [-1]
 
-    def _state(self, length: int, link: int, moves: dict) -> int:
+    def _state(self, length: int, link: int, moves: dict, first: int) -> int:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
+        self.first.append(first)
         return len(self.link) - 1
 
     def _clone(self, p: int, word: bytes, q: int) -> int:
-        copy = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        copy = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), self.first[q])
         self.link[q] = copy
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = copy
             p = self.link[p]
         return copy
 
-    def add(self, sequence: list[bytes]) -> None:
+    def add(self, sequence: list[bytes], doc: int) -> None:
         last = 0
         for word in sequence:
             q = self.next[last].get(word)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._clone(last, word, q)
                 continue
-            new, p = self._state(self.length[last] + 1, 0, {}), last
+            new, p = self._state(self.length[last] + 1, 0, {}, doc), last
             while p >= 0 and word not in self.next[p]:
                 self.next[p][word] = new
                 p = self.link[p]
@@ -107,119 +123,190 @@ class Automaton:
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, word, q)
             last = new
 
-    def statistics(self, sequence: list[bytes]) -> list[int]:
-        """For each place, the length of the longest match that ends there."""
-        out, state, size = [], 0, 0
-        moves, link, length = self.next, self.link, self.length
-        for word in sequence:
+    def repeats(self, sequence: list[bytes], doc: int, span: int = SPAN) -> list[tuple[int, int]]:
+        """(first window, windows) of the maximal runs of places whose match is ``span`` words long or longer and stands in a document before ``doc``."""
+        out: list[list[int]] = []
+        moves, link, length, first = self.next, self.link, self.length, self.first
+        state = size = 0
+        for end, word in enumerate(sequence):
             while state and word not in moves[state]:
                 state = link[state]
                 size = length[state]
             state = moves[state].get(word, 0)
             size = size + 1 if state else 0
-            out.append(size)
-        return out
-
+            if size >= span:
+                # The state of the last ``span`` words: a longer match says nothing more.
+                while length[link[state]] >= span:
+                    state = link[state]
+                    size = length[state]
+                if first[state] < doc:
+                    start = end - span + 1
+                    if out and out[-1][0] + out[-1][1] == start:
+                        out[-1][1] += 1
+                    else:
+                        out.append([start, 1])
+        return [(a, b) for a, b in out]
+
+
+def _packed(values: np.ndarray, starts: np.ndarray):
+    """An Arrow binary column: the bytes of ``values`` from each start to the next."""
+    import pyarrow as pa
 
-def _spans(stats: list[int]) -> list[tuple[int, int]]:
-    """(first window, windows) of the maximal runs of places whose match is long enough."""
-    out: list[list[int]] = []
-    for end, size in enumerate(stats):
-        if size >= SPAN:
-            start = end - SPAN + 1
-            if out and out[-1][0] + out[-1][1] == start:
-                out[-1][1] += 1
-            else:
-                out.append([start, 1])
-    return [(a, b) for a, b in out]
+    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _anchor_rows(batches):
+def _anchor_rows(batches, bits: int):
+    """(d, r, a, runs): one row for each anchor of a document, however often it has it."""
     import pyarrow as pa
 
     for batch in batches:
         keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
-        found = [anchors(t.split()) for t in batch.column(2).to_pylist()]
+        found = [anchors(t.split(), bits) for t in batch.column(2).to_pylist()]
         many = np.array([len(x[0]) for x in found], int)
         if many.sum():
-            rows = [np.concatenate([x[k] for x in found]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, many)) for k in keys] + [pa.array(r) for r in rows], ["d", "r", "a", "c", "s", "n"])
+            a, c, s, n = (np.concatenate([x[k] for x in found]) for k in range(4))
+            doc = np.repeat(np.arange(len(found)), many)
+            order = np.lexsort((a, doc))
+            runs = np.zeros(len(a), _RUN)
+            runs["c"], runs["s"], runs["n"] = c[order], s[order], n[order]
+            a, doc = a[order], doc[order]
+            starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(k[doc[starts]]) for k in keys] + [pa.array(a[starts]), _packed(runs, starts)], ["d", "r", "a", "runs"])
+
+
+def _text_rows(batches):
+    """(d, r, a, c, s, n, at): one row for each text around an anchor in a document, with the windows where it starts."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        raw = batch.column(3).to_pylist()
+        runs = np.frombuffer(b"".join(raw), _RUN)
+        row = np.repeat(np.arange(len(raw)), [len(x) // _RUN.itemsize for x in raw])
+        order = np.lexsort((runs["s"], runs["c"], row))
+        runs, row = runs[order], row[order]
+        starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (runs["c"][1:] != runs["c"][:-1]))))
+        keys = [batch.column(k).take(pa.array(row[starts])) for k in range(3)]
+        own = [pa.array(np.ascontiguousarray(runs[f][starts])) for f in ("c", "s", "n")]
+        yield pa.RecordBatch.from_arrays([*keys, *own, _packed(np.ascontiguousarray(runs["s"]), starts)], ["d", "r", "a", "c", "s", "n", "at"])
+
+
+def _window_rows(batches):
+    """(a, w, c, i, d, r, s): the windows of each wanted text, by their hash."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out: list[list] = [[] for _ in range(7)]
+        for d, r, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            sums, down = _rolled(text.split())
+            for x in wanted:
+                at = np.arange(x["s"], x["s"] + x["n"])
+                w = _mix((sums[at + SPAN] - sums[at]) * down[at]).view(np.int64)
+                for col, v in zip(out, (np.full(len(at), x["a"]), w, np.full(len(at), x["c"]), at - x["s"], np.full(len(at), d), np.full(len(at), r), at)):
+                    col.append(v)
+        if out[0]:
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, kinds)], list("awcidrs"))
 
 
 def _cut_texts(batches):
-    """The words around each wanted anchor, in its shard; of an anchor with very many texts, each window in a shard of its own."""
+    """(shard, copy, kind, d, r, s, words) of the passages that each document gives to shards (kind 0) or streams past them (kind 1)."""
     import pyarrow as pa
 
     for batch in batches:
-        out: list = [[], [], [], [], [], []]
-        for d, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            own = text.split()
-            for w in wanted:
-                if w["many"] <= SHARD:
-                    cut = [(w["a"], 0, b" ".join(own[w["s"] : w["s"] + w["n"] + SPAN - 1]))]
-                else:
-                    lines = [b" ".join(own[i : i + SPAN]) for i in range(w["s"], w["s"] + w["n"])]
-                    cut = [(xxhash.xxh3_64_intdigest(x) - (1 << 63), i, x) for i, x in enumerate(lines)]
-                for shard, i, line in cut:
-                    for col, v in zip(out, (shard, w["a"], w["c"], d, i, line)):
+        out: list[list] = [[] for _ in range(7)]
+        for d, r, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            own, by = text.split(), {}
+            for x in wanted:
+                for at in np.frombuffer(x["at"], "<i4").tolist():
+                    by.setdefault((x["shard"], x["copy"], x["kind"]), []).append((at + x["lo"], at + x["hi"]))
+            for (shard, copy, kind), spans in by.items():
+                spans.sort()
+                merged = [list(spans[0])]
+                for lo, hi in spans[1:]:
+                    if lo <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], hi)
+                    else:
+                        merged.append([lo, hi])
+                for lo, hi in merged:
+                    for col, v in zip(out, (shard, copy, kind, d, r, lo, b" ".join(own[lo : hi + SPAN]))):
                         col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["shard", "a", "c", "f", "i", "words"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["shard", "copy", "kind", "d", "r", "s", "words"])
 
 
 def _match(batches):
-    """Streams the texts of each shard, in doc_id order, through the automaton of those with smaller ids."""
+    """(d, r, s, n): builds the automaton of each shard from its reference, which comes first, and streams the documents past it."""
     import pyarrow as pa
 
-    shard = doc = machine = None
-    waiting: list[list[bytes]] = []
+    place = machine = None
     for batch in batches:
-        out: list = [[], [], [], []]
-        for z, a, c, f, i, line in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            if z != shard:
-                shard, doc, machine, waiting = z, f, Automaton(), []
-            elif f != doc:
-                for own in waiting:
-                    machine.add(own)
-                doc, waiting = f, []
-            own = line.split(b" ")
-            for start, many in _spans(machine.statistics(own)):
-                for col, v in zip(out, (a, c, i + start, many)):
+        out: list[list] = [[], [], [], []]
+        for shard, copy, kind, d, r, s, words in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if (shard, copy) != place:
+                place, machine = (shard, copy), Automaton()
+            if kind == 0:
+                machine.add(words.split(b" "), d)
+                continue
+            for start, many in machine.repeats(words.split(b" "), d):
+                for col, v in zip(out, (d, r, s + start, many)):
                     col.append(v)
-            waiting.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "c", "i", "k"])
-
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["d", "r", "s", "n"])
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with row keys _d and _r and the text's bytes; _r is -1 without a text, -2 without an id."""
-    d, r = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0))
-    r = F.when(F.col("doc_id").isNull(), F.lit(-2)).when(F.col("text").isNull(), F.lit(-1)).otherwise(r)
-    return docs.withColumns({"_d": d, "_r": r, "_raw": F.coalesce(F.col("text").cast("binary"), F.lit(b""))})
 
+def repeated_windows(texts: DataFrame, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, anchor_bits: int = ANCHOR_BITS) -> DataFrame:
+    """(d, r, s, n): windows s to s+n-1 of document d that a document with a smaller d has too.
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, _d, _r and _raw of ``_keyed``, and _spans: (s, n) for windows s to s+n-1 that an earlier document has too; null where there are none.
-
-    The texts are dealt out by row once, for the cuts around anchors and for the result.
+    ``texts``: d (long), r (int) tells apart texts with the same d, raw (the text's bytes).
+    None of the other arguments changes the result.
     """
-    keyed = _keyed(docs)
-    found = keyed.where("_r >= 0").select(F.col("_d").alias("d"), F.col("_r").alias("r"), "_raw").mapInArrow(_anchor_rows, "d long, r int, a long, c long, s int, n int")
-    shared = found.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("a")
-    live = durable(found.join(shared.hint("shuffle_hash"), "a", "left_semi"))
-
-    texts = live.groupBy("a", "c").agg(F.min("d").alias("f"))
-    many = texts.groupBy("a").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    holder = live.join(texts, ["a", "c"])
-    # One place of each distinct text, in its first document, where an anchor has several texts.
-    place = holder.where("d = f").groupBy("a", "c", "d").agg(F.min(F.struct("r", "s", "n")).alias("w")).join(many, "a")
-    wanted = place.groupBy(F.col("d").alias("_d"), F.col("w.r").alias("_r")).agg(F.collect_list(F.struct("a", "c", F.col("w.s").alias("s"), F.col("w.n").alias("n"), "many")).alias("wanted"))
-    cut = keyed.join(wanted, ["_d", "_r"]).select("_d", "_raw", "wanted").mapInArrow(_cut_texts, "shard long, a long, c long, f long, i int, words binary")
-    inner = cut.repartition("shard").sortWithinPartitions("shard", "f", "a", "c").mapInArrow(_match, "a long, c long, i int, k int")
-
-    whole = holder.where("d > f").select("d", "r", "s", "n")
-    part = holder.where("d = f").join(inner, ["a", "c"]).select("d", "r", (F.col("s") + F.col("i")).alias("s"), F.col("k").alias("n"))
-    spans = whole.unionByName(part).groupBy(F.col("d").alias("_d"), F.col("r").alias("_r")).agg(F.collect_set(F.struct("s", "n")).alias("_spans"))
-    return keyed.join(spans, ["_d", "_r"], "left")
+    found = texts.select("d", "r", "raw").mapInArrow(lambda batches: _anchor_rows(batches, anchor_bits), "d long, r int, a long, runs binary")
+    shared = durable(found.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("a"))
+    live = durable(found.join(shared, "a", "left_semi").select("d", "r", "a", "runs").mapInArrow(_text_rows, "d long, r int, a long, c long, s int, n int, at binary"))
+
+    # The first document of each text around an anchor, and of each window where an anchor has several texts.
+    first = live.groupBy("a", "c").agg(F.min(F.struct("d", "r", "s", "n")).alias("f"), F.max("d").alias("last"))
+    kinds = first.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
+    first = durable(first.join(kinds, "a").select("a", "c", "f.*", "last", "kinds"))
+    wanted = first.where("kinds > 1").groupBy("d", "r").agg(F.collect_list(F.struct("a", "c", "s", "n")).alias("wanted"))
+    windows = durable(texts.select("d", "r", "raw").join(wanted, ["d", "r"]).select("d", "r", "raw", "wanted").mapInArrow(_window_rows, "a long, w long, c long, i int, d long, r int, s int"))
+    holder = windows.groupBy("a", "w").agg(F.min(F.struct("d", "r", "s")).alias("h"))
+    chunk = lambda s: F.floor(s / CHUNK).cast("int").alias("chunk")
+    split = windows.join(holder, ["a", "w"]).select("a", "c", "i", F.col("h.d").alias("hd"), F.col("h.r").alias("hr"), F.col("h.s").alias("hs")).withColumn("chunk", chunk(F.col("hs")))
+    split = split.groupBy("a", "c", "hd", "hr", "chunk").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("hs").alias("from"), F.max("hs").alias("to"))
+    split = split.join(first.where("kinds > 1").select("a", "c", "last"), ["a", "c"])
+    whole = first.where("kinds = 1").select("a", "c", F.col("d").alias("hd"), F.col("r").alias("hr"), chunk(F.col("s")), F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.col("s").alias("from"), (F.col("s") + F.col("n") - 1).alias("to"), "last")
+    # Where the windows of each text stand first; a text that only its first holder has needs no reference.
+    points = durable(split.unionByName(whole).where("last > hd").drop("last"))
+
+    reference = durable(points.groupBy("hd", "hr", "chunk").agg(F.min("from").alias("from"), F.max("to").alias("to")))
+    total = reference.agg(F.sum(F.col("to") - F.col("from") + SPAN).alias("n")).first()["n"] or 0
+    shards = max(1, -(-total // shard_words))
+    shard = F.pmod(F.xxhash64("hd", "hr", "chunk"), F.lit(shards)).alias("shard")
+    stream = live.select("d", "r", "a", "c", "at").join(points.select("a", "c", "hd", "lo", "hi", shard), ["a", "c"]).where("d > hd").select("d", "r", "shard", "at", "lo", "hi")
+    load = stream.groupBy("shard").agg(F.sum(F.length("at") / 4 * (F.col("hi") - F.col("lo") + SPAN)).alias("words"))
+    copies = durable(load.select("shard", F.ceil(F.col("words") / stream_words).cast("int").alias("copies")))
+    give = reference.select(F.col("hd").alias("d"), F.col("hr").alias("r"), shard, "from", "to").join(copies, "shard")
+    give = give.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("d", "r", F.struct("shard", "copy", F.lit(0).alias("kind"), F.unhex(F.lit("00000000")).alias("at"), F.col("from").alias("lo"), F.col("to").alias("hi")).alias("x"))
+    take = stream.join(copies, "shard").select("d", "r", F.struct("shard", F.pmod(F.xxhash64("d", "r"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "at", "lo", "hi").alias("x"))
+    wanted = give.unionByName(take).groupBy("d", "r").agg(F.collect_list("x").alias("wanted"))
+    cut = texts.select("d", "r", "raw").join(wanted, ["d", "r"]).select("d", "r", "raw", "wanted").mapInArrow(_cut_texts, "shard long, copy int, kind int, d long, r int, s int, words binary")
+    return cut.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "d").mapInArrow(_match, "d long, r int, s int, n int")
+
+
+def _row_keys(doc_id: str, text: str) -> list:
+    """d, r and raw of a row: r tells apart texts with the same id; -1 without a text, -2 without an id."""
+    r = F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0))
+    r = F.when(F.col(doc_id).isNull(), F.lit(-2)).when(F.col(text).isNull(), F.lit(-1)).otherwise(r)
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("d"), r.alias("r"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")]
+
+
+def _with_spans(keyed: DataFrame, **how) -> DataFrame:
+    """``keyed`` (d, r, raw and others) with spans, null where there are none."""
+    spans = repeated_windows(keyed.where("r >= 0"), **how).groupBy("d", "r").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    return keyed.join(spans, ["d", "r"], "left")
 
 
 def _keep(text: bytes, spans) -> tuple[int, list[bytes]]:
@@ -235,13 +322,15 @@ def _keep(text: bytes, spans) -> tuple[int, list[bytes]]:
     return len(own), [w for w, ok in zip(own, stays.tolist()) if ok]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row.
 
     Null, empty and white-space texts have no words. Rows with a null doc_id keep all words
     and are no reference. Rows with the same doc_id are the same document and never repeat
-    each other. Extra columns are dropped.
+    each other; repeated rows give a row each. An empty table gives no rows. Extra columns
+    are dropped. Texts of any length are read whole.
     """
+
     def run(batches):
         import pyarrow as pa
 
@@ -254,14 +343,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    doc_id = F.when(F.col("_r") != -2, F.col("_d")).alias("doc_id")
-    return with_spans(docs.select("doc_id", "text")).select(doc_id, "_raw", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spanned = _with_spans(docs.select(*_row_keys("doc_id", "text")), **how)
+    return spanned.select(F.when(F.col("r") != -2, F.col("d")).alias("doc_id"), "raw", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept words of each text, joined by one space, where anything was removed; n_chars follows."""
+    """``docs`` with the kept words of each text, joined by one space, where anything was removed; n_chars follows.
+
+    All rows and columns stay, whatever the columns are called. Null and empty texts, rows
+    with a null doc_id and texts without a repeated passage stay as they are; see
+    ``remove_repeats`` for repeated ids.
+    """
     names = docs.columns
-    spanned = with_spans(docs)
+    inner, at, places = boxed(docs, "doc_id", "text", *(["n_chars"] if "n_chars" in names else []))
+    spanned = _with_spans(inner.select(*places, *_row_keys(at["doc_id"], at["text"])))
 
     @F.pandas_udf("string")
     def shorten(text, spans):
@@ -269,17 +364,18 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([None if s is None else b" ".join(_keep(bytes(t), [(x["s"], x["n"]) for x in s])[1]).decode("utf-8", "replace") for t, s in zip(text, spans)], dtype=object)
 
-    out = spanned.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shorten("_raw", "_spans")))
+    cut = F.col("spans").isNotNull()
+    out = spanned.withColumn("short", shorten("raw", "spans"))
+    new = {at["text"]: F.when(cut, F.col("short")).otherwise(F.col(at["text"]))}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*names)
+        new[at["n_chars"]] = F.when(cut, F.length("short")).otherwise(F.col(at["n_chars"])).cast(docs.schema[names.index("n_chars")].dataType)
+    return out.select(*[new.get(p, F.col(p)).alias(p) for p in places]).toDF(*names)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return remove_repeats(table(spark, sf_dir, "documents"))
 
-
 _ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),

@@ -116,10 +116,10 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("shard", [2000, 1])
-def test_repeats_equal_brute_force(spark, rows, shard, monkeypatch):
-    monkeypatch.setattr(substrings, "SHARD", shard)
-    got = sorted((tuple(r) for r in substrings.remove_repeats(table(spark, rows)).collect()), key=str)
+@pytest.mark.parametrize("how", [{}, {"shard_words": 100, "stream_words": 60}, {"anchor_bits": 2}, {"anchor_bits": 0, "shard_words": 300, "stream_words": 500}])
+def test_repeats_equal_brute_force(spark, rows, how):
+    """Small shards, many copies of one, and anchors that all collide change nothing."""
+    got = sorted((tuple(r) for r in substrings.remove_repeats(table(spark, rows), **how).collect()), key=str)
     want = sorted(((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute_removed(rows)), key=str)
     assert got == want
 
@@ -135,12 +135,32 @@ def test_cut_texts_keep_columns(spark, rows):
 def test_automaton_statistics():
     m = substrings.Automaton()
     rng = np.random.default_rng(0)
-    refs = [[b"abc"[k : k + 1] for k in rng.integers(0, 3, 40)] for _ in range(4)]
-    for r in refs:
-        m.add(r)
-    q = [b"abcd"[k : k + 1] for k in rng.integers(0, 4, 60)]
-    subs = {tuple(r[i:j]) for r in refs for i in range(40) for j in range(i + 1, 41)}
-    assert m.statistics(q) == [max([n for n in range(1, e + 2) if tuple(q[e + 1 - n : e + 1]) in subs], default=0) for e in range(len(q))]
+    refs = [[b"abc"[k : k + 1] for k in rng.integers(0, 3, 40)] for _ in range(5)]
+    for d, r in enumerate(refs):
+        m.add(r, d)
+    for span in (2, 4, 6):
+        for doc in range(6):
+            for q in ([b"abcd"[k : k + 1] for k in rng.integers(0, 4, 60)], refs[doc % 5], refs[0] + refs[3]):
+                windows = {tuple(r[i : i + span]) for r in refs[:doc] for i in range(41 - span)}
+                want = [k for k in range(len(q) - span + 1) if tuple(q[k : k + span]) in windows]
+                assert [s + k for s, n in m.repeats(q, doc, span) for k in range(n)] == want
+
+
+def test_repeats_of_a_hot_passage(spark):
+    """One passage in most documents, in contexts of their own, near copies of one another among them."""
+    rng, hot = np.random.default_rng(7), passage(9, 70)
+    texts = [f"{passage(100 + k, 30)} {hot} {passage(200 + k, 30)}" for k in range(60)]
+    base = passage(10, 150).split()
+    for k in range(60):
+        own = list(base)
+        for at in rng.integers(0, 150, 2):
+            own[at] = f"edit{k}"
+        texts.append(" ".join(own))
+    texts += [(hot + " ") * 5, hot + " " + " ".join(base)]
+    data = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    for how in ({}, {"shard_words": 200, "stream_words": 900}):
+        got = sorted(tuple(r) for r in substrings.remove_repeats(table(spark, data), **how).collect())
+        assert got == sorted((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute_removed(data))
 
 
 def tokenizers_of(name):
