@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now; it does so when nothing refers to them after a collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def boxed(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str], list[str]]:
     """(docs with columns x0, x1, ..., the places of the needed columns, the places of all).
 

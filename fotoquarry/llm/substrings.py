@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, durable, small_batches, table
+from .common import boxed, discard, durable, release, small_batches, table, written
 
-SPAN, GRAM = 50, 10
+SPAN, GRAM = 50, 25
 #: Words of a reference shard, words that stream past one copy of it (both about), window starts of a chunk.
 SHARD_WORDS, STREAM_WORDS, CHUNK = 60_000, 1_500_000, 1024
 #: Bits of a gram's hash that make an anchor; with fewer more texts meet and the result is the same.
@@ -266,12 +266,14 @@ def repeated_windows(texts: DataFrame, shard_words: int = SHARD_WORDS, stream_wo
     shared = durable(found.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("a"))
     live = durable(found.join(shared, "a", "left_semi").select("d", "r", "a", "runs").mapInArrow(_text_rows, "d long, r int, a long, c long, s int, n int, at binary"))
 
+    release(texts.sparkSession)
+
     # The first document of each text around an anchor, and of each window where an anchor has several texts.
     first = live.groupBy("a", "c").agg(F.min(F.struct("d", "r", "s", "n")).alias("f"), F.max("d").alias("last"))
     kinds = first.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
     first = durable(first.join(kinds, "a").select("a", "c", "f.*", "last", "kinds"))
     wanted = first.where("kinds > 1").groupBy("d", "r").agg(F.collect_list(F.struct("a", "c", "s", "n")).alias("wanted"))
-    windows = durable(texts.select("d", "r", "raw").join(wanted, ["d", "r"]).select("d", "r", "raw", "wanted").mapInArrow(_window_rows, "a long, w long, c long, i int, d long, r int, s int"))
+    windows = written(texts.select("d", "r", "raw").join(wanted, ["d", "r"]).select("d", "r", "raw", "wanted").mapInArrow(_window_rows, "a long, w long, c long, i int, d long, r int, s int"))
     holder = windows.groupBy("a", "w").agg(F.min(F.struct("d", "r", "s")).alias("h"))
     chunk = lambda s: F.floor(s / CHUNK).cast("int").alias("chunk")
     split = windows.join(holder, ["a", "w"]).select("a", "c", "i", F.col("h.d").alias("hd"), F.col("h.r").alias("hr"), F.col("h.s").alias("hs")).withColumn("chunk", chunk(F.col("hs")))
@@ -280,6 +282,8 @@ def repeated_windows(texts: DataFrame, shard_words: int = SHARD_WORDS, stream_wo
     whole = first.where("kinds = 1").select("a", "c", F.col("d").alias("hd"), F.col("r").alias("hr"), chunk(F.col("s")), F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.col("s").alias("from"), (F.col("s") + F.col("n") - 1).alias("to"), "last")
     # Where the windows of each text stand first; a text that only its first holder has needs no reference.
     points = durable(split.unionByName(whole).where("last > hd").drop("last"))
+    discard(windows)
+    release(texts.sparkSession)
 
     reference = durable(points.groupBy("hd", "hr", "chunk").agg(F.min("from").alias("from"), F.max("to").alias("to")))
     total = reference.agg(F.sum(F.col("to") - F.col("from") + SPAN).alias("n")).first()["n"] or 0
