@@ -259,10 +259,10 @@ def _match(batches):
 def repeated_windows(texts: DataFrame, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, anchor_bits: int = ANCHOR_BITS) -> DataFrame:
     """(d, r, s, n): windows s to s+n-1 of document d that a document with a smaller d has too.
 
-    ``texts``: d (long), r (int) tells apart texts with the same d, raw (the text's bytes).
-    None of the other arguments changes the result.
+    ``texts``: d (long), r (int) tells apart texts with the same d, raw (the text's bytes);
+    rows with a negative r take no part. None of the other arguments changes the result.
     """
-    found = texts.select("d", "r", "raw").mapInArrow(lambda batches: _anchor_rows(batches, anchor_bits), "d long, r int, a long, runs binary")
+    found = texts.where("r >= 0").select("d", "r", "raw").mapInArrow(lambda batches: _anchor_rows(batches, anchor_bits), "d long, r int, a long, runs binary")
     shared = durable(found.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("a"))
     live = durable(found.join(shared, "a", "left_semi").select("d", "r", "a", "runs").mapInArrow(_text_rows, "d long, r int, a long, c long, s int, n int, at binary"))
 
@@ -270,16 +270,17 @@ def repeated_windows(texts: DataFrame, shard_words: int = SHARD_WORDS, stream_wo
 
     # The first document of each text around an anchor, and of each window where an anchor has several texts.
     first = live.groupBy("a", "c").agg(F.min(F.struct("d", "r", "s", "n")).alias("f"), F.max("d").alias("last"))
-    kinds = first.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
-    first = durable(first.join(kinds, "a").select("a", "c", "f.*", "last", "kinds"))
-    wanted = first.where("kinds > 1").groupBy("d", "r").agg(F.collect_list(F.struct("a", "c", "s", "n")).alias("wanted"))
+    first = durable(first.select("a", "c", "f.*", "last"))
+    mixed = durable(first.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a"))
+    several, single = first.join(mixed, "a", "left_semi"), first.join(mixed, "a", "left_anti")
+    wanted = several.groupBy("d", "r").agg(F.collect_list(F.struct("a", "c", "s", "n")).alias("wanted"))
     windows = written(texts.select("d", "r", "raw").join(wanted, ["d", "r"]).select("d", "r", "raw", "wanted").mapInArrow(_window_rows, "a long, w long, c long, i int, d long, r int, s int"))
     holder = windows.groupBy("a", "w").agg(F.min(F.struct("d", "r", "s")).alias("h"))
     chunk = lambda s: F.floor(s / CHUNK).cast("int").alias("chunk")
     split = windows.join(holder, ["a", "w"]).select("a", "c", "i", F.col("h.d").alias("hd"), F.col("h.r").alias("hr"), F.col("h.s").alias("hs")).withColumn("chunk", chunk(F.col("hs")))
     split = split.groupBy("a", "c", "hd", "hr", "chunk").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("hs").alias("from"), F.max("hs").alias("to"))
-    split = split.join(first.where("kinds > 1").select("a", "c", "last"), ["a", "c"])
-    whole = first.where("kinds = 1").select("a", "c", F.col("d").alias("hd"), F.col("r").alias("hr"), chunk(F.col("s")), F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.col("s").alias("from"), (F.col("s") + F.col("n") - 1).alias("to"), "last")
+    split = split.join(several.select("a", "c", "last"), ["a", "c"])
+    whole = single.select("a", "c", F.col("d").alias("hd"), F.col("r").alias("hr"), chunk(F.col("s")), F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.col("s").alias("from"), (F.col("s") + F.col("n") - 1).alias("to"), "last")
     # Where the windows of each text stand first; a text that only its first holder has needs no reference.
     points = durable(split.unionByName(whole).where("last > hd").drop("last"))
     discard(windows)
@@ -309,7 +310,7 @@ def _row_keys(doc_id: str, text: str) -> list:
 
 def _with_spans(keyed: DataFrame, **how) -> DataFrame:
     """``keyed`` (d, r, raw and others) with spans, null where there are none."""
-    spans = repeated_windows(keyed.where("r >= 0"), **how).groupBy("d", "r").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    spans = repeated_windows(keyed, **how).groupBy("d", "r").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
     return keyed.join(spans, ["d", "r"], "left")
 
 
