@@ -298,10 +298,101 @@ def test_main_text_of_pages(spark):
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).orderBy("page_id").collect()] == [(k, t, len(t)) for k, t in enumerate(PAGES.values())]
 
 
-def test_decision_tree_learns_its_table():
+def test_decision_tree_learns_its_table_from_neighbours():
     x, y = html.LABELLED[:, :-1], html.LABELLED[:, -1]
     assert np.mean([(html.judge(html.trained(), r) >= 0.5) == (v == 1) for r, v in zip(x, y)]) >= 0.95
 
+    def columns(tree):
+        return {html.COLUMNS[tree[0]], *columns(tree[2]), *columns(tree[3])} if isinstance(tree, tuple) else set()
+
+    assert {"words", "links", "words_before", "words_after", "links_after"} <= columns(html.trained())
+    # Words and links outvote a name both ways.
+    prose = "<p>" + "word " * 50 + "</p>"
+    assert html.main_text(f"<div class='related-box'>{prose * 3}</div>").count("word") == 150
+    assert html.main_text("<div id='content'><ul>" + "<li><a href='x'>One link</a></li>" * 6 + "</ul></div>") == ""
+    assert html.main_text(f"<nav>{prose * 3}</nav><div class='comments'>{prose * 3}</div><aside>{prose * 2}</aside>") == ""
+    for page in ("<main><div class='social-history'><p>Short.</p></div></main>", "<form><div class='layout with-sidebar'><article>Short.</article></div></form>", "<div class='overflow-hidden rounded'><article>Short.</article></div>", "<div class='related-content article'><p>Short.</p></div>"):
+        assert html.main_text(page) == "Short.", page
+
+
+def random_page(rng):
+    """A page of known main text, and that text block by block."""
+    words = lambda lo, hi: " ".join(WORDS[k] for k in rng.integers(0, len(WORDS), rng.integers(lo, hi)))
+    links = lambda n: "".join(f"<li><a href='/{k}'>{words(1, 3)}</a></li>" for k in range(n))
+    main = [words(15, 90) for _ in range(rng.integers(2, 8))]
+    title = words(3, 9)
+    body = "".join(f"<p>{t}</p>" for t in main)
+    head = f"<html><head><title>{title}</title><script>if (a < b) x('<p>');</script></head><body><nav><ul>{links(6)}</ul></nav><div class='ad-slot'>{words(5, 12)}</div>"
+    foot = f"<div class='comment-list'><p>{words(10, 50)}</p><p>{words(10, 50)}</p></div><div class='sidebar'><ul>{links(5)}</ul></div><footer>&copy; {words(3, 8)}</footer></body></html>"
+    kind = rng.integers(0, 4)
+    if kind == 0:
+        return f"{head}<article><h1>{title}</h1>{body}<ul>{links(3)}</ul></article>{foot}", None, main
+    if kind == 1:
+        return f"{head}<div id='main-content'><h1>{title}</h1>{body}</div>{foot}", [title, *main], main
+    if kind == 2:
+        return f"{head}<div><h1>{title}</h1>{body}</div><div><ul>{links(7)}</ul></div>{foot}", [title, *main], main
+    return f"{head}<table><tr><td><ul>{links(5)}</ul><td>{body}</table>{foot}", main, main
+
+
+def test_extraction_of_generated_pages():
+    """Against the text that the pages were made from: all of the article, and next to nothing else."""
+    rng = np.random.default_rng(4)
+    kept = said = right = 0
+    for _ in range(200):
+        page, want, main = random_page(rng)
+        got = html.main_text(page).split("\n")
+        assert want is None or sum(g in want for g in got) >= len(want) - 1
+        kept, right, said = kept + sum(len(g.split()) for g in got), right + sum(len(g.split()) for g in got if g in main), said + sum(len(m.split()) for m in main)
+    assert right / said >= 0.98 and right / kept >= 0.9
+
+
+def test_text_blocks_equal_a_plain_walker():
+    """The blocks of well-formed pages against a second implementation on the standard parser."""
+    import html.parser
+
+    class Walker(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.skip = [], "", 0
+
+        def cut(self):
+            if self.now.split():
+                self.out.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "title")
+            if tag not in ("a", "b"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "title")
+            if tag not in ("a", "b"):
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.now += data
+
+    from fotoquarry.llm.html import blocks
+
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        page = random_page(rng)[0]
+        w = Walker()
+        w.feed(page)
+        w.cut()
+        assert [b[0] for b in blocks(page)] == w.out
+
+
+@pytest.mark.parametrize("part", ["<a href=", '<a "', "<div><p>x", "<!--", "<script>", "<![CDATA[", "<a '\">", "<", "<ul><li>", "</p>", "<a \"<b>' "])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    start = time.monotonic()
+    html.main_text(part * (1_000_000 // len(part)))
+    assert time.monotonic() - start < 6
+
 
 def test_empty_tables(spark, rows):
     none = table(spark, rows).limit(0)
