@@ -256,6 +256,50 @@ def test_language_is_found(spark, sf_dir):
     assert langid.identify(odd.where("lang IS NULL")).where("lang_pred <> 'und'").count() == 0 and langid.identify(docs.limit(0)).count() == 0
 
 
+def test_kernel_equals_counting():
+    texts = ["the cat sat on the mat", "THE dog; sat", "x", "ñandú y más", "\t\n 1 2"]
+
+    def brute(t):
+        raw = (" " + re.sub("[^a-z\x80-\uffff]+", " ", t.lower()).strip() + " ").replace("  ", " ").encode()
+        return {raw[i : i + n] for n in range(1, 5) for i in range(len(raw) - n + 1)}
+
+    own = [langid.grams(t.encode()) for t in texts]
+    sets = [brute(t) for t in texts]
+    assert [len(g) for g in own][:4] == [len(x) for x in sets][:4]
+    want = [[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets[:4]] for a in sets[:4]]
+    assert np.abs(langid.kernel(own[:4], own[:4]) - want).max() < 1e-6
+
+
+def test_landmarks_against_the_dense_kernel(spark):
+    """Predictions against kernel ridge regression on all learned texts, without landmarks and folded weights."""
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND length(text) > 20").orderBy("doc_id").limit(400).collect()]
+    learned, asked = docs[:200], docs[200:]
+    model = langid.learn(sorted((r["lang"], langid.grams(r["text"].encode()).tobytes()) for r in learned))
+    a, b = ([langid.grams(r["text"].encode()) for r in part] for part in (learned, asked))
+    y = np.array([[1.0 if r["lang"] == n else -1.0 for n in model["names"]] for r in learned])
+    w = np.array([1 / sum(r["lang"] == q["lang"] for q in learned) for r in learned])
+    dense = np.linalg.solve(langid.kernel(a, a) + langid.RIDGE * len(a) * np.diag(w.mean() / w), y)
+    want = [model["names"][k] for k in (langid.kernel(b, a) @ dense).argmax(1)]
+    got, _ = langid._predict(model, [r["text"].encode() for r in asked], [True] * len(asked))
+    assert np.mean([g == w for g, w in zip(got, want)]) >= 0.98
+
+
+def test_many_languages_are_all_learned(spark):
+    """More languages than landmarks of old, in rows of very different number: none is left out."""
+    rng = np.random.default_rng(6)
+    data, k = [], 0
+    for lang in range(90):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(12)]
+        for _ in range(60 if lang == 0 else 8):
+            data.append((k, " ".join("".join(rng.choice(syllables, 2)) for _ in range(25)), f"l{lang:02}"))
+            k += 1
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    rows_ = langid.sample(df, most=400)
+    assert {lang for lang, _ in rows_} == {x[2] for x in data} and len(rows_) <= 400
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).where("held_out").collect()}
+    assert len({data[i][2] for i in got}) > 64 and np.mean([got[i] == data[i][2] for i in got]) >= 0.98
+
+
 def test_quality_is_found(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", None, "s", -5)], docs.schema)
@@ -271,15 +315,58 @@ def test_quality_is_found(spark, sf_dir):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
-def test_co_training_uses_both_views():
+def array_pool(text, meta):
+    """The unlabelled rows as arrays: the surest by rank, as ``quality.train`` picks them from a table."""
+
+    def surest(model, per_class, taken):
+        out = []
+        for v, p in enumerate(quality.view_probabilities(model, text, meta)):
+            pick = [(c, k) for c, n in per_class.items() for k in [k for k in np.argsort(-p if c else p, kind="stable").tolist() if k not in taken[v]][:n]]
+            ks = [k for _, k in pick]
+            out.append((text[ks], meta[ks], np.array([float(c) for c, _ in pick]), p[ks], ks))
+        return out
+
+    return surest
+
+
+def test_co_training_exchanges_labels_that_help():
+    """Few labels, one strong and one weak view: what the strong one hands over teaches the weak one; a view that knows nothing hands over nothing that weighs."""
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 600).astype(float)
-    text, meta = rng.normal(size=(600, 5)) + y[:, None], rng.normal(size=(600, 4)) + 1.5 * y[:, None]
-    label = np.where(np.arange(600) < 120, y, np.nan)
-    model = quality.co_train(text, meta, label)
-    s = quality.score_batch(model, text, meta)
-    acc = [((v[120:] >= 0.5) == (y[120:] == 1)).mean() for v in s]
-    assert acc[0] >= max(acc[1], acc[2]) - 0.01 and acc[0] > 0.9
+    n = 3000
+    y = rng.integers(0, 2, n).astype(float)
+    weak = rng.normal(size=(n, 120)) + 0.12 * y[:, None] * np.sign(np.arange(120) % 2 - 0.5)
+    strong, noise = rng.normal(size=(n, 3)) + 2.5 * y[:, None], rng.normal(size=(n, 3))
+    acc = lambda m, t, x: [((v[60:] >= 0.5) == (y[60:] == 1)).mean() for v in quality.score_batch(m, t, x)]
+    args = (weak[:60], strong[:60], y[:60], array_pool(weak[60:], strong[60:]))
+    alone, taught = quality.co_train(*args, rounds=0), quality.co_train(*args, rounds=4)
+    assert acc(taught, weak, strong)[1] >= acc(alone, weak, strong)[1] + 0.08
+    assert acc(taught, weak, strong)[0] >= acc(alone, weak, strong)[0] - 0.02 and acc(taught, weak, strong)[0] >= 0.95
+    assert len(taught["exchange"]) == 4 and all(x["metadata"][0] == quality.PER_ROUND and x["metadata"][1] > 100 for x in taught["exchange"])
+    idle = quality.co_train(strong[:60], noise[:60], y[:60], array_pool(strong[60:], noise[60:]), rounds=2)
+    assert all(x["text"][1] > 100 and x["metadata"][1] < 0.25 * x["metadata"][0] for x in idle["exchange"])
+    assert acc(idle, strong, noise)[0] >= 0.97
+
+
+def test_co_training_on_a_table_equals_arrays(spark):
+    """The distributed choice of pseudo-labels against a sort of all rows in memory."""
+    rng = np.random.default_rng(2)
+    data = []
+    for k in range(300):
+        good = bool(rng.integers(0, 2))
+        own = [WORDS[i] + ("" if good or rng.random() < 0.6 else "&&") for i in rng.integers(0, 40, 30)]
+        data.append((k, " ".join(own), "en", f"site{rng.integers(0, 4) + 4 * (good if rng.random() < 0.9 else not good)}", len(" ".join(own)), int(good)))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, quality int").repartition(5)
+    model = quality.train(df, df.where("doc_id < 90").select("doc_id", "quality"), rounds=2, per_round=20)
+    order = sorted(range(90), key=lambda i: (zlib.crc32(str(i).encode()), str(i)))
+    feature = lambda f, ids: np.array([f(data[i]) for i in ids])
+    text, meta = (lambda r: quality.text_features(r[1].encode())), (lambda r: quality.meta_features(r[2], r[3], r[4]))
+    rest = sorted(range(90, 300), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    want = quality.co_train(feature(text, order), feature(meta, order), np.array([float(data[i][5]) for i in order]), array_pool(feature(text, rest), feature(meta, rest)), rounds=2, per_round=20)
+    assert [sorted(x) for x in model["exchange"]] == [["metadata", "text"]] * 2
+    t, m = feature(text, range(300)), feature(meta, range(300))
+    assert np.abs(quality.score_batch(model, t, m)[0] - quality.score_batch(want, t, m)[0]).max() < 0.05
+    for a, b in zip(model["exchange"], want["exchange"]):
+        assert all(a[v][0] == b[v][0] == 20 and abs(a[v][1] - b[v][1]) < 0.5 for v in a)
 
 
 PAGES = {
