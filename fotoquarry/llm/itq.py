@@ -1,9 +1,9 @@
 """Embedding near-duplicates with iterative quantisation.
 
-A rotation learned on a bounded sample turns vectors into balanced 64-bit codes. Six Hamming
-tables index the codes by segment; vectors whose segments differ in at most one bit meet on a
-variant with that bit left out, each pair is kept where it meets first, and the original
-vectors decide in double precision.
+Rotations learned on a bounded sample turn vectors into balanced binary codes. Hamming tables
+index the codes by segment, whose width and number follow from the number of vectors (see
+``layout``); vectors whose segments differ in at most one bit meet on a variant with that bit left
+out, each pair is kept where it meets first, and the original vectors decide in double precision.
 """
 
 from __future__ import annotations
@@ -15,89 +15,102 @@ from pyspark.sql import functions as F
 from .common import components, durable, small_batches, table
 from .vectors import matrices, usable
 
-SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: Bits in which the codes of a pair may differ; a cosine of 0.93 gives 8 of 64 on average, unrelated vectors 32.
-RADIUS = 20
 #: Vectors that the rotation is learned from, at the most (about).
 SAMPLE = 4096
-BITS = 64
+#: Share of links that the tables may miss by calculation, and how many standard deviations over the
+#: mean the bits of a pair may differ in before its vectors are not even compared.
+MISSED, DEVIATIONS = 2e-4, 6.0
 
 
-def learn(sample: np.ndarray, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to 64 signs): principal directions and the rotation nearest to binary codes.
+def layout(rows: int, least: float) -> tuple[int, int, int]:
+    """(segments, bits of each, most bits in which a linked pair may differ) for so many vectors of a label.
 
-    Vectors of fewer than 64 components get several rotations beside each other.
+    Segments are as wide as the logarithm of the rows, so that the unrelated vectors that a
+    vector meets stay few however many there are; there are as many as the links need.
     """
+    width = min(30, max(10, (max(rows, 2) - 1).bit_length()))
+    flip = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
+    meets = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
+    segments = max(4, int(np.ceil(np.log(MISSED) / np.log1p(-min(meets, 1 - 1e-9)))))
+    bits = segments * width
+    return segments, width, int(bits * flip + DEVIATIONS * np.sqrt(bits * flip * (1 - flip))) + 1
+
+
+def learn(sample: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection to so many signs): principal directions and rotations nearest to binary codes, as many as the bits need."""
     mean = sample.mean(0)
     x = sample - mean
     _, _, axes = np.linalg.svd(x, full_matrices=True)
-    axes = axes[: min(BITS, x.shape[1])].T
+    axes = axes[: min(bits, x.shape[1])].T
     v, rng, parts = x @ axes, np.random.default_rng(seed), []
-    while sum(p.shape[1] for p in parts) < BITS:
+    while sum(p.shape[1] for p in parts) < bits:
         r = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         parts.append(axes @ r)
-    return mean, np.concatenate(parts, axis=1)[:, :BITS]
+    return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
-def codes(x: np.ndarray, model: dict) -> np.ndarray:
-    """64 signs of each row as a signed long; a length that the sample lacks is projected at random."""
+def codes(x: np.ndarray, model: dict, bits: int = 64) -> np.ndarray:
+    """The signs of each row, (rows, bits) of 0 and 1; a length that the sample lacks is projected at random."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     if x.shape[1] not in model:
-        model[x.shape[1]] = (0.0, np.random.default_rng(x.shape[1]).normal(size=(x.shape[1], BITS)))
+        model[x.shape[1]] = (0.0, np.random.default_rng(x.shape[1]).normal(size=(x.shape[1], bits)))
     mean, p = model[x.shape[1]]
-    return np.packbits((x - mean) @ p >= 0, axis=1, bitorder="little").view("<i8").ravel()
+    return ((x - mean) @ p >= 0).astype(np.uint8)
+
+
+def segment_values(signs: np.ndarray, segments: int, width: int) -> np.ndarray:
+    """(rows, segments): each segment as an integer."""
+    return signs.reshape(len(signs), segments, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
 
 
-def _variants(code: Column) -> Column:
-    out = []
-    for at, width in SEGMENTS:
-        part = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        out += [part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << k)).cast("int")).bitwiseOR(F.lit((at + k) << 16).cast("int")) for k in range(width)]
-    return F.array(*out)
+def _variants(values: Column, width: int) -> Column:
+    """For each segment and each of its bits the segment's number, the bit and the segment with that bit left out, in one integer."""
+    one = lambda v, s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (s * width + k).cast("long") * F.lit(1 << width) + v.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+    return F.flatten(F.transform(values, one))
 
 
-def _meets_first(x: Column) -> Column:
-    """The number of the first variant on which codes that differ by ``x`` agree; null if there is none."""
-    out = None
-    for at, width in SEGMENTS:
-        part = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
-        few = F.bit_count(part)
-        case = F.when(few == 0, F.lit(at)) if out is None else out.when(few == 0, F.lit(at))
-        out = case.when(few == 1, F.bit_count(part - 1) + at)
-    return out
+def _meets_first(x: Column, width: int) -> Column:
+    """The number of the first variant on which codes meet whose segments differ by the array ``x``; null if there is none."""
+    at = F.transform(x, lambda p, s: F.when(p == 0, s * width).when(F.bit_count(p) == 1, s * width + F.bit_count(p - 1)))
+    return F.get(F.filter(at, lambda v: v.isNotNull()), F.lit(0))
 
 
 def links(distinct: DataFrame, least: float) -> DataFrame:
     """(a, b) with a < b of the distinct vectors (nid, label, embedding) whose cosine is at least ``least``."""
     spark = distinct.sparkSession
-    total = distinct.count()
+    sizes = distinct.groupBy("label", F.size("embedding")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    total = sizes["all"] or 0
+    segments, width, radius = layout(sizes["most"] or 0, least)
+    bits = segments * width
     draw = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / max(total, 1))))
     drawn = [np.array(r[0], float) for r in distinct.where(draw).select("embedding").limit(2 * SAMPLE).collect()]
     model = {}
     for d in {len(v) for v in drawn}:
         own = np.array([v for v in drawn if len(v) == d])
         if len(own) > 1:
-            model[d] = learn(own / np.linalg.norm(own, axis=1, keepdims=True))
+            model[d] = learn(own / np.linalg.norm(own, axis=1, keepdims=True), bits)
     shared = spark.sparkContext.broadcast(model)
 
     def encode(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
+            out = np.zeros((batch.num_rows, segments), np.int64)
             for rows, x in matrices(batch.column(2)):
-                out[rows] = codes(x, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out)], ["nid", "label", "dim", "code"])
+                out[rows] = segment_values(codes(x, shared.value, bits), segments, width)
+            code = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, segments, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), code], ["nid", "label", "dim", "code"])
 
-    coded = durable(distinct.select("nid", "label", "embedding", F.size("embedding").alias("dim")).mapInArrow(encode, "nid long, label string, dim int, code long"))
-    spread = coded.select("nid", "label", "dim", "code", F.explode(_variants(F.col("code"))).alias("key"))
+    coded = durable(distinct.select("nid", "label", "embedding", F.size("embedding").alias("dim")).mapInArrow(encode, "nid long, label string, dim int, code array<long>"))
+    spread = coded.select("nid", "label", "dim", "code", F.explode(_variants(F.col("code"), width)).alias("key"))
     other = spread.select(F.col("nid").alias("n2"), F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("code").alias("c2"), F.col("key").alias("k2"))
-    x = F.col("code").bitwiseXOR(F.col("c2"))
+    x = F.zip_with("code", "c2", lambda a, b: a.bitwiseXOR(b))
+    far = F.aggregate(x, F.lit(0), lambda s, p: s + F.bit_count(p))
     same = (F.col("key") == F.col("k2")) & (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2"))
-    met = spread.join(other, same & (F.col("nid") < F.col("n2")) & (F.bit_count(x) <= RADIUS) & (F.shiftright("key", 16) == _meets_first(x))).select(F.col("nid").alias("a"), F.col("n2").alias("b"))
+    met = spread.join(other, same & (F.col("nid") < F.col("n2")) & (far <= radius) & (F.shiftright("key", width) == _meets_first(x, width))).select(F.col("nid").alias("a"), F.col("n2").alias("b"))
     va, vb = (distinct.select(F.col("nid").alias(n), F.col("embedding").alias(v)) for n, v in (("a", "va"), ("b", "vb")))
     both = met.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
 
