@@ -3,7 +3,9 @@
 Vectors get one more component that makes all of them equally long, so that the largest inner
 product is the smallest distance. Each table cuts a few Gaussian projections into cells; a
 query visits the cells around its own in the order of their estimated success. Candidates of
-all tables are ranked by the inner product of the original vectors.
+all tables are ranked by the inner product of the original vectors, summed in one order, so that
+equal products are equal wherever they are computed. Queries that meet too few candidates are
+compared with all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table
+from .common import any_row, durable, small_batches, table
 from .vectors import matrices, usable
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 2, 4, 2.0, 40
 #: Cells are numbered from -EDGE to EDGE; what lies beyond is in the outermost.
 EDGE = 4
 #: Vectors and queries that one task multiplies.
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK = 1024, 1024
 _OFFSETS = np.array(list(itertools.product((-1, 0, 1), repeat=PROJECTIONS)))
 _PLACES = (2 * EDGE + 1) ** np.arange(PROJECTIONS)
 
@@ -80,6 +82,39 @@ def _hashed(rows: DataFrame, longest: dict[int, float], query: bool) -> DataFram
     return rows.select("id", "vector").mapInArrow(run, f"dim int, t int, bucket int, id long, vector {kind}")
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
+def _rank(k: int, a, b):
+    """(query_id, vec_id, score): of one block of queries and one of vectors the best k of each query, and what ties with the last of them."""
+    import pyarrow as pa
+
+    out: list = [[], [], []]
+    if a.num_rows and b.num_rows:
+        qi, ci = (t.column("id").to_numpy() for t in (a, b))
+        (_, x), (_, y) = (matrices(t.column("vector").combine_chunks())[0] for t in (a, b))
+        s = x @ y.T
+        # A matrix product may differ in its last bits from the sum that counts.
+        slack = 1e-12 * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
+        s[qi[:, None] == ci[None, :]] = -np.inf
+        n = min(k, len(ci))
+        edge = np.partition(s, len(ci) - n, axis=1)[:, len(ci) - n]
+        for r in range(len(qi)):
+            near = np.flatnonzero((s[r] >= edge[r] - slack[r]) & (s[r] > -np.inf))
+            exact = products(np.broadcast_to(x[r], (len(near), x.shape[1])), y[near])
+            best = np.lexsort((ci[near], -exact))[:n]
+            out[0].append(np.full(len(best), qi[r]))
+            out[1].append(ci[near][best])
+            out[2].append(exact[best])
+    flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
+    return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` candidates with the largest inner products found.
 
@@ -110,30 +145,23 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     right = data.join(blocks, place).withColumn("b", own("bs")).select(*place, "b", every("qs").alias("q"), "id", "vector")
     key = [*place, "b", "q"]
 
-    def rank(a, b):
-        import pyarrow as pa
-
-        out: list = [[], [], []]
-        if a.num_rows and b.num_rows:
-            qi, ci = (t.column("id").to_numpy() for t in (a, b))
-            (_, x), (_, y) = (matrices(t.column("vector").combine_chunks())[0] for t in (a, b))
-            s = x @ y.T
-            s[qi[:, None] == ci[None, :]] = -np.inf
-            n = min(k, len(ci))
-            edge = np.partition(s, len(ci) - n, axis=1)[:, len(ci) - n]
-            for r in range(len(qi)):
-                near = np.flatnonzero((s[r] >= edge[r]) & (s[r] > -np.inf))
-                near = near[np.lexsort((ci[near], -s[r][near]))][:n]
-                out[0].append(np.full(len(near), qi[r]))
-                out[1].append(ci[near])
-                out[2].append(s[r][near])
-        flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank, kind = (lambda a, b: _rank(k, a, b)), "query_id long, vec_id long, score double"
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, kind)
+    found = durable(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
+    # What met fewer than k candidates though there are more meets all rows of its length.
+    many = durable(base.groupBy(F.size("vector").alias("dim")).agg(F.count_distinct("id").alias("all")))
+    met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
+    short = queries.select("id", "vector", F.size("vector").alias("dim")).join(met, F.col("id") == F.col("query_id"), "left").join(F.broadcast(many), "dim")  # a row a vector length
+    short = durable(short.where((F.coalesce("met", F.lit(0)) < k) & (F.coalesce("met", F.lit(0)) < F.col("all") - 1)).select("dim", "id", "vector", F.ceil(F.col("all") / BLOCK).cast("int").alias("bs")))
+    if any_row(short):
+        sizes = durable(short.groupBy("dim").agg(F.max("bs").alias("bs"), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qs")))
+        left = short.drop("bs").join(F.broadcast(sizes), "dim").select("dim", every("bs").alias("b"), own("qs").alias("q"), "id", "vector").toDF("dim", "b", "q", "id", "vector")
+        right = base.select(F.size("vector").alias("dim"), "id", "vector").join(F.broadcast(sizes), "dim").withColumn("b", own("bs")).select("dim", "b", every("qs").alias("q"), "id", "vector").toDF("dim", "b", "q", "id", "vector")
+        rest = left.groupBy("dim", "b", "q").cogroup(right.groupBy("dim", "b", "q")).applyInArrow(rank, kind)
+        found = found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,37 +49,53 @@ def test_codes_are_balanced_and_keep_angles():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    model = {64: itq.learn(x)}
-    c = itq.codes(x, model).view(np.uint64)
-    ones = np.array([(c >> np.uint64(k) & np.uint64(1)).mean() for k in range(64)])
-    assert np.abs(ones - 0.5).max() < 0.1
-    y = x + 0.3 * rng.normal(size=x.shape) / 8
-    assert np.bitwise_count(c ^ itq.codes(y, model).view(np.uint64)).mean() < 12
-
-
-def test_first_meeting_in_columns(spark):
-    xs = [0, 1, 1 << 63, (1 << 63) | (1 << 62) | 7, (1 << 64) - 1, 0b11 | 1 << 12, 0b11 | 0b11 << 11 | 1 << 43]
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in xs], "x long")
-    got = [r[0] for r in df.select(itq._meets_first(F.col("x"))).collect()]
-    want = []
-    for x in xs:
-        parts = [(at, (x >> at) & ((1 << w) - 1)) for at, w in itq.SEGMENTS]
-        want.append(next((at + max(0, p.bit_length() - 1) for at, p in parts if p.bit_count() <= 1), None))
-    assert got == want
-
-
-def test_first_meeting_is_unique():
+    for bits in (64, 156):
+        model = {64: itq.learn(x, bits)}
+        c = itq.codes(x, model, bits)
+        assert c.shape == (2000, bits) and np.abs(c.mean(0) - 0.5).max() < 0.1
+        y = x + 0.3 * rng.normal(size=x.shape) / 8
+        assert (c != itq.codes(y, model, bits)).sum(1).mean() < 12 * bits / 64
+
+
+def test_layout_follows_the_rows():
+    """Wider segments for more rows: what an unrelated vector meets stays few, and links are met all the same."""
+    for rows_ in (10, 1000, 10**5, 10**7, 10**9):
+        segments, width, most = itq.layout(rows_, 0.93)
+        flip = np.arccos(0.93) / np.pi
+        meets = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
+        assert (1 - meets) ** segments <= itq.MISSED and most < segments * width / 2
+        assert rows_ * segments * (width + 1) / 2**width <= 3000
+
+
+def test_first_meeting_is_the_first_common_variant(spark):
+    segments, width = 5, 11
     rng = np.random.default_rng(1)
+    pairs = []
     for _ in range(300):
-        x = sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 9)))
-        ways = [at + k for at, w in itq.SEGMENTS for k in range(w) if not ((x >> at) & ((1 << w) - 1) & ~(1 << k))]
-        first = None
-        for at, w in itq.SEGMENTS:
-            part = (x >> at) & ((1 << w) - 1)
-            if part.bit_count() <= 1:
-                first = at + (part.bit_length() - 1 if part else 0)
-                break
-        assert (first in ways) if ways else first is None
+        a = rng.integers(0, 1 << width, segments)
+        b = a ^ np.array([sum(1 << int(x) for x in rng.choice(width, rng.integers(0, 4), replace=False)) for _ in range(segments)])
+        pairs.append((a.tolist(), b.tolist()))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    x = F.zip_with("a", "b", lambda p, q: p.bitwiseXOR(q))
+    got = df.select(itq._variants(F.col("a"), width).alias("p"), itq._variants(F.col("b"), width).alias("q"), itq._meets_first(x, width).alias("f")).collect()
+    for (a, b), r in zip(pairs, got):
+        common = [k >> width for k in r["p"] if k in set(r["q"])]
+        assert len(set(r["p"])) == segments * width and (min(common) if common else None) == next((s * width + max(0, (u ^ v).bit_length() - 1) for s, (u, v) in enumerate(zip(a, b)) if (u ^ v).bit_count() <= 1), None)
+        assert (r["f"] is None) == (not common) and (not common or r["f"] in common)
+
+
+def test_thousands_of_links_are_found(spark):
+    """Groups of near vectors among unrelated ones; some pairs just above the threshold, some just below."""
+    rng = np.random.default_rng(8)
+    data = [unit(rng.normal(size=64)) for _ in range(1200)]
+    for _ in range(60):
+        centre = unit(rng.normal(size=64))
+        data += [unit(centre + rng.uniform(0.05, 0.4) * unit(rng.normal(size=64))) for _ in range(15)]
+    x = np.array(data)
+    true = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(data)], "vec_id long, embedding array<double>, label int")
+    got = np.array([r["n_links"] for r in itq.near_vectors(df).orderBy("vec_id").collect()])
+    assert true.sum() > 4000 and (got <= true.sum(1)).all() and got.sum() >= 0.999 * true.sum()
 
 
 def brute_nearest(data, k):
@@ -107,6 +123,36 @@ def test_nearest_against_brute_force(spark, k):
         assert own == sorted(own, key=lambda x: (-x[1], x[0]))
 
 
+def test_ties_and_few_candidates(spark, monkeypatch):
+    """Equal products in different blocks tie, to the smaller id; one long vector leaves the others almost no bucket, and still all are found."""
+    rng = np.random.default_rng(3)
+    twin = rng.normal(size=64)
+    data = [(k, (twin if k % 3 else rng.normal(size=64)).tolist()) for k in range(300)]
+    # Swapped components of equal size give equal products with a query of ones.
+    data += [(300 + k, np.roll(np.r_[np.full(8, 0.1 * (1 + k // 8)), np.zeros(56)], k % 8).tolist()) for k in range(40)] + [(400, [1.0] * 64), (401, (1e6 * unit(rng.normal(size=64))).tolist())]
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    df = spark.createDataFrame(data, "id long, vector array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    vectors = {i: np.array(v) for i, v in data}
+    for q, own in got.items():
+        assert len(own) == 20 and own == sorted(own, key=lambda t: (-t[1], t[0]))
+        assert all(s == ann.products(vectors[q][None], vectors[i][None])[0] for i, s in own)
+    few = spark.createDataFrame([(k, v) for k, v in data[300:]], "id long, vector array<double>")
+    for r in ann.nearest(few, few.where("id % 20 = 0"), 60).groupBy("query_id").count().collect():
+        assert r["count"] == 41
+
+
+def test_empty_tables(spark):
+    v = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
+    assert itq.near_vectors(v).count() == 0
+    e = spark.createDataFrame([], "id long, vector array<double>")
+    assert ann.nearest(e, e).count() == 0
+    m = spark.createDataFrame([], "tree long, node long, parent long, score double, role string, text string")
+    assert chat.read_back(chat.format_reply_trees(m)).count() == 0
+
+
 def test_recall_on_the_table(spark, sf_dir):
     r = ann.op6_nearest(spark, sf_dir).toPandas()
     data = [(x[0], x[1], None) for x in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
