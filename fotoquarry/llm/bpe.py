@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,8 +138,29 @@ def word_table(chosen: DataFrame, path: str) -> DataFrame:
     return coded.join(decoded, "word").select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_tokens", "decoded")
 
 
+#: This worker's word table: (ids of a word, each with a comma behind, what a word decodes to where that is not itself), by the run that it belongs to.
+_tables: dict[str, tuple[dict, dict]] = {}
+_later: set[str] = set()
+
+
+def _remember(table: tuple[dict, dict], word: str, ids: str, decoded: bytes) -> None:
+    table[0][word] = f"{ids}," if ids else ""
+    if decoded != word.encode():
+        table[1][word] = decoded
+
+
+def _table(key: str, shared) -> tuple[dict, dict]:
+    if key not in _tables:
+        _tables.clear()
+        _later.clear()
+        _tables[key] = ({}, {})
+        for row in zip(*shared.value):
+            _remember(_tables[key], *row)
+    return _tables[key]
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) as digests: see ``op7_bpe``.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row.
 
     Null and empty texts have no ids. Repeated rows and repeated or null doc_ids give a row
     each. Words beyond the table (rarer than its rarest, or longer than ``TABLE_CHARS``) are
@@ -148,33 +170,36 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     counts = durable(word_counts(docs))
     known = word_table(frequent(counts), path).toArrow()  # TABLE_WORDS rows of TABLE_CHARS characters at the most
-    shared = spark.sparkContext.broadcast([known.column(k).to_pylist() for k in range(4)])
+    shared = spark.sparkContext.broadcast([known.column(k).to_pylist() for k in (0, 1, 3)])
     names = spark.sparkContext.broadcast([b for _, b in pieces(path)])
+    key = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
 
-        ws, ids, sizes, raw = shared.value
-        id_of, raw_of = dict(zip(ws, ids)), dict(zip(ws, raw))
-        n_of = dict(zip(ws, sizes))
-        later: set = set()
-        name = names.value
+        table, later = _table(key, shared), _later
+        ids_of, odd = table
         for batch in batches:
             n_tokens, id_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
                 own = words(text)
-                new = [w for w in set(own) if w not in id_of]
-                if new:
+                distinct = set(own)
+                if new := list(distinct.difference(ids_of)):
                     if len(later) > _MEMORY:
                         for w in later.difference(own):
-                            del id_of[w], raw_of[w], n_of[w]
+                            del ids_of[w]
+                            odd.pop(w, None)
                         later.intersection_update(own)
                     for w, got in zip(new, encode(path, new)):
-                        id_of[w], raw_of[w], n_of[w] = ",".join(map(str, got)), b"".join([name[i] for i in got]), len(got)
+                        _remember(table, w, ",".join(map(str, got)), b"".join([names.value[i] for i in got]))
                     later.update(new)
-                n_tokens.append(sum(map(n_of.__getitem__, own)))
-                id_sha.append(hashlib.sha256(",".join(map(id_of.__getitem__, own)).encode()).hexdigest())
-                back = b"".join(map(raw_of.__getitem__, own)).decode("utf-8", "replace")
+                ids = "".join(map(ids_of.__getitem__, own))
+                n_tokens.append(ids.count(","))
+                id_sha.append(hashlib.sha256(ids[:-1].encode()).hexdigest())
+                # Words that the table decodes to themselves need not be put together again.
+                back = text or ""
+                if not odd.keys().isdisjoint(distinct):
+                    back = b"".join([odd[w] if w in odd else w.encode() for w in own]).decode("utf-8", "replace")
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
