@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, durable, small_batches, table, written
+from .common import boxed, components, durable, small_batches, table, written
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -123,18 +123,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; all columns stay.
+    """One document of each near-duplicate group, the one with the smallest doc_id; all columns stay, whatever they are called.
 
     Documents without an id stay, as nothing says which of them to keep. Rows that repeat the
-    kept doc_id count as one document: one of them stays.
+    kept doc_id count as one document: one of them stays, chosen by a hash of its text.
     """
-    return _first_of_each(docs, near_duplicates(docs, **how))
+    return _first_of_each(docs, lambda d: near_duplicates(d, **how))
 
 
-def _first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+def _first_of_each(docs: DataFrame, group) -> DataFrame:
+    inner, at, places = boxed(docs, "doc_id", "text")
+    i, t = at["doc_id"], at["text"]
+    groups = group(inner.select(F.col(i).alias("doc_id"), F.col(t).alias("text")))
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    known = inner.join(kept, F.col(i) == F.col("kept"), "left_semi")
+    texts = known.groupBy(F.col(i).alias("kept")).agg(F.min(F.xxhash64(t)).alias("least"), F.count(F.lit(1)).alias("many"))
+    single = known.join(texts.where("many = 1"), F.col(i) == F.col("kept"), "left_semi")
+    several = known.join(texts.where("many > 1"), (F.col(i) == F.col("kept")) & (F.xxhash64(t) == F.col("least")), "left_semi").dropDuplicates([i])
+    return single.unionByName(several).unionByName(inner.where(F.col(i).isNull())).select(*places).toDF(*docs.columns)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -238,7 +244,7 @@ def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def keep_first_similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """``keep_first`` over the groups of ``similar_components``."""
-    return _first_of_each(docs, similar_components(docs, width))
+    return _first_of_each(docs, lambda d: similar_components(d, width))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
