@@ -61,9 +61,10 @@ def sample(docs: DataFrame, most: int = MOST_ROWS, per_language: int = PER_LANGU
         return []
     per = max(1, min(per_language, most // languages))
     # A draw with a wide margin bounds what is ranked; a language has none drawn with a chance of e**-20.
+    # A row a language is sent to all tasks, as the model itself is.
     share = counts.select(F.col("lang").alias("known"), ((4.0 * per + 20) / F.col("count")).alias("share"))
     drawn = own.select("lang", "doc_id", F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"))
-    drawn = drawn.join(share, F.col("lang") == F.col("known")).where("draw < share")
+    drawn = drawn.join(F.broadcast(share), F.col("lang") == F.col("known")).where("draw < share")
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
     chosen = drawn.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per).select("lang", "text")
 
