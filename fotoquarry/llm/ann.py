@@ -23,7 +23,7 @@ TABLES, PROJECTIONS, WIDTH, PROBES = 2, 4, 2.0, 40
 #: Cells are numbered from -EDGE to EDGE; what lies beyond is in the outermost.
 EDGE = 4
 #: Vectors and queries that one task multiplies.
-BLOCK, QUERY_BLOCK = 1024, 1024
+BLOCK, QUERY_BLOCK = 512, 512
 _OFFSETS = np.array(list(itertools.product((-1, 0, 1), repeat=PROJECTIONS)))
 _PLACES = (2 * EDGE + 1) ** np.arange(PROJECTIONS)
 
