@@ -25,7 +25,7 @@ LABELLED = 4000
 ROUNDS, PER_ROUND = 2, 300
 #: Score from which a document is kept.
 KEEP = 0.5
-_SOURCES, _TRIGRAMS, _SHAPES = 64, 2048, 16
+_SOURCES, _TRIGRAMS, _SHAPES = 64, 1024, 16
 TEXT, META = 128 + _SHAPES + _TRIGRAMS, 64 + 16 + 24
 VIEWS = ("text", "metadata")
 
@@ -46,7 +46,7 @@ def text_features(text: bytes | None) -> np.ndarray:
     )
     if len(raw) > 2:
         low = raw.astype(np.uint32)
-        code = (low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(21)
+        code = (low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(22)
         out[144:] = np.sqrt(np.bincount(code, minlength=_TRIGRAMS) / len(code))
     return out
 
@@ -61,12 +61,12 @@ def meta_features(lang: str | None, source: str | None, chars: int | None) -> np
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method; y from 0 to 1. Wide tables are solved in the span of their rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights (the last is the intercept) by Newton's method; y from 0 to 1. Wide tables are solved in their 256 principal directions."""
     base = None
     if x.shape[1] > 512:
-        base = np.linalg.svd(x[:, :-1] - x[:, :-1].mean(0), full_matrices=False)[2][:256]
-        x = np.hstack([x[:, :-1] @ base.T, x[:, -1:]])
+        base = np.linalg.eigh(np.cov(x, rowvar=False))[1][:, -256:].T
+        x = x @ base.T
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
     b = np.zeros(x.shape[1])
     pull = ridge * w.sum() * np.eye(len(b))
     pull[-1, -1] = 1e-9
@@ -100,7 +100,7 @@ def _fit(views: list[np.ndarray], label: np.ndarray, more: list[tuple[np.ndarray
     out = []
     for x, (mx, my, mw) in zip(views, more):
         own = np.concatenate([x[fit], mx]) if len(mx) else x[fit]
-        b = _logistic(own.astype(float), np.concatenate([label[fit], my]), np.concatenate([np.ones(fit.sum()), mw]))
+        b = _logistic(own, np.concatenate([label[fit], my]), np.concatenate([np.ones(fit.sum()), mw]))
         c = _logistic(_odds(x[cal], b)[:, None], label[cal], np.ones(cal.sum()), 1e-2)
         c[0] = max(c[0], 0.0)
         out.append((b, c))
@@ -124,7 +124,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, surest, roun
     model = {"prior": np.log(base / (1 - base)), "views": None, "exchange": []}
     if not trainable(label):
         return model
-    none = lambda x: (np.zeros((0, x.shape[1])), np.zeros(0), np.zeros(0))
+    none = lambda x: (np.zeros((0, x.shape[1]), x.dtype), np.zeros(0), np.zeros(0))
     more, taken = [none(text), none(meta)], [set(), set()]
     model["views"] = _fit([text, meta], label, more, base)
     ones = min(per_round - 1, max(1, round(per_round * base)))
