@@ -50,12 +50,37 @@ def resolved_date(exif: Column, filename: Column, folder: Column, mtime: Column,
     return F.coalesce(exif.cast(_DATE), date_from_text(filename, max_year), date_from_text(folder, max_year), last)
 
 
+def general(x: Column) -> Column:
+    """A number in at most six significant digits, without zeros at its end; in powers of ten from a million on."""
+    digits = F.when(x >= 1e5, F.format_string("%.0f", x))
+    for k in range(1, 6):
+        digits = digits.when(x >= 10 ** (5 - k), F.format_string(f"%.{k}f", x))
+    plain = digits.when(x >= 0.1, F.format_string("%.6f", x)).when(x >= 0.01, F.format_string("%.7f", x)).otherwise(F.format_string("%.8f", x))
+    short = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    power = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", x), r"0+e", "e"), r"\.e", "e")
+    return F.when(x >= 999999.5, power).otherwise(short)
+
+
 def exif_details(c: dict[str, Column]) -> Column:
-    """map of the details that are there: camera, lens opening, exposure, ISO, focal length."""
-    make, model = F.trim(c["make"]), F.trim(c["model"])
-    camera = F.when(F.startswith(F.lower(model), F.lower(make)), model).otherwise(F.nullif(F.trim(F.concat_ws(" ", make, model)), F.lit("")))
-    t = c["exposure"]
-    exposure = F.when((t > 0) & (t < 1), F.concat(F.lit("1/"), F.round(1 / t).cast("long").cast("string"), F.lit(" s"))).when(t >= 1, F.concat(F.format_string("%.1f", t), F.lit(" s")))
-    parts = [("camera", camera), ("exposure", exposure), ("aperture", F.format_string("f/%.1f", c["aperture"])), ("iso", c["iso"].cast("string")), ("focal", F.format_string("%.0f mm", c["focal"]))]
-    there = [F.when(v.isNotNull() & c.get(k, v).isNotNull(), F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, v in parts]
+    """map of the details that are there: camera, lens, time taken, and the settings in one line.
+
+    ``c``: make, model, lens, taken (``yyyy:MM:dd HH:mm:ss``), exposure (seconds), aperture, iso, focal (mm).
+    """
+    text = lambda v: F.trim(F.regexp_replace(F.trim(F.coalesce(v, F.lit(""))), "^\\x00+|\\x00+$", ""))
+    make, model = text(c["make"]), text(c["model"])
+    both = (model != "") & (make != "") & ~F.startswith(F.lower(model), F.lower(make))
+    camera = F.when(both, F.concat_ws(" ", make, model)).otherwise(F.coalesce(F.nullif(model, F.lit("")), F.nullif(make, F.lit(""))))
+    taken = F.date_format(F.try_to_timestamp(F.substring(text(c["taken"]), 1, 19), F.lit("yyyy:MM:dd HH:mm:ss")), "dd/MM/yyyy HH:mm")
+    t, f, iso, mm = c["exposure"], c["aperture"], c["iso"], c["focal"]
+    settings = F.filter(
+        F.array(
+            F.when((t > 0) & (t < 1), F.concat(F.lit("1/"), F.bround(1 / t, 0).cast("long").cast("string"), F.lit(" s"))).when(t >= 1, F.concat(general(t), F.lit(" s"))),
+            F.when(f != 0, F.concat(F.lit("f/"), F.regexp_replace(F.format_string("%.1f", f), r"\.0$", ""))),
+            F.when(iso != 0, F.concat(F.lit("ISO "), iso.cast("string"))),
+            F.when(mm != 0, F.concat(general(mm), F.lit(" mm"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    parts = [("Cámara", camera), ("Objetivo", F.nullif(text(c["lens"]), F.lit(""))), ("Tomada", taken), ("Ajustes", F.nullif(F.array_join(settings, " · "), F.lit("")))]
+    there = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, v in parts]
     return F.map_from_entries(F.filter(F.array(*there), lambda x: x.isNotNull()))

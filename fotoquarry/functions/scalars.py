@@ -51,11 +51,19 @@ def media_type(path: Column) -> Column:
     return F.when(extension(path).isin(*VIDEO_EXTENSIONS), "video").when(extension(path).isin(*IMAGE_EXTENSIONS), "image")
 
 
-def orientation(width: Column, height: Column) -> Column:
-    """square within two per cent, else landscape or portrait; null without both sizes."""
-    w, h = width.cast("long") * 50, height.cast("long")
-    square = (w >= h * 49) & (w <= h * 51)
-    return F.when(square, "square").when(w > h * 51, "landscape").when(w < h * 49, "portrait")
+def has_shape(width: Column, height: Column, shape: str) -> Column:
+    """Whether a size is landscape, portrait or square, within two per cent; null without both sizes.
+
+    The three are conditions of their own: a size just under square is both portrait and square.
+    """
+    w, h = width.cast("long"), height.cast("long")
+    if shape == "landscape":
+        return w * 50 > h * 51
+    if shape == "portrait":
+        return h * 50 > w * 51
+    if shape == "square":
+        return (w * 50).between(h * 49, h * 51)
+    return F.lit(True)  # no filter
 
 
 def pixels(width: Column, height: Column) -> Column:
@@ -64,7 +72,7 @@ def pixels(width: Column, height: Column) -> Column:
 
 def rewrite_prefix(path: Column, old: str, new: str) -> Column:
     old, new = normal_folder(old), normal_folder(new)
-    return F.concat(F.lit(new), F.substring(path, len(old) + 1, 1_000_000))
+    return F.concat(F.lit(new), F.substring(path, F.lit(len(old) + 1), F.length(path)))
 
 
 def clean_rating(rating: Column) -> Column:
@@ -81,22 +89,25 @@ def stars(rating: Column, of: int = 5) -> Column:
 
 
 def clock(seconds: Column) -> Column:
+    """Minutes and seconds; empty without a duration or at 0."""
     s = F.floor(seconds).cast("long")
-    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60))
+    return F.when(seconds.isNull() | (seconds == 0), "").otherwise(F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60))
 
 
 def short_name(name: Column, most: int = 22) -> Column:
-    return F.when(F.length(name) > most, F.concat(F.substring(name, 1, most - 3), F.lit("..."))).otherwise(name)
+    return F.when(F.length(name) > most, F.concat(F.substring(name, 1, most), F.lit("…"))).otherwise(name)
 
 
 def human_size(size: Column) -> Column:
-    """Bytes, KB, MB or GB; one decimal from MB on."""
-    step = lambda n: F.format_string("%.1f", F.round(size / float(1024**n), 1))
+    """Bytes, KB, MB or GB; whole numbers up to KB, one decimal from MB on, halves to the even digit; a dash without a size or at 0."""
+    whole = lambda n: F.bround(size / float(1024**n), 0).cast("long").cast("string")
+    tenth = lambda n: F.format_string("%.1f", F.bround(size / float(1024**n), 1))
     return (
-        F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024**2, F.concat(F.floor(size / 1024).cast("string"), F.lit(" KB")))
-        .when(size < 1024**3, F.concat(step(2), F.lit(" MB")))
-        .otherwise(F.concat(step(3), F.lit(" GB")))
+        F.when(size.isNull() | (size == 0), "—")
+        .when(size < 1024, F.concat(whole(0), F.lit(" B")))
+        .when(size < 1024**2, F.concat(whole(1), F.lit(" KB")))
+        .when(size < 1024**3, F.concat(tenth(2), F.lit(" MB")))
+        .otherwise(F.concat(tenth(3), F.lit(" GB")))
     )
 
 
@@ -105,8 +116,9 @@ MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 
 
 def month_label(year: Column, month: Column) -> Column:
-    name = F.element_at(F.array(*map(F.lit, MONTHS)), month)
-    return F.when(year.isNull(), "Sin fecha").when(month.isNull(), year.cast("string")).otherwise(F.concat_ws(" ", name, year.cast("string")))
+    """Month and year; the year alone where the month cannot be one, a note without a year."""
+    name = F.get(F.array(*map(F.lit, MONTHS)), month - 1)  # null outside the list
+    return F.when(year.isNull() | (year == 0), "Sin fecha").when(name.isNull(), year.cast("string")).otherwise(F.concat_ws(" ", name, year.cast("string")))
 
 
 def hamming(a: Column, b: Column) -> Column:

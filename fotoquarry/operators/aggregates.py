@@ -18,18 +18,24 @@ def timeline_with_years(photos: DataFrame) -> DataFrame:
     return photos.rollup("year", "month").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
 
 
+def folder_column(photos: DataFrame) -> Column:
+    """The stored folder, or else that of the path."""
+    return F.col("folder") if "folder" in photos.columns else S.folder_of(F.col("path"))
+
+
 def folder_counts(photos: DataFrame) -> DataFrame:
-    return photos.groupBy(S.folder_of(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    return photos.groupBy(folder_column(photos).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def root_counts(photos: DataFrame) -> DataFrame:
-    return photos.groupBy(S.root_of(F.col("path")).alias("root")).agg(F.count(F.lit(1)).alias("n"))
+    """(root, n): folders are counted first, so that roots are cut from few paths."""
+    return folder_counts(photos).groupBy(S.root_of(F.col("folder")).alias("root")).agg(F.sum("n").alias("n"))
 
 
 def ancestor_folders(folder: Column) -> Column:
     """The folder and all folders above it, from its root on; a server with its share is one root."""
     root = S.root_of(folder)
-    rest = F.expr("''") if folder is None else F.substring(folder, F.length(root) + 1, F.lit(1_000_000))
+    rest = F.substring(folder, F.length(root) + 1, F.length(folder))
     parts = F.filter(F.split(rest, r"\\"), lambda x: x != "")
     below = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.concat(root, F.array_join(F.slice(parts, F.lit(1), k), "\\"), F.lit("\\")))
     return F.when(F.size(parts) > 0, F.concat(F.array(root), below)).otherwise(F.array(root))
@@ -74,7 +80,7 @@ def common_tags(photos: DataFrame, photo_tags: DataFrame) -> DataFrame:
 
 def folder_tag_stats(photos: DataFrame, photo_tags: DataFrame) -> DataFrame:
     """(folder, tag_id, n, total)."""
-    f = photos.select(F.col("id").alias("photo_id"), S.folder_of(F.col("path")).alias("folder"))
+    f = photos.select(F.col("id").alias("photo_id"), folder_column(photos).alias("folder"))
     totals = f.groupBy("folder").agg(F.count(F.lit(1)).alias("total"))
     return f.join(photo_tags, "photo_id").groupBy("folder", "tag_id").agg(F.count(F.lit(1)).alias("n")).join(totals, "folder")
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.session import durable
+from .ranking import ranked
 
 #: Hamming distances of the sensitivities.
 SENSITIVITY = {"strict": 3, "normal": 6, "loose": 8}
@@ -39,10 +41,12 @@ def reclaimable(photos: DataFrame) -> DataFrame:
 
 
 def keep_best(photos: DataFrame) -> DataFrame:
-    """(md5, id, place): members of each group, the one to keep first."""
-    w = Window.partitionBy("md5").orderBy(F.coalesce(S.pixels(F.col("width"), F.col("height")), F.lit(0)).desc(), F.col("filesize").desc_nulls_last(), "id")
+    """(md5, id, place): members of each group, the one to keep first. Members are numbered in one order of all groups, so that a digest of very many photos is no single task."""
     many = photos.where("md5 IS NOT NULL").groupBy("md5").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("md5")
-    return photos.join(many, "md5", "left_semi").select("md5", "id", F.row_number().over(w).alias("place"))
+    own = photos.join(many, "md5", "left_semi").select("md5", "id", F.coalesce(S.pixels(F.col("width"), F.col("height")), F.lit(0)).alias("pixels"), "filesize")
+    rows = ranked(own, [F.col("md5"), F.desc("pixels"), F.desc_nulls_last("filesize"), F.col("id")])
+    first = rows.groupBy("md5").agg(F.min("rank").alias("first"))
+    return rows.join(first, "md5").select("md5", "id", (F.col("rank") - F.col("first") + 1).cast("int").alias("place"))
 
 
 def bands(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -59,51 +63,66 @@ def _band_keys(h: Column, distance: int) -> Column:
     return F.array(*out)
 
 
-def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance) with a < b of all ids whose 64-bit hashes differ in at most ``distance`` bits.
+def _meeting(hashes: DataFrame, distance: int) -> DataFrame:
+    """(a, b, distance) of the first ids of different hashes that differ in at most ``distance`` bits.
 
-    ``hashes``: id, h. Flat hashes and nulls take no part. Equal hashes are one candidate, so
-    that a hot hash gives no quadratic bucket; its ids meet at the first of them.
+    Equal hashes are one candidate, so that a hot hash gives no quadratic bucket.
     """
     one = hashes.where((F.col("h") != FLAT)).groupBy("h").agg(F.min("id").alias("id"))
     x = one.select("id", "h", F.explode(_band_keys(F.col("h"), distance)).alias("k")).select("id", "h", "k.band", "k.key")
     y = x.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("band").alias("band2"), F.col("key").alias("key2"))
-    first = F.array_position(F.transform(F.arrays_zip(_band_keys(F.col("h"), distance).alias("p"), _band_keys(F.col("h2"), distance).alias("q")), lambda z: z["p"]["key"] == z["q"]["key"]), True) - 1
+    # A pair counts where it meets first: at the first band of which no bit differs.
+    differs = F.col("h").bitwiseXOR(F.col("h2"))
+    first = None
+    for k, (a, b) in enumerate(bands(distance)):
+        same = F.shiftrightunsigned(differs, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) == 0
+        first = F.when(same, F.lit(k)) if first is None else first.when(same, F.lit(k))
     d = S.hamming(F.col("h"), F.col("h2"))
-    met = x.join(y, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("h") < F.col("h2")) & (d <= distance))
-    met = met.where(F.col("band") == first)
+    met = x.join(y, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("h") < F.col("h2")) & (d <= distance) & (F.col("band") == first))
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), d.alias("distance"))
 
 
+def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
+    """(a, b, distance) with a < b: the links of all ids whose 64-bit hashes differ in at most ``distance`` bits.
+
+    ``hashes``: id, h. Flat hashes and nulls take no part. Different hashes link at the first id
+    of each; every other id of a hash links to its first with distance 0. So n copies give
+    n - 1 links, and no document that is near another is in none.
+    """
+    hashes = durable(hashes.select("id", "h"))
+    own = hashes.where(F.col("h") != FLAT)
+    first = own.groupBy("h").agg(F.min("id").alias("a"))
+    members = own.join(first, "h").where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return _meeting(hashes, distance).unionByName(members)
+
+
 def near_pairs_and_members(hashes: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance): ``near_pairs`` of the representatives, and (id, representative, 0) of every row with a hash that is not flat.
+    """(a, b, distance): the links of the first ids of different hashes, and (id, first id, 0) of every row with a hash that is not flat.
 
-    A representative is the smallest id of its hash and its own member, so every document is in a row
-    and a hot hash of n documents gives n rows.
+    A first id is its own member, so every document is in a row and a hot hash of n documents gives n rows.
     """
+    hashes = durable(hashes.select("id", "h"))
     own = hashes.where(F.col("h") != FLAT)
     first = own.groupBy("h").agg(F.min("id").alias("b"))
     members = own.join(first, "h").select(F.col("id").alias("a"), "b", F.lit(0).alias("distance"))
-    return near_pairs(hashes, distance).unionByName(members)
+    return _meeting(hashes, distance).unionByName(members)
 
 
-def leader_groups(hashes: DataFrame, distance: int, rounds: int = 100) -> DataFrame:
+def leader_groups(hashes: DataFrame, distance: int) -> DataFrame:
     """(id, leader) of the groups of two or more.
 
     In id order, a hash joins the first centre within the distance, else it becomes a centre;
     so groups do not chain. Done in rounds over the pairs of distinct hashes: an undecided id
-    with no smaller undecided neighbour is a centre, its neighbours are covered.
+    with no smaller undecided neighbour is a centre, its neighbours are covered. Each round
+    decides the smallest undecided id at least, and rounds go on until none is left.
     """
-    from ..plans.session import durable
-
+    hashes = durable(hashes.select("id", "h"))
     one = durable(hashes.where(F.col("h") != FLAT).groupBy("h").agg(F.min("id").alias("id")))
-    pairs = durable(near_pairs(hashes, distance).select("a", "b"))
+    pairs = durable(_meeting(hashes, distance).select("a", "b"))
     both = durable(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))))
     open_ids = durable(both.select(F.col("x").alias("id")).distinct())
     centres = None
-    for _ in range(rounds):
-        if open_ids.limit(1).count() == 0:
-            break
+    while open_ids.limit(1).count():
         o2 = open_ids.select(F.col("id").alias("y"))
         live = both.join(open_ids.select(F.col("id").alias("x")), "x", "left_semi").join(o2, "y", "left_semi")
         waits = live.where("y < x").select(F.col("x").alias("id")).distinct()
@@ -132,12 +151,16 @@ def similar_groups(photos: DataFrame, groups: DataFrame, show_hidden: bool = Fal
 
 
 def text_fingerprint(docs: DataFrame, bits: int = 60) -> DataFrame:
-    """(id, h): 60-bit SimHash of the distinct lower-case words; a word's hash is the first 15 hex digits of its md5."""
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
-    words = words.withColumn("x", F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("long"))
-    sums = [F.sum(F.shiftright("x", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"s{k}") for k in range(bits)]
-    packed = words.groupBy("id").agg(*sums)
-    value = F.lit(0).cast("long")
-    for k in range(bits):
-        value = value.bitwiseOR(F.when(F.col(f"s{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return packed.select("id", value.alias("h"))
+    """(id, h): 60-bit SimHash of the distinct lower-case words; a word's hash is the first 15 hex digits of its md5.
+
+    A document is folded within its row: nothing is shuffled. Texts without a word have no row.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 15), 16, 10).cast("long"))
+    rows = docs.select(F.col("doc_id").alias("id"), hashed.alias("x")).where(F.size("x") > 0)
+    # How often each bit is set, in one pass over the words.
+    zero = F.array(*[F.lit(0)] * bits)
+    add = lambda s, x: F.zip_with(s, F.array(*[F.shiftright(x, k).bitwiseAND(F.lit(1)).cast("int") for k in range(bits)]), lambda a, b: a + b)
+    counted = rows.select("id", F.size("x").alias("n"), F.aggregate("x", zero, add).alias("s"))
+    value = F.aggregate(F.transform("s", lambda c, k: F.when(c * 2 > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return counted.select("id", value.alias("h"))

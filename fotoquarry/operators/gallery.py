@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import hierarchy
+from .ranking import ranked
 
 #: Orders by name; each ends in the id, so that pages never overlap.
 ORDERS: dict[str, tuple[str, ...]] = {
-    "date": ("year", "month", "id"),
+    "date": ("year", "month", "filename", "id"),
     "filename": ("filename", "id"),
     "filesize": ("filesize", "id"),
     "added": ("added_at", "id"),
-    "rating": ("rating", "id"),
+    "rating": ("rating", "year", "month", "filename", "id"),
 }
 
 
@@ -82,7 +83,7 @@ def predicates(f: PhotoFilter) -> Column:
     if f.min_pixels:
         out.append(S.pixels(F.col("width"), F.col("height")) >= f.min_pixels)
     if f.orientation:
-        out.append(S.orientation(F.col("width"), F.col("height")) == f.orientation)
+        out.append(S.has_shape(F.col("width"), F.col("height"), f.orientation))
     if f.min_duration is not None or f.max_duration is not None:
         out.append(F.col("media_type") == "video")
     if f.min_duration is not None:
@@ -101,7 +102,8 @@ def predicates(f: PhotoFilter) -> Column:
 
 
 def _ids(df: DataFrame, values) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame([(int(v),) for v in dict.fromkeys(values)], "v long"))
+    """Stated ids as a frame; Spark sends it to all tasks if it is small, and deals it out if not."""
+    return df.sparkSession.createDataFrame([(int(v),) for v in dict.fromkeys(values)], "v long")
 
 
 def apply_filter(photos: DataFrame, tags: DataFrame, photo_tags: DataFrame, rejections: DataFrame, f: PhotoFilter) -> DataFrame:
@@ -122,7 +124,7 @@ def apply_filter(photos: DataFrame, tags: DataFrame, photo_tags: DataFrame, reje
         out = semi(out, have.select("photo_id"))
     if f.tag_groups:
         rows = [(int(t), g) for g, ids in enumerate(f.tag_groups) for t in set(ids)]
-        want = F.broadcast(photos.sparkSession.createDataFrame(rows, "v int, g int"))
+        want = photos.sparkSession.createDataFrame(rows, "v int, g int")
         have = photo_tags.join(want, F.col("tag_id") == F.col("v")).groupBy("photo_id").agg(F.count_distinct("g").alias("n")).where(F.col("n") == len(f.tag_groups))
         out = semi(out, have.select("photo_id"))
     if f.any_tags:
@@ -180,8 +182,7 @@ class GalleryQuery:
         wanted = {*self.tag_ids, *self.exclude_tag_ids}
         grown: dict[int, list[int]] = {}
         if wanted:
-            for r in hierarchy.expand(tags, sorted(wanted)).collect():
-                grown.setdefault(r["grp"], []).append(r["tag"])
+            grown = hierarchy.tree(tags).expanded(wanted)
         groups = tuple(tuple(sorted(grown[t])) for t in self.tag_ids if t in grown)
         either = tuple(sorted({t for g in groups for t in g}))
         return PhotoFilter(
@@ -278,11 +279,5 @@ def position(photos: DataFrame, year: int | None, month: int | str | None, ascen
 
 
 def numbered(photos: DataFrame, field: str, ascending: bool) -> DataFrame:
-    """(id, row_no) over all photos without one global window: ranks within years, plus the years' running totals."""
-    from pyspark.sql import Window
-
-    years = photos.groupBy("year").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.col("year").asc_nulls_first() if ascending else F.col("year").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    start = years.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("year").alias("_y"), "_before")  # a row a year
-    within = Window.partitionBy("year").orderBy(*order_by(field, ascending))
-    return photos.withColumn("_r", F.row_number().over(within)).join(start, F.col("year").eqNullSafe(F.col("_y"))).select("id", (F.col("_r") + F.col("_before")).cast("long").alias("row_no"))
+    """(id, row_no) over all photos, without a window over all of them; see ``ranking.ranked``."""
+    return ranked(photos.select(*dict.fromkeys(("id", *ORDERS[field]))), order_by(field, ascending)).select("id", (F.col("rank") + 1).alias("row_no"))

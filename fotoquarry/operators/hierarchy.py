@@ -5,25 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the tree; deeper chains are cut as cycles are.
-MAX_DEPTH = 64
+#: Tags of which the tree is kept by the driver; larger tables are an error there, not a cut.
+MOST_TAGS = 1_000_000
 
 
 def parents(tags: DataFrame) -> DataFrame:
     return tags.where("parent_id IS NOT NULL").select("id", "parent_id")
 
 
+class Tree:
+    """The children of every tag, read once: a bounded table that gallery queries expand their tags with."""
+
+    def __init__(self, rows) -> None:
+        self.children: dict[int, list[int]] = {}
+        self.ids = {i for i, _ in rows}
+        for i, p in rows:
+            if p is not None:
+                self.children.setdefault(p, []).append(i)
+
+    def expanded(self, ids) -> dict[int, list[int]]:
+        """The listed tags that exist, each with itself and its descendants at any depth; safe on cycles."""
+        out = {}
+        for top in dict.fromkeys(ids):
+            if top in self.ids:
+                seen, new = {top}, [top]
+                while new:
+                    new = [c for t in new for c in self.children.get(t, ()) if c not in seen]
+                    seen.update(new)
+                out[top] = sorted(seen)
+        return out
+
+
+def tree(tags: DataFrame) -> Tree:
+    """The tree of a tag table; read once for each DataFrame."""
+    known = getattr(tags, "_tag_tree", None)
+    if known is None:
+        rows = tags.select("id", "parent_id").limit(MOST_TAGS + 1).collect()
+        if len(rows) > MOST_TAGS:
+            raise ValueError(f"over {MOST_TAGS} tags")
+        known = Tree([(r["id"], r["parent_id"]) for r in rows])
+        tags._tag_tree = known
+    return known
+
+
 def descendants(tags: DataFrame) -> DataFrame:
-    """(ancestor, tag, depth) without the tag itself; safe on cycles."""
-    return tags.sparkSession.sql(
-        f"""WITH RECURSIVE c(ancestor, tag, depth, seen) AS (
-          SELECT parent_id, id, 1, array(parent_id, id) FROM {{t}} WHERE parent_id IS NOT NULL AND parent_id <> id
-          UNION ALL
-          SELECT c.ancestor, t.id, c.depth + 1, array_append(c.seen, t.id) FROM c JOIN {{t}} t ON t.parent_id = c.tag
-          WHERE NOT array_contains(c.seen, t.id) AND c.depth < {MAX_DEPTH})
-        SELECT ancestor, tag, min(depth) AS depth FROM c GROUP BY ancestor, tag""",
-        t=tags,
-    )
+    """(ancestor, tag, depth) without the tag itself; depth is the shortest way, cycles are followed once.
+
+    Ways of up to 1, 2, 4, … levels are joined until no pair is new, so that trees of any depth are whole.
+    """
+    from ..plans.session import durable
+
+    least = lambda df: df.groupBy("ancestor", "tag").agg(F.min("depth").alias("depth"))
+    known = durable(least(tags.where("parent_id IS NOT NULL AND parent_id <> id").select(F.col("parent_id").alias("ancestor"), F.col("id").alias("tag"), F.lit(1).alias("depth"))))
+    size = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
+    while True:
+        below = known.select(F.col("ancestor").alias("via"), F.col("tag").alias("to"), F.col("depth").alias("more"))
+        longer = known.join(below, F.col("tag") == F.col("via")).where("ancestor <> to").select("ancestor", F.col("to").alias("tag"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = durable(least(known.unionByName(longer)))
+        now = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if now == size:
+            return known
+        size = now
 
 
 def with_self(tags: DataFrame) -> DataFrame:
@@ -32,9 +74,9 @@ def with_self(tags: DataFrame) -> DataFrame:
 
 
 def expand(tags: DataFrame, ids: list[int]) -> DataFrame:
-    """(grp, tag): the listed tags that exist, each with its descendants."""
-    wanted = tags.sparkSession.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "grp int")
-    return with_self(tags).join(F.broadcast(wanted), F.col("ancestor") == F.col("grp")).select("grp", "tag")
+    """(grp, tag): the listed tags that exist, each with itself and its descendants."""
+    rows = [(g, t) for g, below in tree(tags).expanded(ids).items() for t in below]
+    return tags.sparkSession.createDataFrame(rows, "grp int, tag int")
 
 
 def tag_paths(tags: DataFrame) -> DataFrame:
@@ -109,5 +151,22 @@ def delete_tag(tags: DataFrame, photo_tags: DataFrame, tag: int) -> tuple[DataFr
     return left, photo_tags.where(F.col("tag_id") != tag)
 
 
-def rename_category(tags: DataFrame, old: str, new: str) -> DataFrame:
-    return tags.withColumn("category", F.when(F.lower("category") == old.lower(), F.lit(new)).otherwise(F.col("category")))
+def create_category(categories: DataFrame, name: str) -> DataFrame:
+    """categories (name) with one more, unless it is there in any letter case."""
+    one = categories.sparkSession.createDataFrame([(name,)], "name string")
+    new = one.join(categories.select(F.lower("name").alias("_k")), F.lower("name") == F.col("_k"), "left_anti")
+    return categories.select("name").unionByName(new)
+
+
+def rename_category(tags: DataFrame, categories: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """(tags, categories) after a category got a new name, trimmed and in lower case; an empty or the same name changes nothing."""
+    new = new.strip().lower()
+    if not new or new == old:
+        return tags, categories
+    return delete_category(tags, categories, old, new)
+
+
+def delete_category(tags: DataFrame, categories: DataFrame, name: str, move_to: str = "general") -> tuple[DataFrame, DataFrame]:
+    """(tags, categories) without the category; its tags go to another one, which is made if need be."""
+    moved = tags.withColumn("category", F.when(F.col("category") == name, F.lit(move_to)).otherwise(F.col("category")))
+    return moved, create_category(categories, move_to).where(F.lower("name") != name.lower())

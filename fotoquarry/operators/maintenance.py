@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.session import durable
+from .hierarchy import descendants, resolve_names
+from .ranking import ranked
 
 
 def merge_rating(a: Column, b: Column) -> Column:
@@ -40,7 +43,11 @@ def index_diff(scan: DataFrame, photos: DataFrame, max_year: int, force: bool =
     return j.select("path", action.alias("action"))
 
 
-def ingest_counts(diff: DataFrame) -> DataFrame:
+def ingest_counts(diff: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(result, n): added, updated, unchanged, and errors for the files to read that are among ``failed`` (path)."""
+    if failed is not None:
+        bad = failed.select(F.col("path").alias("_f")).distinct()
+        diff = diff.join(bad, F.col("path") == F.col("_f"), "left").withColumn("action", F.when(F.col("_f").isNotNull() & F.col("action").isin("added", "read"), "errors").otherwise(F.col("action")))
     kind = F.when(F.col("action").isin("unchanged", "mtime_only"), "unchanged").when(F.col("action") == "read", "updated").otherwise(F.col("action"))
     return diff.groupBy(kind.alias("result")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -52,15 +59,9 @@ def upsert(photos: DataFrame, records: DataFrame) -> DataFrame:
     that the file is the same. New paths get ids after the largest.
     """
     new = records.select(*[F.col(c).alias(f"n_{c}") for c in ("path", "filename", "media_type", "year", "month", "filesize", "width", "height", "duration", "mtime")])
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     fresh = new.join(photos.select(F.col("path").alias("_p")), F.col("n_path") == F.col("_p"), "left_anti")
-    # Ids by a count of each path range before, so that no window covers all rows.
-    part = F.pmod(F.xxhash64("n_path"), F.lit(256)).alias("_part")
-    counts = fresh.groupBy(part).agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select(F.col("_part").alias("_q"), (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # 256 rows
-    fresh = fresh.withColumn("_part", part).join(starts, F.col("_part") == F.col("_q")).withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("n_path")) + F.col("_before"))
-    fresh = fresh.join(F.broadcast(top)).select(
-        (F.col("_top") + F.col("_k")).alias("id"), *[F.col(f"n_{c}").alias(c) for c in ("path", "filename", "media_type", "year", "month", "filesize", "width", "height", "duration", "mtime")],
+    fresh = numbered_after(fresh, photos, ["n_path"]).select(
+        "id", *[F.col(f"n_{c}").alias(c) for c in ("path", "filename", "media_type", "year", "month", "filesize", "width", "height", "duration", "mtime")],
         F.lit(None).cast("string").alias("md5"), F.lit(0).alias("rating"), F.lit(False).alias("favorite"), F.lit(None).cast("string").alias("note"),
     )
     j = photos.join(new, F.col("path") == F.col("n_path"), "left")
@@ -75,7 +76,7 @@ def upsert(photos: DataFrame, records: DataFrame) -> DataFrame:
 
 
 #: What a trash entry keeps of a photo; its time and fingerprint are made anew after a restore.
-TRASH_FIELDS = ("path", "filename", "media_type", "year", "month", "filesize", "width", "height", "duration", "md5", "rating", "favorite", "note")
+TRASH_FIELDS = ("path", "filename", "media_type", "year", "month", "filesize", "width", "height", "duration", "md5", "added_at", "rating", "favorite", "note")
 
 
 def delete_to_trash(photos: DataFrame, photo_tags: DataFrame, tags: DataFrame, gone: DataFrame, batch: str, reason: str, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -111,6 +112,47 @@ def restored_tags(trash: DataFrame, tags: DataFrame, batch: str) -> tuple[DataFr
     return pairs.select("path", "name").distinct(), lost
 
 
+def restore(photos: DataFrame, photo_tags: DataFrame, tags: DataFrame, categories: DataFrame, trash: DataFrame, batch: str) -> dict[str, DataFrame]:
+    """The catalogue after a batch came back: photos, photo_tags, tags, categories, trash, and counts (restored, merged).
+
+    A photo whose path is free comes back with a new id and all that its entry kept; where the
+    path is in the catalogue again, that photo takes the higher rating, a favourite, a note if it
+    has none, and the entry's tags. Tags that are gone are made again, and their categories. Of
+    several entries of one path the first by its fields comes back and the others merge into it.
+    """
+    entries = durable(trash.where(F.col("batch_id") == batch).select("path", "photo", "tags"))
+    by = entries.groupBy("path").agg(F.min("photo").alias("photo"), F.max("photo.rating").alias("_r"), F.bool_or("photo.favorite").alias("_f"), F.min(F.nullif("photo.note", F.lit(""))).alias("_n"), F.count(F.lit(1)).alias("_many"))
+    j = photos.join(by.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left")
+    merged = {"rating": F.when(F.col("_p").isNotNull(), merge_rating(F.col("rating"), F.col("_r"))).otherwise(F.col("rating")), "favorite": merge_favorite(F.col("favorite"), F.col("_f")), "note": F.when(F.col("_p").isNotNull(), merge_note(F.col("note"), F.col("_n"))).otherwise(F.col("note"))}
+    there = j.select(*[merged.get(c, F.col(c)).alias(c) for c in photos.columns])
+    gone = by.join(photos.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"), "left_anti")
+    new = numbered_after(gone.select(F.col("path").alias("_key"), *[F.col("photo")[c].alias(c) for c in TRASH_FIELDS if c not in ("rating", "favorite", "note")], merge_rating(F.col("photo.rating"), F.col("_r")).alias("rating"), F.coalesce("_f", F.lit(False)).alias("favorite"), merge_note(F.col("photo.note"), F.col("_n")).alias("note")), photos, ["_key"]).drop("_key")
+    after = durable(there.unionByName(new, allowMissingColumns=True))
+    pairs, lost = restored_tags(trash, tags, batch)
+    made = lost.select(F.col("name"), F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"))
+    tags2 = durable(tags.unionByName(numbered_after(made, tags, ["name"]).withColumns({c: F.lit(False) for c in ("hidden", "sidebar_hidden") if c in tags.columns}), allowMissingColumns=True))
+    cats = categories.select("name").unionByName(made.select(F.col("category").alias("name")).distinct().join(categories.select(F.lower("name").alias("_k")), F.lower("name") == F.col("_k"), "left_anti"))
+    named = pairs.join(tags2.select(F.col("id").alias("tag_id"), F.lower("name").alias("_n")), F.lower("name") == F.col("_n")).join(after.select(F.col("id").alias("photo_id"), "path"), "path").select("photo_id", "tag_id")
+    n = by.join(photos.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"), "left").agg(F.count_if(F.col("_p").isNull()).alias("restored"), (F.sum("_many") - F.count_if(F.col("_p").isNull())).alias("merged"))
+    return {"photos": after, "photo_tags": photo_tags.select("photo_id", "tag_id").unionByName(named).distinct(), "tags": tags2, "categories": cats, "trash": delete_batch(trash, batch), "counts": n}
+
+
+#: Fixed value: the colour of a tag that is made without one.
+DEFAULT_COLOR = "#4A9EFF"
+
+
+def numbered_after(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` with ids after the largest of ``old``, in the order of the given columns, which have no ties."""
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    kind = old.schema["id"].dataType
+    return ranked(new, [F.col(c) for c in order], ("_rank", "_total")).join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_rank") + 1).cast(kind)).drop("_top", "_rank", "_total")
+
+
+def delete_batch(trash: DataFrame, batch: str) -> DataFrame:
+    """What stays in the trash without one batch."""
+    return trash.where(~F.col("batch_id").eqNullSafe(F.lit(batch)))
+
+
 def purge(trash: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:
     """What stays after entries older than so many days went; all go without a number."""
     return trash.where(F.lit(False)) if days is None else trash.where(F.col("deleted_at") >= as_of - F.make_dt_interval(F.lit(days)))
@@ -133,13 +175,9 @@ def relocation_preview(plan: DataFrame, present: DataFrame, sample: int = 25) ->
 
 
 def evenly_spaced(plan: DataFrame, sample: int = 25) -> DataFrame:
-    """Every (n div sample)-th row by id, ``sample`` at most; rows are numbered by ranges of the id, not in one window."""
-    width = F.floor(F.col("id") / 4096)
-    counts = plan.groupBy(width.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select(F.col("_b").alias("_q"), (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
-    k = F.row_number().over(Window.partitionBy("_b").orderBy("id")) - 1 + F.col("_before")
+    """Every (n div sample)-th row by id, ``sample`` at most."""
+    rows = ranked(plan, [F.col("id")], ("_k", "_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / sample)).cast("long")
-    rows = plan.withColumn("_b", width).join(starts, F.col("_b") == F.col("_q")).withColumn("_k", k)
     return rows.where((F.col("_k") % step == 0) & (F.col("_k") / step < sample)).select(*plan.columns)
 
 
@@ -158,12 +196,16 @@ def apply_relocation(photos: DataFrame, photo_tags: DataFrame, plan: DataFrame)
 
 def match_import(wanted: DataFrame, photos: DataFrame) -> DataFrame:
     """(path, photo_id, match_kind) of each wanted (path, filename, filesize): by path, else by name and size if one photo alone has them."""
+    return _matched(wanted, photos).select("path", "photo_id", "match_kind")
+
+
+def _matched(wanted: DataFrame, photos: DataFrame) -> DataFrame:
     p = photos.select(F.col("id").alias("_i"), F.col("path").alias("_p"))
     exact = wanted.join(p, F.col("path") == F.col("_p"), "left")
     named = photos.groupBy(F.lower("filename").alias("_f"), F.col("filesize").alias("_s")).agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_j")).where("_c = 1")
     j = exact.join(named, (F.lower("filename") == F.col("_f")) & (F.col("filesize") == F.col("_s")), "left")
     kind = F.when(F.col("_i").isNotNull(), "path").when(F.col("_j").isNotNull(), "name").otherwise("missing")
-    return j.select("path", F.coalesce("_i", "_j").alias("photo_id"), kind.alias("match_kind"))
+    return j.select(*wanted.columns, F.coalesce("_i", "_j").alias("photo_id"), kind.alias("match_kind"))
 
 
 def new_pairs(pairs: DataFrame, photo_tags: DataFrame) -> DataFrame:
@@ -179,6 +221,94 @@ def merge_extras(photos: DataFrame, extras: DataFrame) -> DataFrame:
     return j.select(*[c for c in photos.columns if c not in ("rating", "favorite", "note")], rating.alias("rating"), merge_favorite(F.col("favorite"), F.col("_f")).alias("favorite"), merge_note(F.col("note"), F.col("_n")).alias("note"))
 
 
+def create_tags(names: DataFrame, tags: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tags, (name, tag_id)) after every wanted (name, category, color) that is neither a tag's name nor an alias became a tag.
+
+    Names are trimmed and in lower case; empty ones are left out. Of several wishes for one name
+    the first by category and colour counts.
+    """
+    clean = names.select(F.lower(F.trim("name")).alias("name"), F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color")).where("name <> ''")
+    clean = clean.groupBy("name").agg(F.min(F.struct("category", "color")).alias("x")).select("name", "x.category", "x.color")
+    new = resolve_names(clean.select("name"), tags, aliases).where("tag_id IS NULL").select("name")
+    made = numbered_after(clean.join(new, "name", "left_semi"), tags, ["name"]).withColumns({c: F.lit(False) for c in ("hidden", "sidebar_hidden") if c in tags.columns})
+    after = durable(tags.unionByName(made, allowMissingColumns=True))
+    return after, resolve_names(clean.select("name"), after, aliases)
+
+
+def import_catalogue(tags_in: DataFrame, categories_in: DataFrame, assignments: DataFrame, photos: DataFrame, photo_tags: DataFrame, tags: DataFrame, categories: DataFrame, aliases: DataFrame, rejections: DataFrame) -> dict[str, DataFrame]:
+    """The catalogue after an import: photos, photo_tags, tags, categories, aliases, rejections, and counts (one row).
+
+    ``tags_in`` (name, category, color, parent, aliases), ``categories_in`` (name) and
+    ``assignments`` (path, filename, filesize, tags, rejected, rating, favorite, note) as an export
+    has them. Nothing is overwritten or taken away: tags are made where neither a tag nor an alias
+    has the name; a parent is set where a tag has none and no cycle arises; aliases where a tag has
+    none and no name is taken; ratings rise, notes fill gaps; a rejection counts unless the photo
+    has the tag or no tag has the name.
+    """
+    named = tags_in.where("trim(name) <> ''").withColumn("name", F.lower(F.trim("name")))
+    known = tags.select(F.lower("name").alias("_k"))
+    matched = durable(_matched(assignments, photos))
+    own = matched.where("photo_id IS NOT NULL")
+    pairs = durable(own.select("photo_id", F.explode("tags").alias("name")).select("photo_id", F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct())
+    # Tags of the list first: they are made whatever aliases there are; then names that only assignments have.
+    first = named.join(known, F.col("name") == F.col("_k"), "left_anti").select("name", F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"))
+    first = first.groupBy("name").agg(F.min(F.struct("category", "color")).alias("x")).select("name", "x.category", "x.color")
+    made = numbered_after(first, tags, ["name"]).withColumns({c: F.lit(False) for c in ("hidden", "sidebar_hidden") if c in tags.columns})
+    listed = durable(tags.unionByName(made, allowMissingColumns=True))
+    after, ids = create_tags(pairs.select("name").distinct().withColumns({"category": F.lit(None).cast("string"), "color": F.lit(None).cast("string")}), listed, aliases)
+    # Parents and aliases where there are none.
+    by_name = after.select(F.col("id").alias("_i"), F.lower("name").alias("_n"))
+    wish = named.join(by_name, F.col("name") == F.col("_n")).select(F.col("_i").alias("tag"), F.lower(F.trim("parent")).alias("parent"), "aliases")
+    asked = wish.join(by_name, F.col("parent") == F.col("_n")).groupBy("tag").agg(F.min("_i").alias("parent"))
+    free = asked.join(after.where("parent_id IS NULL").select(F.col("id").alias("_i")), F.col("tag") == F.col("_i"), "left_semi").where("tag <> parent")
+    joined = after.join(free, F.col("id") == F.col("tag"), "left").withColumn("parent_id", F.coalesce("parent_id", "parent")).drop("tag", "parent")
+    joined = durable(joined)
+    # A wish that closes a cycle is dropped: its tag would be its own ancestor.
+    circle = descendants(joined).select("ancestor", F.col("tag").alias("below"))
+    closes = free.join(circle, (F.col("tag") == F.col("ancestor")) & (F.col("parent") == F.col("below"))).select(F.col("tag").alias("_c")).distinct()
+    new_tags = durable(joined.join(closes, F.col("id") == F.col("_c"), "left").withColumn("parent_id", F.when(F.col("_c").isNull(), F.col("parent_id"))).drop("_c"))
+    have = aliases.select(F.col("tag_id").alias("_h")).distinct()
+    more = wish.join(have, F.col("tag") == F.col("_h"), "left_anti").select("tag", F.explode("aliases").alias("alias")).select("tag", F.lower(F.trim("alias")).alias("alias")).where("alias <> ''").distinct()
+    taken = new_tags.select(F.lower("name").alias("_n")).unionByName(aliases.select(F.lower("alias").alias("_n"))).unionByName(more.groupBy("alias").count().where("count > 1").select(F.col("alias").alias("_n"))).distinct()
+    clash = more.join(taken, F.col("alias") == F.col("_n"), "left_semi").select(F.col("tag").alias("_t")).distinct()
+    more = more.join(clash, F.col("tag") == F.col("_t"), "left_anti").select("alias", F.col("tag").cast("int").alias("tag_id"))
+    # Pairs, extras, rejections.
+    wanted = durable(pairs.join(ids, "name").select("photo_id", F.col("tag_id").cast("int").alias("tag_id")).distinct())
+    added = durable(new_pairs(wanted, photo_tags))
+    all_pairs = photo_tags.select("photo_id", "tag_id").unionByName(added)
+    extras = own.where("coalesce(rating, 0) <> 0 OR favorite OR note <> ''").select("photo_id", S.clean_rating(F.col("rating")).alias("rating"), F.coalesce("favorite", F.lit(False)).alias("favorite"), F.nullif("note", F.lit("")).alias("note"))
+    raised = durable(merge_extras(photos, extras))
+    old = photos.select(F.col("id").alias("_i"), F.struct("rating", "favorite", F.coalesce("note", F.lit("")).alias("note")).alias("_old"))
+    changed = raised.join(old, F.col("id") == F.col("_i")).where(F.struct("rating", "favorite", F.coalesce("note", F.lit("")).alias("note")) != F.col("_old"))
+    no = own.select("photo_id", F.explode("rejected").alias("name"))
+    no = resolve_names(no.select("name").distinct(), new_tags, aliases).where("tag_id IS NOT NULL").join(no, "name").select(F.col("tag_id").cast("int").alias("tag_id"), "photo_id").distinct()
+    cats = categories.select("name").unionByName(categories_in.select("name").where("name IS NOT NULL").distinct().join(categories.select(F.lower("name").alias("_k")), F.lower("name") == F.col("_k"), "left_anti"))
+    one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    kinds = matched.agg(*[F.count_if(F.col("match_kind") == k).alias(n) for k, n in (("path", "photos_matched"), ("name", "photos_by_name"), ("missing", "photos_missing"))])
+    counts = kinds.join(new_tags.join(tags.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti").agg(F.count(F.lit(1)).alias("created")))
+    counts = counts.join(one(named.join(known.distinct(), F.col("name") == F.col("_k"), "left_semi"), "skipped")).join(one(added, "pairs_added")).join(one(changed, "extras_added"))
+    return {"photos": raised, "photo_tags": all_pairs, "tags": new_tags, "categories": cats, "aliases": aliases.select("alias", F.col("tag_id").cast("int").alias("tag_id")).unionByName(more), "rejections": import_rejections(rejections, no, all_pairs), "counts": counts}
+
+
+def import_sidecars(found: DataFrame, photos: DataFrame, photo_tags: DataFrame, tags: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """The catalogue after the tags and ratings of sidecars were added: photos, photo_tags, tags, and counts (one row).
+
+    ``found``: (photo_id, tags array of (name, category), rating), a row for each photo with a
+    readable sidecar. Tags that neither a name nor an alias has are made, in their category.
+    """
+    own = durable(found.where("size(tags) > 0 OR rating > 0"))
+    named = own.select("photo_id", F.explode("tags").alias("t")).select("photo_id", "t.name", "t.category")
+    after, ids = create_tags(named.select("name", "category", F.lit(None).cast("string").alias("color")), tags, aliases)
+    pairs = named.select("photo_id", F.lower(F.trim("name")).alias("name")).join(ids, "name").select("photo_id", F.col("tag_id").cast("int").alias("tag_id")).distinct()
+    added = durable(new_pairs(pairs, photo_tags))
+    rated = own.where("rating > 0").select("photo_id", "rating", F.lit(False).alias("favorite"), F.lit(None).cast("string").alias("note"))
+    raised = durable(merge_extras(photos, rated))
+    old = photos.select(F.col("id").alias("_i"), F.col("rating").alias("_r"))
+    counts = photos.agg(F.count(F.lit(1)).alias("checked")).join(own.agg(F.count(F.lit(1)).alias("with_xmp"))).join(added.agg(F.count(F.lit(1)).alias("pairs_added")))
+    counts = counts.join(after.join(tags.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti").agg(F.count(F.lit(1)).alias("tags_created"))).join(raised.join(old, F.col("id") == F.col("_i")).agg(F.count_if(F.col("rating") > F.coalesce("_r", F.lit(0))).alias("ratings_added")))
+    return {"photos": raised, "photo_tags": photo_tags.select("photo_id", "tag_id").unionByName(added), "tags": after, "counts": counts}
+
+
 def import_rejections(rejections: DataFrame, wanted: DataFrame, photo_tags: DataFrame) -> DataFrame:
     """All rejections after the wanted (tag_id, photo_id), but none where the photo has the tag."""
     ok = wanted.select("tag_id", "photo_id").join(photo_tags.select("tag_id", "photo_id"), ["tag_id", "photo_id"], "left_anti")

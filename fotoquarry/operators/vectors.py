@@ -1,7 +1,7 @@
 """Vector search, centroids, thresholds and content suggestions.
 
-Query vectors and centroids are bounded (a few queries, one centroid a tag) and are checked by
-Spark's own broadcast threshold; the photo vectors are never collected.
+Query vectors and centroids (one a tag) are counted before they are sent to all tasks, see
+``beside``; the photo vectors are never collected.
 """
 
 from __future__ import annotations
@@ -10,10 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.session import durable
+from .ranking import ranked as ranked_rows
 
 SIMILAR_MIN, RESULTS_MAX, TEXT_MIN_Z, MIN_EXAMPLES, PERCENTILE = 0.83, 1000, 2.5, 5, 0.25
 
 
+def beside(many: DataFrame, few: DataFrame, n: int, most: int = 10_000) -> DataFrame:
+    """Every row of ``many`` with every one of the n rows of ``few``: sent to all tasks up to ``most`` rows, beyond in blocks of so many that meet blocks of the other side."""
+    if n <= most:
+        return many.join(F.broadcast(few))
+    blocks, salts = -(-n // most), 200
+    left = many.withColumn("_s", F.pmod(F.xxhash64(*[c for c in many.columns if c != "vec"]), F.lit(salts))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = few.withColumn("_b", F.pmod(F.xxhash64(*[c for c in few.columns if c in ("query", "tag_id")]), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, ["_b", "_s"]).drop("_b", "_s")
+
+
 def scores(vectors: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
     """(query, photo_id, score): inner product of each stated query with every vector; zero vectors left out.
 
@@ -22,8 +34,7 @@ def scores(vectors: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFr
     n = queries.limit(most + 1).count()
     if n > most:
         raise ValueError(f"over {most} query vectors")
-    q = F.broadcast(queries.select("query", "qvec"))
-    return vectors.where(~S.is_zero(F.col("vec"))).join(q).select("query", "photo_id", S.dot(F.col("vec"), F.col("qvec")).alias("score"))
+    return beside(vectors.where(~S.is_zero(F.col("vec"))), queries.select("query", "qvec"), n, most).select("query", "photo_id", S.dot(F.col("vec"), F.col("qvec")).alias("score"))
 
 
 def scores_arrow(vectors: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
@@ -38,8 +49,8 @@ def scores_arrow(vectors: DataFrame, queries: list[tuple[int, list[float]]]) ->
         m = np.array([v for _, v in shared.value], float)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(batch.column(1).to_pylist(), float).reshape(len(ids), -1)
             if len(ids):
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
                 s = x @ m.T
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(ids))), pa.array(np.repeat(ids, len(names))), pa.array(s.ravel())], ["query", "photo_id", "score"])
 
@@ -69,7 +80,12 @@ def centroids(vectors: DataFrame, tagged: DataFrame, least: int = MIN_EXAMPLES)
 def thresholds(vectors: DataFrame, tagged: DataFrame, cents: DataFrame, share: float = PERCENTILE) -> DataFrame:
     """(tag_id, threshold): the share's percentile of the members' scores with their own centroid."""
     own = vectors.where(~S.is_zero(F.col("vec"))).join(tagged, "photo_id").join(cents, "tag_id")
-    return own.select("tag_id", S.dot(F.col("vec"), F.col("centroid")).alias("s")).groupBy("tag_id").agg(F.percentile("s", F.lit(share)).alias("threshold"))
+    rows = ranked_rows(own.select("tag_id", "photo_id", S.dot(F.col("vec"), F.col("centroid")).alias("s")), [F.col("tag_id"), F.col("s"), F.col("photo_id")])
+    # The two scores around the percentile by their place in their tag, so that no task holds a tag's scores.
+    spans = rows.groupBy("tag_id").agg(F.min("rank").alias("first"), ((F.count(F.lit(1)) - 1) * F.lit(share)).alias("at"))
+    near = rows.join(spans, "tag_id").withColumn("k", F.col("rank") - F.col("first")).where((F.col("k") == F.floor("at")) | (F.col("k") == F.ceil("at")))
+    ends = near.groupBy("tag_id").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.first("at").alias("at"))
+    return ends.select("tag_id", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("threshold"))
 
 
 def contrast(scored: DataFrame, good: list[int], bad: list[int]) -> DataFrame:
@@ -85,7 +101,8 @@ def content_suggestions(vectors: DataFrame, tagged: DataFrame, visible: DataFram
     """
     c = centroids(vectors, tagged)
     limits = c.join(thresholds(vectors, tagged, c), "tag_id").join(visible, "tag_id").select("tag_id", "name", "centroid", "threshold")
-    met = vectors.where(~S.is_zero(F.col("vec"))).join(F.broadcast(limits)).withColumn("s", S.dot(F.col("vec"), F.col("centroid"))).where("s >= threshold")
+    limits = durable(limits)
+    met = beside(vectors.where(~S.is_zero(F.col("vec"))), limits, limits.count()).withColumn("s", S.dot(F.col("vec"), F.col("centroid"))).where("s >= threshold")
     new = met.select("photo_id", "tag_id", "name", "s").join(tagged, ["photo_id", "tag_id"], "left_anti")
     w = Window.partitionBy("photo_id").orderBy(F.desc("s"), "name")
     return new.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("photo_id", "tag_id", F.round("s", 3).alias("score"))

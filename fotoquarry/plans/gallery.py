@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -12,7 +14,8 @@ from ..operators.gallery import gallery as run
 from .define import Book
 
 book = Book()
-MAX_YEAR = 2027
+#: A file of next year is plausible, one of a later year is not.
+MAX_YEAR = datetime.date.today().year + 1
 HID = "(SELECT pt.photo_id FROM photo_tags pt JOIN tags t ON t.id = pt.tag_id WHERE t.hidden)"
 #: Descendants with the tag itself, for the SQL twins.
 CLOSURE = """WITH RECURSIVE clo(a, t) AS (SELECT id, id FROM tags UNION SELECT clo.a, tags.id FROM clo JOIN tags ON tags.parent_id = clo.t)
@@ -38,12 +41,10 @@ book.add(
 )
 book.add(
     "shape_of_photo",
-    lambda c: c.photos.select("id", S.orientation(F.col("width"), F.col("height")).alias("shape"), S.pixels(F.col("width"), F.col("height")).alias("pixels")),
-    """SELECT id, CASE WHEN width * 50 BETWEEN height * 49 AND height * 51 THEN 'square' WHEN width * 50 > height * 51 THEN 'landscape' WHEN width * 50 < height * 49 THEN 'portrait' END AS shape,
+    lambda c: c.photos.select("id", *[S.has_shape(F.col("width"), F.col("height"), x).alias(x) for x in ("landscape", "portrait", "square")], S.pixels(F.col("width"), F.col("height")).alias("pixels")),
+    """SELECT id, width * 50 > height * 51 AS landscape, height * 50 > width * 51 AS portrait, width * 50 BETWEEN height * 49 AND height * 51 AS square,
       width * height AS pixels FROM photos""",
 )
-_CUTS = r"""
-  list_filter([CASE WHEN true THEN x END FOR x IN list_zip(regexp_extract_all({0}, '{1}', 1), regexp_extract_all({0}, '{1}', 2), {2})], lambda x: CAST(x[1] AS INT) BETWEEN 1990 AND 2027{3})[1]"""
 
 
 def _first(col: str) -> str:
@@ -55,7 +56,7 @@ def _first(col: str) -> str:
         (r"(?:IMG|VID)[_\-]([0-9]{4})([0-9]{2})([0-9]{2})", three, strict),
         (r"([0-9]{4})[_\-]([0-9]{2})(?:[^_\-0-9]|$)", two, ""),
     ]
-    one = lambda p, third, more: f"list_filter(list_zip(regexp_extract_all({col}, '{p}', 1), regexp_extract_all({col}, '{p}', 2), {third.replace('{0}', col).replace('{1}', p)}), lambda x: CAST(x[1] AS INT) BETWEEN 1990 AND 2027{more})[1]"
+    one = lambda p, third, more: f"list_filter(list_zip(regexp_extract_all({col}, '{p}', 1), regexp_extract_all({col}, '{p}', 2), {third.replace('{0}', col).replace('{1}', p)}), lambda x: CAST(x[1] AS INT) BETWEEN 1990 AND {MAX_YEAR}{more})[1]"
     return "coalesce(" + ", ".join(one(*r) for r in rules) + ")"
 
 
@@ -72,13 +73,13 @@ book.add(
 )
 book.add(
     "labels_of_photo",
-    lambda c: c.photos.select("id", S.stars(F.col("rating")).alias("stars"), S.clock(F.col("duration")).alias("clock"), S.short_name(F.col("filename")).alias("short"), S.human_size(F.col("filesize")).alias("size"), S.month_label(F.col("year"), F.col("month")).alias("label")),
+    lambda c: c.photos.select("id", S.stars(F.col("rating")).alias("stars"), S.clock(F.col("duration")).alias("clock"), S.short_name(F.col("filename")).alias("short"), S.human_size(F.expr("CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN filesize div 100 WHEN 3 THEN filesize div 512 * 512 WHEN 4 THEN filesize * 10000 ELSE filesize END")).alias("size"), S.month_label(F.col("year"), F.col("month")).alias("label")),
     """SELECT id, CASE WHEN rating > 0 THEN repeat('★', rating) || repeat('☆', 5 - rating) ELSE '' END AS stars,
-      CASE WHEN duration IS NOT NULL THEN CAST(CAST(floor(duration) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(duration) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS clock,
-      CASE WHEN length(filename) > 22 THEN substr(filename, 1, 19) || '...' ELSE filename END AS short,
-      CASE WHEN filesize < 1024 THEN CAST(filesize AS VARCHAR) || ' B' WHEN filesize < 1048576 THEN CAST(filesize // 1024 AS VARCHAR) || ' KB' ELSE printf('%.1f', round(filesize / 1048576.0, 1)) || ' MB' END AS size,
-      CASE WHEN year IS NULL THEN 'Sin fecha' WHEN month IS NULL THEN CAST(year AS VARCHAR)
-        ELSE ['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'][month] || ' ' || CAST(year AS VARCHAR) END AS label FROM photos""",
+      CASE WHEN coalesce(duration, 0) <> 0 THEN printf('%d:%02d', CAST(trunc(duration) AS BIGINT) // 60, CAST(trunc(duration) AS BIGINT) % 60) ELSE '' END AS clock,
+      CASE WHEN length(filename) > 22 THEN substr(filename, 1, 22) || '…' ELSE filename END AS short,
+      CASE WHEN coalesce(n, 0) = 0 THEN '—' WHEN n < 1024 THEN printf('%.0f B', CAST(n AS DOUBLE)) WHEN n < 1024 * 1024 THEN printf('%.0f KB', n / 1024.0) WHEN n < 1024 * 1024 * 1024 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size,
+      CASE WHEN coalesce(year, 0) = 0 THEN 'Sin fecha' WHEN month IS NULL THEN CAST(year AS VARCHAR)
+        ELSE ['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'][month] || ' ' || CAST(year AS VARCHAR) END AS label FROM (SELECT *, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN filesize // 100 WHEN 3 THEN filesize // 512 * 512 WHEN 4 THEN filesize * 10000 ELSE filesize END AS n FROM photos)""",
 )
 book.add(
     "cleaned_extras",
@@ -93,6 +94,29 @@ book.add(
 book.add("document_digests", lambda c: c.base("documents").select("doc_id", F.md5("text").alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
 book.add("normalised_names", lambda c: c.photos.select("id", S.normal_text(F.col("filename")).alias("plain")), "SELECT id, trim(regexp_replace(lower(filename), '[^a-z0-9]+', ' ', 'g')) AS plain FROM photos")
 
+_EXIF = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Canon' WHEN 2 THEN '' ELSE 'Sony' END AS make, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'CANON EOS 5' WHEN 2 THEN '' ELSE 'A7' END AS model,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('lens ', CAST(o_custkey % 9 AS STRING)) END AS lens, {dates},
+  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 1.0E0 / (o_custkey % 500 + 2) WHEN 2 THEN CAST(o_custkey % 40 AS DOUBLE) ELSE 1.0E0 + (o_custkey % 60) / 8.0E0 END AS exposure, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 8.0E0 ELSE (o_custkey % 90 + 10) / 10.0E0 END AS aperture,
+  CASE o_orderkey % 4 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE CAST(100 * (o_custkey % 64) AS INT) END AS iso, CASE o_orderkey % 4 WHEN 2 THEN NULL ELSE (o_custkey % 800) / 4.0E0 END AS focal FROM {orders}"""
+_DAY = "concat(CAST(year(o_orderdate) AS STRING), ':', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), ':', lpad(CAST(day(o_orderdate) AS STRING), 2, '0'))"
+_DATES = f"CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' WHEN 2 THEN '0000:00:00 00:00:00' ELSE concat({_DAY}, ' 07:08:09') END AS taken, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '2999:01:01' ELSE {_DAY} END AS digitized, '2001:02:03 04:05:06' AS modified"
+_exif = lambda c: c.spark.sql(_EXIF.replace("{dates}", _DATES), orders=c.base("orders"))
+_G = "printf('%g', CAST({0} AS DOUBLE))"
+book.add(
+    "exif_details",
+    lambda c: (lambda e: e.select("id", dates.exif_details({k: F.col(k) for k in ("make", "model", "lens", "taken", "exposure", "aperture", "iso", "focal")}).alias("d")).select("id", *[F.col("d")[k].alias(n) for k, n in (("Cámara", "camera"), ("Objetivo", "lens"), ("Tomada", "taken"), ("Ajustes", "settings"))]))(_exif(c)),
+    f"""WITH e AS ({_EXIF.replace("{dates}", _DATES).replace("{orders}", "orders")}), m AS (SELECT *, coalesce(trim(make), '') AS mk, coalesce(trim(model), '') AS md FROM e)
+     SELECT id, CASE WHEN mk = '' AND md = '' THEN NULL WHEN md = '' THEN mk WHEN mk = '' OR starts_with(lower(md), lower(mk)) THEN md ELSE mk || ' ' || md END AS camera, nullif(trim(lens), '') AS lens, strftime(try_strptime(taken[:19], '%Y:%m:%d %H:%M:%S'), '%d/%m/%Y %H:%M') AS taken,
+       nullif(concat_ws(' · ', CASE WHEN exposure > 0 AND exposure < 1 THEN '1/' || CAST(CAST(round_even(1 / exposure, 0) AS BIGINT) AS VARCHAR) || ' s' WHEN exposure >= 1 THEN {_G.format('exposure')} || ' s' END,
+         CASE WHEN aperture <> 0 THEN 'f/' || replace(printf('%.1f', aperture), '.0', '') END, CASE WHEN iso <> 0 THEN 'ISO ' || CAST(iso AS VARCHAR) END, CASE WHEN focal <> 0 THEN {_G.format('focal')} || ' mm' END), '') AS settings FROM m""",
+)
+_D = lambda x: f"(SELECT CASE WHEN year(t) BETWEEN 1900 AND {MAX_YEAR} THEN [year(t), month(t)] END FROM (SELECT try_strptime(trim({x})[:10], '%Y:%m:%d') AS t))"
+book.add(
+    "exif_dates",
+    lambda c: _exif(c).select("id", dates.exif_first(F.col("taken"), F.col("digitized"), F.col("modified"), MAX_YEAR).alias("d"), dates.exif_date(F.col("taken"), MAX_YEAR).alias("o")).select("id", "d.year", "d.month", F.col("o.year").alias("original_year")),
+    f"WITH e AS ({_EXIF.replace('{dates}', _DATES).replace('{orders}', 'orders')}), x AS (SELECT id, {_D('taken')} AS o, coalesce({_D('taken')}, {_D('digitized')}, {_D('modified')}) AS d FROM e) SELECT id, CAST(d[1] AS INT) AS year, CAST(d[2] AS INT) AS month, CAST(o[1] AS INT) AS original_year FROM x",
+)
+
 # Filters.
 _FILTERS = {
     "filter_not_hidden": ({"exclude_hidden": True}, f"id NOT IN {HID}"),
@@ -105,7 +129,9 @@ _FILTERS = {
     "filter_media": ({"media_type": "video"}, "media_type = 'video'"),
     "filter_years": ({"year_from": 1995, "year_to": 1997}, "year BETWEEN 1995 AND 1997"),
     "filter_pixels": ({"min_pixels": 12_000_000}, "width * height >= 12000000"),
-    "filter_shape": ({"orientation": "portrait"}, "width * 50 < height * 49"),
+    "filter_shape": ({"orientation": "portrait"}, "height * 50 > width * 51"),
+    "filter_landscape": ({"orientation": "landscape"}, "width * 50 > height * 51"),
+    "filter_square": ({"orientation": "square"}, "width * 50 BETWEEN height * 49 AND height * 51"),
     "filter_duration": ({"min_duration": 30, "max_duration": 300}, "media_type = 'video' AND duration >= 30 AND duration < 300"),
     "filter_rating": ({"min_rating": 4}, "rating >= 4"),
     "filter_favourites": ({"favorites_only": True}, "favorite"),
@@ -142,7 +168,7 @@ book.add("gallery_any", lambda c: run(c, GalleryQuery(tag_ids=(2, 3), match_any=
 book.add("review_queue", lambda c: run(c, GalleryQuery(exclude_tag_ids=(2,), not_rejected_for=2), True).select("id"), CLOSURE + f"SELECT id FROM photos WHERE NOT {_HAS2} AND id NOT IN (SELECT photo_id FROM tag_rejections WHERE tag_id = 2)")
 _SAVED = {"two or three": GalleryQuery(tag_ids=(2, 3), match_any=True), "portraits": GalleryQuery(orientation="portrait", min_rating=3), "not five": GalleryQuery(exclude_tag_ids=(5,), folder="D:\\Fotos"), "rejected nine": GalleryQuery(rejected_for=9)}
 book.add("saved_query_counts", lambda c: gallery.count_queries(c, _SAVED), CLOSURE + rf"""SELECT 'two or three' AS name, count(*) AS n FROM photos WHERE id NOT IN {HID} AND id IN (SELECT photo_id FROM photo_tags JOIN clo ON clo.t = tag_id WHERE clo.a IN (2, 3))
- UNION ALL SELECT 'portraits', count(*) FROM photos WHERE id NOT IN {HID} AND width * 50 < height * 49 AND rating >= 3
+ UNION ALL SELECT 'portraits', count(*) FROM photos WHERE id NOT IN {HID} AND height * 50 > width * 51 AND rating >= 3
  UNION ALL SELECT 'not five', count(*) FROM photos WHERE id NOT IN {HID} AND id NOT IN (SELECT photo_id FROM photo_tags JOIN clo ON clo.t = tag_id WHERE clo.a = 5) AND starts_with(lower(path), 'd:\fotos\')
  UNION ALL SELECT 'rejected nine', count(*) FROM photos WHERE id NOT IN {HID} AND id IN (SELECT photo_id FROM tag_rejections WHERE tag_id = 9)""")
 
@@ -154,8 +180,11 @@ for _field, _cols in gallery.ORDERS.items():
             f"page_by_{_field}_{'asc' if _asc else 'desc'}", lambda c, f=_field, a=_asc: gallery.page(c.photos, f, a, 100, 200).select("id", *[x for x in gallery.ORDERS[f] if x != "id"]),
             f"SELECT {', '.join(dict.fromkeys(('id', *_cols)))} FROM photos ORDER BY {_o} LIMIT 100 OFFSET 200",
         )
-book.add("row_numbers_by_date", lambda c: gallery.numbered(c.photos, "date", False), "SELECT id, row_number() OVER (ORDER BY year DESC NULLS LAST, month DESC NULLS LAST, id DESC) AS row_no FROM photos")
-book.add("row_numbers_oldest", lambda c: gallery.numbered(c.photos, "date", True), "SELECT id, row_number() OVER (ORDER BY year NULLS FIRST, month NULLS FIRST, id) AS row_no FROM photos")
+for _name, _field, _asc, _o in (
+    ("by_date", "date", False, "year DESC NULLS LAST, month DESC NULLS LAST, filename DESC, id DESC"), ("oldest", "date", True, "year NULLS FIRST, month NULLS FIRST, filename, id"), ("by_name", "filename", True, "filename, id"),
+    ("by_size", "filesize", False, "filesize DESC NULLS LAST, id DESC"), ("by_added", "added", True, "added_at NULLS FIRST, id"), ("by_rating", "rating", False, "rating DESC NULLS LAST, year DESC NULLS LAST, month DESC NULLS LAST, filename DESC, id DESC"),
+):
+    book.add(f"row_numbers_{_name}", lambda c, f=_field, a=_asc: gallery.numbered(c.photos, f, a), f"SELECT id, row_number() OVER (ORDER BY {_o}) AS row_no FROM photos")
 book.add("chronological_ids", lambda c: gallery.page(c.photos, "date", True).select("id"), "SELECT id FROM photos")
 book.add("page_numbers", lambda c: c.photos.agg(F.count(F.lit(1)).alias("n")).select("n", *gallery.page_numbers(F.col("n"), 100, 300)), "SELECT count(*) AS n, CAST(4 AS BIGINT) AS page_number, CAST(greatest(1, ceil(count(*) / 100.0)) AS BIGINT) AS total_pages, true AS has_previous, 4 < ceil(count(*) / 100.0) AS has_next FROM photos")
 for _n, (_args, _sql) in {

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import duplicates as D
 from ..operators import gallery, hierarchy, suggest
+from ..sources.catalog import with_views
 from .define import Book
 from .gallery import CLOSURE, HID
 
@@ -68,14 +69,14 @@ book.add("keep_best_duplicate", lambda c: D.keep_best(c.photos).select("md5", "i
 _SIMHASH = "WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS w FROM documents), x AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS x FROM w),"
 _H = "h AS (SELECT doc_id AS id, " + " + ".join(f"CASE WHEN sum(((x >> {k}) & 1) * 2 - 1) > 0 THEN CAST({1 << k} AS BIGINT) ELSE 0 END" for k in range(60)) + " AS h FROM x GROUP BY doc_id)"
 book.add("text_fingerprints", lambda c: D.text_fingerprint(c.base("documents")), f"{_SIMHASH} {_H} SELECT id, h FROM h")
-book.add("near_pairs", lambda c: D.near_pairs(D.text_fingerprint(c.base("documents")), 6).select("a", "b", F.col("distance").cast("long").alias("distance")), f"{_SIMHASH} {_H}, one AS (SELECT h, min(id) AS id FROM h WHERE h <> 0 GROUP BY h) SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.h, q.h)) AS BIGINT) AS distance FROM one p JOIN one q ON p.h < q.h AND bit_count(xor(p.h, q.h)) <= 6")
+book.add("near_pairs", lambda c: D.near_pairs(D.text_fingerprint(c.base("documents")), 6).select("a", "b", F.col("distance").cast("long").alias("distance")), f"{_SIMHASH} {_H}, one AS (SELECT h, min(id) AS id FROM h WHERE h <> 0 GROUP BY h) SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.h, q.h)) AS BIGINT) AS distance FROM one p JOIN one q ON p.h < q.h AND bit_count(xor(p.h, q.h)) <= 6 UNION ALL SELECT one.id, h.id, CAST(0 AS BIGINT) FROM h JOIN one ON h.h = one.h AND h.id > one.id")
 book.add(
     "near_pairs_and_members",
     lambda c: D.near_pairs_and_members(D.text_fingerprint(c.base("documents")), 6).select("a", "b", F.col("distance").cast("long").alias("distance")),
     f"""{_SIMHASH} {_H}, one AS (SELECT h, min(id) AS id FROM h WHERE h <> 0 GROUP BY h) SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.h, q.h)) AS BIGINT) AS distance FROM one p JOIN one q ON p.h < q.h AND bit_count(xor(p.h, q.h)) <= 6
      UNION ALL SELECT h.id, one.id, CAST(0 AS BIGINT) FROM h JOIN one ON h.h = one.h""",
 )
-book.add("hamming_distances", lambda c: c.base("events").select("event_id", S.hamming(F.xxhash64(F.lit(1)).bitwiseAND(F.lit(0)) + F.col("event_id"), F.col("user_id")).cast("long").alias("d")), "SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS BIGINT) AS d FROM events")
+book.add("hamming_distances", lambda c: c.base("events").select("event_id", S.hamming(F.col("event_id"), F.col("user_id")).cast("long").alias("d")), "SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS BIGINT) AS d FROM events")
 book.add("leader_groups", lambda c: D.leader_groups(D.text_fingerprint(c.base("documents")), 6))
 book.add(
     "similar_groups",
@@ -83,6 +84,15 @@ book.add(
 )
 book.add("perceptual_bits", lambda c: c.photo_embeddings.select("photo_id", S.perceptual_bits(F.col("vec")).alias("bits")), "SELECT photo_id, CASE WHEN b = 0 THEN 1 ELSE b END AS bits FROM (SELECT photo_id, list_reduce(list_transform(vec, lambda x: CAST(CASE WHEN x > list_sort(vec[2:64])[32] THEN 1 ELSE 0 END AS BIGINT)), lambda a, y: (a & 4611686018427387903) * 2 + y + CASE WHEN (a >> 62) & 1 = 1 THEN -9223372036854775808 ELSE 0 END) AS b FROM photo_embeddings)")
 
+_LED = f"""WITH RECURSIVE {_SIMHASH[5:]} {_H}, o AS MATERIALIZED (SELECT id, h, row_number() OVER (ORDER BY id) AS k FROM h WHERE h <> 0),
+  g(k, id, leader, centres) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(id BIGINT, h BIGINT)[])
+    UNION ALL SELECT k, id, coalesce(near, id), CASE WHEN near IS NULL THEN list_append(centres, {{'id': id, 'h': h}}) ELSE centres END
+    FROM (SELECT o.k, o.id, o.h, g.centres, list_filter(g.centres, lambda c: bit_count(xor(c.h, o.h)) <= 6)[1].id AS near FROM g JOIN o ON o.k = g.k + 1)),
+  led AS (SELECT id, leader FROM (SELECT id, leader, count(*) OVER (PARTITION BY leader) AS n FROM g WHERE k > 0) WHERE n > 1)"""
+book.oracles["leader_groups"] = with_views(f"{_LED} SELECT id, leader FROM led")
+book.oracles["similar_groups"] = with_views(f"""{_LED}, y AS (SELECT leader, count(*) AS n, CAST(sum(filesize) AS BIGINT) AS size, min(path) AS first_path, bool_or(p.id IN {HID}) AS hid, count(DISTINCT md5) AS m, count(*) FILTER (WHERE md5 IS NULL) AS nulls FROM led JOIN photos p ON p.id = led.id GROUP BY leader)
+  SELECT leader, n, size, first_path FROM y WHERE n > 1 AND NOT hid AND NOT (m = 1 AND nulls = 0)""")
+
 # The tag hierarchy.
 _C = "WITH RECURSIVE clo(a, t, d) AS (SELECT parent_id, id, 1 FROM tags WHERE parent_id IS NOT NULL UNION SELECT clo.a, tags.id, clo.d + 1 FROM clo JOIN tags ON tags.parent_id = clo.t)"
 _PATH = "WITH RECURSIVE p(id, depth, path, names) AS (SELECT id, 0, name, [name] FROM tags WHERE parent_id IS NULL UNION ALL SELECT t.id, depth + 1, path || ' › ' || t.name, list_append(names, t.name) FROM p JOIN tags t ON t.parent_id = p.id)"
@@ -91,25 +101,28 @@ book.add("tag_descendants", lambda c: hierarchy.descendants(c.tags), f"{_C} SELE
 book.add("tag_paths", lambda c: hierarchy.tag_paths(c.tags).select("id", "depth", "path"), f"{_PATH} SELECT id, depth, path FROM p")
 book.add("tag_tree_order", lambda c: hierarchy.tree_order(c.tags), f"{_PATH} SELECT id, depth, path FROM p")
 book.add("tag_search_text", lambda c: hierarchy.search_text(c.tags, c.tag_aliases), f"{_PATH}, al AS (SELECT tag_id, string_agg(alias, ' ' ORDER BY alias) AS al FROM tag_aliases GROUP BY 1) SELECT id, lower(concat_ws(' ', array_to_string(names, ' '), al)) AS text FROM p LEFT JOIN al ON tag_id = id")
-book.add("reparent_check", lambda c: hierarchy.reparent_check(c.tags, c.tags.select(F.col("id").alias("tag")).join(c.tags.where("id <= 8").select(F.col("id").alias("parent")))), f"{_C} SELECT x.id AS tag, y.id AS parent, x.id <> y.id AND NOT EXISTS (SELECT 1 FROM clo WHERE a = x.id AND t = y.id) AS allowed FROM tags x JOIN tags y ON y.id <= 8")
+book.add("reparent_check", lambda c: hierarchy.reparent_check(c.tags, c.tags.select(F.col("id").alias("tag"), "category").join(c.tags.select(F.col("id").alias("parent"), "category"), "category").drop("category")), f"{_C} SELECT x.id AS tag, y.id AS parent, x.id <> y.id AND NOT EXISTS (SELECT 1 FROM clo WHERE a = x.id AND t = y.id) AS allowed FROM tags x JOIN tags y ON y.category = x.category")
 book.add("resolve_names", lambda c: hierarchy.resolve_names(c.tag_aliases.select(F.upper("alias").alias("name")).unionByName(c.tags.select(F.concat(F.lit(" "), "name").alias("name"))), c.tags, c.tag_aliases), "SELECT upper(alias) AS name, tag_id FROM tag_aliases UNION ALL SELECT ' ' || name, id FROM tags")
-book.add("name_conflicts", lambda c: hierarchy.name_conflicts(c.tags, c.tag_aliases.unionByName(c.tags.where("id < 4").select(F.upper("name").alias("alias"), F.lit(9).alias("tag_id")))), "SELECT name, CAST(2 AS BIGINT) AS n FROM tags WHERE id < 4")
+book.add("name_conflicts", lambda c: hierarchy.name_conflicts(c.tags, c.tag_aliases.unionByName(c.tags.where("parent_id IS NULL").select(F.upper("name").alias("alias"), F.lit(9).alias("tag_id")))), "SELECT name, CAST(2 AS BIGINT) AS n FROM tags WHERE parent_id IS NULL")
 book.add("merge_tags_photos", lambda c: hierarchy.merge_tags(c.tags, c.photo_tags, c.tag_aliases, 3, 9)[1], "SELECT DISTINCT photo_id, CASE WHEN tag_id = 3 THEN 9 ELSE tag_id END AS tag_id FROM photo_tags")
 book.add("merge_tags_tree", lambda c: hierarchy.merge_tags(c.tags, c.photo_tags, c.tag_aliases, 3, 9)[0].select("id", "parent_id"), "SELECT id, CASE WHEN id = 9 THEN NULL WHEN parent_id = 3 THEN 9 ELSE parent_id END AS parent_id FROM tags WHERE id <> 3")
 book.add("merge_tags_aliases", lambda c: hierarchy.merge_tags(c.tags, c.photo_tags, c.tag_aliases, 4, 9)[2], "SELECT alias, CASE WHEN tag_id = 4 THEN 9 ELSE tag_id END AS tag_id FROM tag_aliases UNION SELECT name, 9 FROM tags WHERE id = 4")
 book.add("delete_tag_tree", lambda c: hierarchy.delete_tag(c.tags, c.photo_tags, 3)[0].select("id", "parent_id"), "SELECT id, CASE WHEN parent_id <> 3 THEN parent_id END AS parent_id FROM tags WHERE id <> 3")
 book.add("delete_tag_photos", lambda c: hierarchy.delete_tag(c.tags, c.photo_tags, 3)[1], "SELECT photo_id, tag_id FROM photo_tags WHERE tag_id <> 3")
-book.add("rename_category", lambda c: hierarchy.rename_category(c.tags, "CAT2", "viajes").select("id", "category"), "SELECT id, CASE WHEN category = 'cat2' THEN 'viajes' ELSE category END AS category FROM tags")
+book.add("rename_category", lambda c: hierarchy.rename_category(c.tags, c.categories, "cat2", " Viajes ")[0].select("id", "category"), "SELECT id, CASE WHEN category = 'cat2' THEN 'viajes' ELSE category END AS category FROM tags")
+
+book.add("categories_after_rename", lambda c: hierarchy.rename_category(c.tags, c.categories, "cat2", "CAT4")[1], "SELECT name FROM categories WHERE name <> 'cat2'")
+book.add("delete_category", lambda c: (lambda t, k: t.select("name", "category").unionByName(k.select("name", F.lit("").alias("category"))))(*hierarchy.delete_category(c.tags, c.categories, "cat1")), "SELECT name, CASE WHEN category = 'cat1' THEN 'general' ELSE category END AS category FROM tags UNION ALL SELECT name, '' FROM categories WHERE name <> 'cat1' UNION ALL SELECT 'general', ''")
 
 # Suggestions.
 _SUGGEST = rf"""WITH f AS (SELECT id, {FOLDER} AS folder FROM photos), tot AS (SELECT folder, count(*) AS total FROM f GROUP BY 1),
-  st AS (SELECT folder, tag_id, count(*) / any_value(total) AS share FROM f JOIN photo_tags ON photo_id = id JOIN tot USING (folder) GROUP BY folder, tag_id HAVING count(*) >= 2 AND count(*) / any_value(total) >= 0.2),
+  st AS (SELECT folder, tag_id, count(*) / any_value(total) AS share, count(*) AS n, any_value(total) AS total FROM f JOIN photo_tags ON photo_id = id JOIN tot USING (folder) GROUP BY folder, tag_id HAVING count(*) >= 2 AND count(*) / any_value(total) >= 0.2),
   up AS (SELECT folder, regexp_replace(regexp_replace(folder, '\\+$', ''), '[^\\]*$', '') AS above FROM tot),
-  w AS (SELECT id AS tag_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS w FROM tags UNION ALL SELECT tag_id, lower(alias) FROM tag_aliases),
+  w AS (SELECT id AS tag_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS w, name AS word, 0 AS kind FROM tags UNION ALL SELECT tag_id, lower(alias), alias, 1 FROM tag_aliases),
   parts AS (SELECT folder, unnest(list_filter(string_split(regexp_replace(folder, '\\+$', ''), chr(92))[2:], lambda x: x <> '')[-2:]) AS part FROM tot),
-  offers AS (SELECT folder, tag_id, share AS s FROM st UNION ALL SELECT up.folder, tag_id, share * 0.5 FROM up JOIN st ON st.folder = up.above
-    UNION ALL SELECT folder, tag_id, 0.9 FROM parts JOIN w ON contains(' ' || trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || w || ' ')),
-  best AS (SELECT folder, tag_id, name, max(s) AS s FROM offers JOIN tags ON tags.id = tag_id WHERE NOT hidden GROUP BY ALL)"""
-book.add("folder_suggestions", lambda c: suggest.folder_suggestions(c.photos, c.photo_tags, c.tags, c.tag_aliases), f"{_SUGGEST} SELECT photo_id, tag_id, round(s, 3) AS score FROM (SELECT f.id AS photo_id, tag_id, s, row_number() OVER (PARTITION BY f.id ORDER BY s DESC, name) AS k FROM f JOIN best USING (folder) WHERE NOT EXISTS (SELECT 1 FROM photo_tags p WHERE p.photo_id = f.id AND p.tag_id = best.tag_id)) WHERE k <= 6")
-book.add("selection_suggestions", lambda c: suggest.selection_suggestions(c.photos.where("id < 40"), c.photos, c.photo_tags, c.tags, c.tag_aliases), f"{_SUGGEST}, own AS (SELECT id, folder FROM f WHERE id < 40) SELECT tag_id, name, round(max(s), 3) AS score FROM best WHERE folder IN (SELECT folder FROM own) AND tag_id NOT IN (SELECT tag_id FROM photo_tags WHERE photo_id IN (SELECT id FROM own) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM own)) GROUP BY tag_id, name ORDER BY score DESC, name LIMIT 6")
+  offers AS (SELECT folder, tag_id, share AS s, 'La tienen ' || n || ' de ' || total || ' fotos de esta carpeta' AS why, 0 AS turn FROM st UNION ALL SELECT up.folder, tag_id, share * 0.5, 'La tienen ' || n || ' de ' || total || ' fotos de la carpeta de arriba', 1 FROM up JOIN st ON st.folder = up.above
+    UNION ALL SELECT folder, tag_id, 0.9, '«' || arg_min(word, (kind, word)) || '» aparece en el nombre de la carpeta', 2 FROM parts JOIN w ON contains(' ' || trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || w || ' ') GROUP BY folder, tag_id),
+  best AS (SELECT folder, tag_id, name, max(s) AS s, arg_max(why, (s, -turn)) AS reason FROM offers JOIN tags ON tags.id = tag_id WHERE NOT hidden GROUP BY ALL)"""
+book.add("folder_suggestions", lambda c: suggest.folder_suggestions(c.photos, c.photo_tags, c.tags, c.tag_aliases), f"{_SUGGEST} SELECT photo_id, tag_id, round(s, 3) AS score, reason FROM (SELECT f.id AS photo_id, tag_id, s, reason, row_number() OVER (PARTITION BY f.id ORDER BY s DESC, name) AS k FROM f JOIN best USING (folder) WHERE NOT EXISTS (SELECT 1 FROM photo_tags p WHERE p.photo_id = f.id AND p.tag_id = best.tag_id)) WHERE k <= 6")
+book.add("selection_suggestions", lambda c: suggest.selection_suggestions(c.photos.where("year = 1996 AND month = 5"), c.photos, c.photo_tags, c.tags, c.tag_aliases), f"{_SUGGEST}, own AS (SELECT id, folder FROM f WHERE id IN (SELECT id FROM photos WHERE year = 1996 AND month = 5)) SELECT tag_id, name, round(max(s), 3) AS score, arg_max(reason, (s, folder)) AS reason FROM best WHERE folder IN (SELECT folder FROM own) AND tag_id NOT IN (SELECT tag_id FROM photo_tags WHERE photo_id IN (SELECT id FROM own) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM own)) GROUP BY tag_id, name ORDER BY score DESC, name LIMIT 6")
 book.add("repeat_previous", lambda c: suggest.repeat_previous(c.photos, c.photo_tags), f"WITH own AS (SELECT photo_id, list_sort(list(tag_id)) AS own FROM photo_tags GROUP BY 1), p AS (SELECT id, coalesce(own, []) AS own, lag(coalesce(own, [])) OVER (PARTITION BY {FOLDER} ORDER BY filename, id) AS before FROM photos LEFT JOIN own ON photo_id = id) SELECT id, array_to_string(list_filter(before, lambda x: NOT list_contains(own, x)), ',') AS add FROM p WHERE before IS NOT NULL")

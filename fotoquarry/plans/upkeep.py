@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,6 +13,7 @@ from ..operators import vectors as V
 from ..sources import interchange
 from ..streaming import changes
 from .define import Book
+from .session import shared_folder
 from .gallery import HID, MAX_YEAR
 from .summaries import FOLDER
 
@@ -29,8 +32,9 @@ def _labelled(c, tag: int, k: int) -> list[int]:
 
 
 _S = f"s AS (SELECT q.photo_id AS query, p.photo_id, {_DOT.format('q.vec', 'p.vec')} AS score FROM photo_embeddings q JOIN photo_embeddings p ON q.photo_id IN (5, 17, 40))"
-book.add("vector_scores", lambda c: V.scores(c.photo_embeddings, _queries(c, "photo_id IN (5, 17, 40)")).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_S} SELECT CAST(query AS INT) AS query, photo_id, round(score, 6) AS score FROM s")
-book.add("vector_scores_arrow", lambda c: V.scores_arrow(c.photo_embeddings, [(r[0], list(r[1])) for r in _queries(c, "photo_id IN (5, 17, 40)").collect()]).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_S} SELECT query, photo_id, round(score, 6) AS score FROM s")
+_SQ = _S.replace("q.photo_id IN (5, 17, 40)", "q.photo_id % 20 = 0")
+book.add("vector_scores", lambda c: V.scores(c.photo_embeddings, _queries(c, "photo_id % 20 = 0")).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_SQ} SELECT CAST(query AS INT) AS query, photo_id, round(score, 6) AS score FROM s")
+book.add("vector_scores_arrow", lambda c: V.scores_arrow(c.photo_embeddings, [(r[0], list(r[1])) for r in _queries(c, "photo_id % 20 = 0").collect()]).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_SQ} SELECT query, photo_id, round(score, 6) AS score FROM s")
 book.add("text_search", lambda c: V.ranked(V.standing_out(V.scores(c.photo_embeddings, _queries(c, "photo_id = 17")))).select("photo_id", F.round("score", 6).alias("score")), f"WITH {_S} SELECT photo_id, round(score, 6) AS score FROM s WHERE query = 17 AND score >= (SELECT avg(score) + 2.5 * stddev_pop(score) FROM s WHERE query = 17)")
 book.add("similar_photos", lambda c: V.ranked(V.scores(c.photo_embeddings, _queries(c, "photo_id = 40")), 0.25).select("photo_id", F.round("score", 6).alias("score")), f"WITH {_S} SELECT photo_id, round(score, 6) AS score FROM s WHERE query = 40 AND score >= 0.25")
 _CENT = f"""m AS (SELECT tag_id, i, avg(CAST(vec[i] AS DOUBLE)) AS m, count(*) AS n FROM photo_embeddings JOIN embedding_tags USING (photo_id), range(1, 65) r(i) GROUP BY tag_id, i HAVING count(*) >= 5),
@@ -94,6 +98,22 @@ book.add("delete_keeps_tags", lambda c: _deleted(c)[1].select("photo_id", "tag_i
 book.add("restore_batch", lambda c: M.restore_batch(_deleted(c)[0].unionByName(c.photos.where("year = 1995 AND month = 3 AND id % 2 = 0").withColumn("rating", F.lit(2)).withColumn("note", F.lit(""))), _deleted(c)[2], "b1"), "SELECT path, CASE WHEN id % 2 = 0 THEN 'merged' ELSE 'restored' END AS action, CASE WHEN id % 2 = 0 THEN greatest(2, rating) ELSE rating END AS rating, favorite, note FROM photos WHERE year = 1995 AND month = 3")
 book.add("restore_tags", lambda c: M.restored_tags(_deleted(c)[2], c.tags.where("id > 5"), "b1")[0], "SELECT path, name FROM photo_tags JOIN photos p ON p.id = photo_id JOIN tags ON tags.id = tag_id WHERE p.year = 1995 AND p.month = 3")
 book.add("restore_lost_tags", lambda c: M.restored_tags(_deleted(c)[2], c.tags.where("id > 5"), "b1")[1], "SELECT DISTINCT name, category, color FROM photo_tags JOIN photos p ON p.id = photo_id JOIN tags ON tags.id = tag_id WHERE p.year = 1995 AND p.month = 3 AND tags.id <= 5")
+
+
+def _restored(c):
+    """A batch that comes back: half of its paths are in the catalogue again, five tags are gone."""
+    again = c.photos.where("year = 1995 AND month = 3 AND id % 2 = 0").withColumn("rating", F.lit(2)).withColumn("note", F.lit(""))
+    left, pairs, trash = _deleted(c)
+    return M.restore(left.unionByName(again), pairs.where("tag_id > 5"), c.tags.where("id > 5"), c.categories.where("name <> 'cat1'"), trash.unionByName(trash.withColumn("batch_id", F.lit("b2"))), "b1")
+
+
+_BACK = "b AS (SELECT * FROM photos WHERE year = 1995 AND month = 3)"
+book.add("restore_photos", lambda c: _restored(c)["photos"].select("path", "filename", "filesize", "md5", "mtime", "rating", "favorite", "note"), "SELECT path, filename, filesize, md5, CASE WHEN coalesce(year = 1995 AND month = 3 AND id % 2 = 1, false) THEN NULL ELSE mtime END AS mtime, CASE WHEN year = 1995 AND month = 3 AND id % 2 = 0 THEN greatest(2, rating) ELSE rating END AS rating, favorite, CASE WHEN year = 1995 AND month = 3 THEN nullif(note, '') ELSE note END AS note FROM photos")
+book.add("restore_pairs", lambda c: (lambda r: r["photo_tags"].join(r["photos"].select(F.col("id").alias("photo_id"), "path"), "photo_id").join(r["tags"].select(F.col("id").alias("tag_id"), "name"), "tag_id").select("path", "name"))(_restored(c)), "SELECT path, name FROM photo_tags JOIN photos p ON p.id = photo_id JOIN tags ON tags.id = tag_id WHERE tag_id > 5 OR (p.year = 1995 AND p.month = 3)")
+book.add("restore_tag_list", lambda c: _restored(c)["tags"].select("name", "category", "hidden"), f"WITH {_BACK} SELECT name, category, hidden FROM tags WHERE id > 5 OR id IN (SELECT tag_id FROM photo_tags WHERE photo_id IN (SELECT id FROM b))")
+book.add("restore_categories", lambda c: _restored(c)["categories"], f"WITH {_BACK} SELECT name FROM categories WHERE name <> 'cat1' OR 'cat1' IN (SELECT category FROM tags WHERE id <= 5 AND id IN (SELECT tag_id FROM photo_tags WHERE photo_id IN (SELECT id FROM b)))")
+book.add("restore_counts", lambda c: _restored(c)["counts"].join(_restored(c)["trash"].agg(F.count(F.lit(1)).alias("left"))), f"WITH {_BACK} SELECT count(*) FILTER (WHERE id % 2 = 1) AS restored, count(*) FILTER (WHERE id % 2 = 0) AS merged, count(*) AS \"left\" FROM b")
+book.add("delete_trash_batch", lambda c: M.delete_batch(c.trash, "cfcd208495d565ef66e7dff9f98764da").select("id"), "SELECT id FROM trash WHERE batch_id <> md5('0')")
 book.add("purge_trash", lambda c: M.purge(c.trash, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), 365).select("id"), "SELECT id FROM trash WHERE deleted_at >= TIMESTAMP '1998-01-01' - INTERVAL 365 DAY")
 
 # Relocation.
@@ -106,32 +126,91 @@ book.add("relocation_tags", lambda c: M.apply_relocation(c.photos, c.photo_tags,
 book.add("sampled_photos", lambda c: M.evenly_spaced(c.photos.select("id"), 25), "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, greatest(1, count(*) OVER () // 25) AS step FROM photos) WHERE k % step = 0 AND k // step < 25")
 
 # Import and export.
-_WANT = lambda c: c.photos.where("id % 5 = 0").select(F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("X:\\"), "filename")).alias("path"), F.upper("filename").alias("filename"), F.when(F.col("id") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("filesize")).alias("filesize"))
+_WANT_ID = lambda c: c.photos.select("id", F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("X:\\"), "filename")).alias("path"), F.upper("filename").alias("filename"), F.when(F.col("id") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("filesize")).alias("filesize"))
+_WANT = lambda c: _WANT_ID(c).drop("id")
 book.add(
     "import_match",
     lambda c: M.match_import(_WANT(c), c.photos),
-    """WITH w AS (SELECT CASE WHEN id % 2 = 0 THEN path ELSE 'X:' || chr(92) || filename END AS path, upper(filename) AS filename, CASE WHEN id % 3 = 0 THEN 1 ELSE filesize END AS filesize FROM photos WHERE id % 5 = 0),
+    """WITH w AS (SELECT CASE WHEN id % 2 = 0 THEN path ELSE 'X:' || chr(92) || filename END AS path, upper(filename) AS filename, CASE WHEN id % 3 = 0 THEN 1 ELSE filesize END AS filesize FROM photos),
      n AS (SELECT lower(filename) AS f, filesize AS s, min(id) AS j FROM photos GROUP BY 1, 2 HAVING count(*) = 1)
      SELECT w.path, coalesce(p.id, j) AS photo_id, CASE WHEN p.id IS NOT NULL THEN 'path' WHEN j IS NOT NULL THEN 'name' ELSE 'missing' END AS match_kind FROM w LEFT JOIN photos p ON p.path = w.path LEFT JOIN n ON f = lower(w.filename) AND s = w.filesize""",
 )
 book.add("import_new_pairs", lambda c: M.new_pairs(c.tag_rejections, c.photo_tags), "SELECT DISTINCT photo_id, tag_id FROM tag_rejections r WHERE NOT EXISTS (SELECT 1 FROM photo_tags p WHERE p.photo_id = r.photo_id AND p.tag_id = r.tag_id)")
-book.add("import_extras", lambda c: M.merge_extras(c.photos, c.photos.where("id % 7 = 0").select(F.col("id").alias("photo_id"), F.lit(9).alias("rating"), F.lit(True).alias("favorite"), F.lit("nueva").alias("note"))).select("id", "rating", "favorite", "note"), "SELECT id, CASE WHEN id % 7 = 0 THEN 5 ELSE rating END AS rating, favorite OR id % 7 = 0 AS favorite, CASE WHEN note <> '' THEN note WHEN id % 7 = 0 THEN 'nueva' END AS note FROM photos")
+book.add("import_extras", lambda c: M.merge_extras(c.photos, c.photos.where("rating = 1").select(F.col("id").alias("photo_id"), F.lit(9).alias("rating"), F.lit(True).alias("favorite"), F.lit("nueva").alias("note"))).select("id", "rating", "favorite", "note"), "SELECT id, CASE WHEN rating = 1 THEN 5 ELSE rating END AS rating, favorite OR rating = 1 AS favorite, CASE WHEN note <> '' THEN note WHEN rating = 1 THEN 'nueva' END AS note FROM photos")
 book.add("import_rejections", lambda c: M.import_rejections(c.tag_rejections, c.tag_rejections.select(F.col("tag_id"), (F.col("photo_id") + 1).alias("photo_id")), c.photo_tags), "SELECT tag_id, photo_id FROM tag_rejections UNION SELECT tag_id, photo_id + 1 FROM tag_rejections r WHERE NOT EXISTS (SELECT 1 FROM photo_tags p WHERE p.photo_id = r.photo_id + 1 AND p.tag_id = r.tag_id)")
+_ASSIGNED = """WITH t AS (SELECT photo_id, string_agg(name, ',' ORDER BY name) AS tags FROM photo_tags JOIN tags ON tags.id = tag_id GROUP BY 1), r AS (SELECT photo_id, string_agg(name, ',' ORDER BY name) AS rejected FROM tag_rejections JOIN tags ON tags.id = tag_id GROUP BY 1)
+     SELECT path, filename, filesize, t.tags, rejected, nullif(rating, 0) AS rating, CASE WHEN favorite THEN true END AS favorite, nullif(trim(note), '') AS note FROM photos LEFT JOIN t ON t.photo_id = id LEFT JOIN r ON r.photo_id = id
+     WHERE t.tags IS NOT NULL OR rejected IS NOT NULL OR rating > 0 OR favorite OR nullif(trim(note), '') IS NOT NULL"""
 book.add(
     "export_assignments",
     lambda c: interchange.export_assignments(c.photos, c.photo_tags, c.tags, c.tag_rejections).select("path", "filename", "filesize", F.array_join("tags", ",").alias("tags"), F.array_join("rejected", ",").alias("rejected"), "rating", "favorite", "note"),
-    """WITH t AS (SELECT photo_id, string_agg(name, ',' ORDER BY name) AS tags FROM photo_tags JOIN tags ON tags.id = tag_id GROUP BY 1), r AS (SELECT photo_id, string_agg(name, ',' ORDER BY name) AS rejected FROM tag_rejections JOIN tags ON tags.id = tag_id GROUP BY 1)
-     SELECT path, filename, filesize, t.tags, rejected, nullif(rating, 0) AS rating, CASE WHEN favorite THEN true END AS favorite, nullif(trim(note), '') AS note FROM photos LEFT JOIN t ON t.photo_id = id LEFT JOIN r ON r.photo_id = id
-     WHERE t.tags IS NOT NULL OR rejected IS NOT NULL OR rating > 0 OR favorite OR nullif(trim(note), '') IS NOT NULL""",
+    _ASSIGNED,
 )
 book.add("export_tags", lambda c: interchange.export_tags(c.tags, c.tag_aliases).select("name", "category", "parent", F.array_join("aliases", ",").alias("aliases")), "SELECT t.name, t.category, p.name AS parent, (SELECT string_agg(alias, ',' ORDER BY alias) FROM tag_aliases a WHERE a.tag_id = t.id) AS aliases FROM tags t LEFT JOIN tags p ON p.id = t.parent_id")
-book.add(
-    "sidecar_plan",
-    lambda c: (lambda d: interchange.sidecar_plan(d, d.join(c.photos.where("id % 3 <> 0").select("path", "id"), "path").select("path", F.when(F.col("id") % 2 == 0, F.col("xml")).otherwise(F.lit("<old/>")).alias("xml"), (F.col("id") % 5 != 0).alias("managed")).unionByName(c.scan.where("path LIKE '%new%'").select("path", F.lit("<x/>").alias("xml"), F.lit(True).alias("managed")))))(interchange.build_sidecars(c.photos, c.photo_tags, c.tags)),
-    """SELECT path, CASE WHEN id % 3 = 0 THEN 'WRITTEN' WHEN id % 5 = 0 THEN 'FOREIGN' WHEN id % 2 = 0 THEN 'UNCHANGED' ELSE 'WRITTEN' END AS outcome FROM photos WHERE rating > 0 OR id IN (SELECT photo_id FROM photo_tags)
-     UNION ALL SELECT path, 'REMOVED' FROM scan WHERE path LIKE '%new%'""",
-)
-book.add("sidecar_round_trip", lambda c: interchange.parse_sidecars(interchange.build_sidecars(c.photos, c.photo_tags, c.tags).select("path", F.col("xml").cast("binary").alias("content"))).select("path", "ok", "managed", "rating", F.array_join(F.array_sort(F.transform("tags", lambda t: F.concat_ws("/", t["category"], t["name"]))), ",").alias("tags")), "SELECT path, true AS ok, true AS managed, rating, coalesce((SELECT string_agg(category || '/' || name, ',' ORDER BY category || '/' || name) FROM photo_tags JOIN tags ON tags.id = tag_id WHERE photo_id = photos.id), '') AS tags FROM photos WHERE rating > 0 OR id IN (SELECT photo_id FROM photo_tags)")
+_now = lambda c: interchange.wanted_sidecars(c.photos, c.photo_tags, c.tags)
+_there = lambda c: _now(c).join(c.photos.select("path", "id", "mtime"), "path").where("id % 3 <> 0").select("path", (F.col("id") % 5 != 0).alias("managed"), F.transform("tags", lambda t: F.struct(F.upper(t["name"]).alias("name"), F.substring_index(t["category"], "|", 1).alias("category"))).alias("tags"), F.when(F.col("id") % 2 == 0, F.col("rating")).otherwise(F.lit(7)).alias("rating"))
+_plan = lambda c: interchange.sidecar_plan(_now(c), _there(c), c.scan.select(S.folder_of(F.col("path")).alias("folder")).where("folder NOT LIKE 'D:%'"))
+_OUTCOME = """SELECT path, CASE WHEN id % 3 <> 0 AND id % 5 = 0 THEN 'FOREIGN' WHEN id % 3 <> 0 AND NOT has THEN 'REMOVED' WHEN id % 3 <> 0 AND id % 2 = 0 THEN 'UNCHANGED' WHEN id % 3 = 0 AND NOT has THEN 'UNCHANGED'
+  WHEN folder NOT IN (SELECT f FROM live) THEN 'ERROR' ELSE 'WRITTEN' END AS outcome FROM (SELECT *, rating > 0 OR id IN (SELECT photo_id FROM photo_tags) AS has FROM photos)"""
+_LIVE = "live AS (SELECT DISTINCT regexp_replace(path, '[^\\\\]*$', '') AS f FROM scan WHERE path NOT LIKE 'D:%')"
+book.add("sidecar_plan", _plan, f"WITH {_LIVE} {_OUTCOME}")
+book.add("sidecar_counts", lambda c: interchange.sidecar_counts(_plan(c)), f"WITH {_LIVE}, o AS ({_OUTCOME}) SELECT count(*) FILTER (WHERE outcome = 'WRITTEN') AS written, count(*) FILTER (WHERE outcome IN ('UNCHANGED', 'REMOVED')) AS unchanged, count(*) FILTER (WHERE outcome = 'FOREIGN') AS foreign, count(*) FILTER (WHERE outcome = 'ERROR') AS errors FROM o")
+_NAMED = "coalesce((SELECT string_agg(category || '/' || lower(name), ',' ORDER BY category || '/' || lower(name)) FROM photo_tags JOIN tags ON tags.id = tag_id WHERE photo_id = photos.id), '')"
+book.add("sidecar_round_trip", lambda c: interchange.parse_sidecars(interchange.build_sidecars(c.photos, c.photo_tags, c.tags.withColumn("name", F.upper("name"))).select("path", F.col("xml").cast("binary").alias("content"))).select("path", "ok", "managed", "rating", F.array_join(F.array_sort(F.transform("tags", lambda t: F.concat_ws("/", t["category"], t["name"]))), ",").alias("tags")), f"SELECT path, true AS ok, true AS managed, rating, {_NAMED} AS tags FROM photos WHERE rating > 0 OR id IN (SELECT photo_id FROM photo_tags)")
+_CARS = lambda c: c.photos.where("id % 4 < 3").select(F.when(F.col("id") % 4 == 0, F.concat("path", F.lit(".xmp"))).otherwise(F.concat(F.regexp_replace("path", r"\.[^.\\]*$", ""), F.lit(".XMP"))).alias("path"), F.lit(True).alias("ok")).unionByName(c.photos.where("id % 4 = 1").select(F.concat("path", F.lit(".xmp")).alias("path"), (F.col("id") % 8 == 1).alias("ok")))
+book.add("first_sidecar", lambda c: interchange.first_sidecar(c.photos, _CARS(c)).select("id", F.lower(F.substring_index("sidecar", "\\", -1)).alias("sidecar")), r"""WITH car AS (SELECT id, lower(filename) AS f, lower(regexp_replace(filename, '\.[^.]*$', '')) AS stem FROM photos)
+  SELECT id, CASE WHEN id % 4 = 0 OR id % 8 = 1 THEN f || '.xmp' ELSE stem || '.xmp' END AS sidecar FROM car WHERE id % 4 < 3""")
+
+
+def _from_sidecars(c):
+    """Sidecars of a rated part of the photos, which hold a new tag, an alias and a rating of 4."""
+    tags = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("category")) for n, k in (("neu", "reise"), ("alias8", None), ("brand#3", "x"))])
+    found = c.photos.where("rating IN (3, 5) OR rating = 0").select(F.col("id").alias("photo_id"), F.when(F.col("rating") == 0, F.slice(tags, 1, 0)).otherwise(tags).alias("tags"), F.when(F.col("rating") == 0, F.lit(0)).otherwise(F.lit(4)).alias("rating"))
+    return M.import_sidecars(found, c.photos, c.photo_tags, c.tags, c.tag_aliases)
+
+
+_SP = "s AS (SELECT id FROM photos WHERE rating IN (3, 5)), top AS (SELECT max(id) AS m FROM tags), np AS (SELECT s.id AS photo_id, t AS tag_id FROM s, (SELECT unnest([8, 3, CAST(m + 1 AS INT)]) AS t FROM top)), ap AS (SELECT * FROM np WHERE NOT EXISTS (SELECT 1 FROM photo_tags p WHERE p.photo_id = np.photo_id AND p.tag_id = np.tag_id))"
+book.add("sidecar_import_pairs", lambda c: _from_sidecars(c)["photo_tags"], f"WITH {_SP} SELECT photo_id, tag_id FROM photo_tags UNION ALL SELECT photo_id, tag_id FROM ap")
+book.add("sidecar_import_tags", lambda c: _from_sidecars(c)["tags"].select("id", "name", "category", "hidden"), "SELECT id, name, category, hidden FROM tags UNION ALL SELECT CAST(max(id) + 1 AS INT), 'neu', 'reise', false FROM tags")
+book.add("sidecar_import_ratings", lambda c: _from_sidecars(c)["photos"].select("id", "rating"), "SELECT id, CASE WHEN rating = 3 THEN 4 ELSE rating END AS rating FROM photos")
+book.add("sidecar_import_counts", lambda c: _from_sidecars(c)["counts"], f"WITH {_SP} SELECT (SELECT count(*) FROM photos) AS checked, (SELECT count(*) FROM s) AS with_xmp, (SELECT count(*) FROM ap) AS pairs_added, CAST(1 AS BIGINT) AS tags_created, (SELECT count(*) FROM photos WHERE rating = 3) AS ratings_added")
+
+
+def _imported(c):
+    """An import of a list with a known tag, two new ones and a cycle, and of assignments of which some fit by path, some by name, some not."""
+    kind = "name string, category string, color string, parent string, aliases array<string>"
+    listed = c.spark.createDataFrame([("Brand#3", "x", None, "brand#9", ["drei"]), (" Neu ", "reise", None, "brand#2", ["nuevo", "nueva"]), ("neuer", None, "#fff", "neu", ["alias8"]), ("", None, None, None, None)], kind)
+    a = _WANT_ID(c)
+    names = F.when(F.col("id") % 9 == 0, F.array(F.lit(" Neu"), F.lit("alias4"), F.lit("solo"))).otherwise(F.array(F.lit("brand#5")))
+    rows = a.select("path", "filename", "filesize", names.alias("tags"), F.array(F.lit("brand#7"), F.lit("nobody")).alias("rejected"), F.lit(4).alias("rating"), (F.col("id") % 6 == 0).alias("favorite"), F.lit("importada").alias("note"))
+    return M.import_catalogue(listed, c.spark.createDataFrame([("CAT1",), ("nuevas",)], "name string"), rows, c.photos, c.photo_tags, c.tags, c.categories, c.tag_aliases, c.tag_rejections)
+
+
+_IM = """w AS (SELECT o.id AS src, CASE WHEN o.id % 2 = 0 THEN o.path ELSE 'X:' || chr(92) || o.filename END AS path, o.filename, CASE WHEN o.id % 3 = 0 THEN 1 ELSE o.filesize END AS filesize FROM photos o),
+  nm AS (SELECT lower(filename) AS f, filesize AS s, min(id) AS j FROM photos GROUP BY 1, 2 HAVING count(*) = 1), mt AS (SELECT w.src, coalesce(p.id, j) AS pid, CASE WHEN p.id IS NOT NULL THEN 'path' WHEN j IS NOT NULL THEN 'name' ELSE 'missing' END AS kind FROM w LEFT JOIN photos p ON p.path = w.path LEFT JOIN nm ON f = lower(w.filename) AND s = w.filesize),
+  ok AS (SELECT src, pid FROM mt WHERE pid IS NOT NULL), top AS (SELECT CAST(max(id) AS INT) AS m FROM tags),
+  np AS (SELECT DISTINCT pid AS photo_id, t AS tag_id FROM ok, top, LATERAL (SELECT unnest(CASE WHEN src % 9 = 0 THEN [m + 1, 4, m + 3] ELSE [5] END) AS t)), ap AS (SELECT * FROM np WHERE NOT EXISTS (SELECT 1 FROM photo_tags p WHERE p.photo_id = np.photo_id AND p.tag_id = np.tag_id)),
+  al AS (SELECT photo_id, tag_id FROM photo_tags UNION ALL SELECT photo_id, tag_id FROM ap)"""
+book.add("import_pairs", lambda c: _imported(c)["photo_tags"], f"WITH {_IM} SELECT photo_id, tag_id FROM al")
+book.add("import_tag_tree", lambda c: _imported(c)["tags"].select("id", "name", "category", "parent_id"), """WITH top AS (SELECT CAST(max(id) AS INT) AS m FROM tags) SELECT id, name, category, parent_id FROM tags
+  UNION ALL SELECT m + 1, 'neu', 'reise', 2 FROM top UNION ALL SELECT m + 2, 'neuer', 'general', m + 1 FROM top UNION ALL SELECT m + 3, 'solo', 'general', NULL FROM top""")
+book.add("import_aliases", lambda c: _imported(c)["aliases"], "SELECT alias, tag_id FROM tag_aliases UNION ALL SELECT 'drei', 3 UNION ALL SELECT unnest(['nuevo', 'nueva']), CAST(max(id) + 1 AS INT) FROM tags")
+book.add("import_categories", lambda c: _imported(c)["categories"], "SELECT name FROM categories UNION ALL SELECT 'nuevas'")
+book.add("import_photos", lambda c: _imported(c)["photos"].select("id", "rating", "favorite", "note"), f"WITH {_IM} SELECT id, CASE WHEN id IN (SELECT pid FROM ok) THEN greatest(rating, 4) ELSE rating END AS rating, favorite OR id IN (SELECT pid FROM ok WHERE src % 6 = 0) AS favorite, CASE WHEN note <> '' THEN note WHEN id IN (SELECT pid FROM ok) THEN 'importada' END AS note FROM photos")
+book.add("import_refusals", lambda c: _imported(c)["rejections"], f"WITH {_IM} SELECT tag_id, photo_id FROM tag_rejections UNION SELECT 7, pid FROM ok WHERE pid NOT IN (SELECT photo_id FROM al WHERE tag_id = 7)")
+book.add("import_counts", lambda c: _imported(c)["counts"], f"WITH {_IM} SELECT (SELECT count(*) FROM mt WHERE kind = 'path') AS photos_matched, (SELECT count(*) FROM mt WHERE kind = 'name') AS photos_by_name, (SELECT count(*) FROM mt WHERE kind = 'missing') AS photos_missing, CAST(3 AS BIGINT) AS created, CAST(1 AS BIGINT) AS skipped, (SELECT count(*) FROM ap) AS pairs_added, (SELECT count(*) FROM photos WHERE id IN (SELECT pid FROM ok) AND (rating < 4 OR (NOT favorite AND id IN (SELECT pid FROM ok WHERE src % 6 = 0)) OR coalesce(note, '') = '')) AS extras_added")
+
+
+def _exported(c):
+    """The catalogue written as an export and read again."""
+    folder = f"{shared_folder(c.spark)}/export-{uuid.uuid4().hex}"
+    interchange.write_export(folder, c.tags, c.categories, c.tag_aliases, c.photos, c.photo_tags, c.tag_rejections)
+    return interchange.read_export(c.spark, folder, lines=True)
+
+
+book.add("export_round_trip", lambda c: _exported(c).select(F.explode("assignments").alias("a")).select("a.path", "a.filesize", F.array_join("a.tags", ",").alias("tags"), F.array_join("a.rejected", ",").alias("rejected"), "a.rating", "a.favorite", "a.note"), _ASSIGNED.replace("SELECT path, filename, filesize,", "SELECT path, filesize,"))
+book.add("export_summary", lambda c: interchange.export_summary(_exported(c)), "SELECT 3 AS version, (SELECT count(*) FROM tags) AS tags, (SELECT count(*) FROM categories) AS categories, (SELECT count(*) FROM photos WHERE rating > 0 OR favorite OR trim(note) <> '' OR id IN (SELECT photo_id FROM photo_tags) OR id IN (SELECT photo_id FROM tag_rejections JOIN tags ON tags.id = tag_id)) AS assignments")
+book.add("media_listing", lambda c: interchange.media_rows(c.photos.select(F.when(F.col("id") % 5 == 0, F.upper("path")).when(F.col("id") % 5 == 1, F.concat("path", F.lit(".txt"))).otherwise(F.col("path")).alias("path"), F.col("filesize").alias("length"), F.timestamp_seconds(F.coalesce("mtime", F.lit(0.0))).alias("modificationTime"))), "SELECT CASE WHEN id % 5 = 0 THEN upper(path) ELSE path END AS path, filesize AS size, coalesce(mtime, 0) AS mtime, CASE WHEN filename LIKE '%.mp4' THEN 'video' ELSE 'image' END AS media_type FROM photos WHERE id % 5 <> 1")
 book.add("tagged_or_rated", lambda c: c.photo_tags.select(F.col("photo_id").alias("id")).union(c.photos.where("rating > 0").select("id")).distinct(), "SELECT photo_id AS id FROM photo_tags UNION SELECT id FROM photos WHERE rating > 0")
 
 # Bulk changes and review.
@@ -151,7 +230,26 @@ book.add("answered_rejections", lambda c: M.apply_answers(c.photo_tags, c.tag_re
 book.add("answer_history", lambda c: M.answer_history(_answers(c)), f"WITH {_A} SELECT seq, answer, lag(answer) OVER (PARTITION BY tag_id, photo_id ORDER BY ts, seq) AS before FROM a")
 book.add("snapshot_retention", lambda c: M.keep_newest(c.base("events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("made_at")), 7).select("kind", "id", F.col("place").cast("long").alias("place")), "SELECT event_type AS kind, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 7")
 book.add("artefact_worklist", lambda c: M.worklist(c.photos.select(F.col("path").alias("key")), c.scan.select(F.col("path").alias("key"))), "SELECT coalesce(p.path, s.path) AS key, CASE WHEN s.path IS NULL THEN 'make' WHEN p.path IS NULL THEN 'remove' ELSE 'keep' END AS action FROM photos p FULL OUTER JOIN (SELECT DISTINCT path FROM scan) s ON s.path = p.path")
-book.add("artefact_keys", lambda c: c.photos.select("id", S.artefact_key(F.col("path"), F.col("mtime")).alias("key")).withColumn("shard", F.substring("key", 1, 2)))
+book.add("artefact_keys", lambda c: c.photos.select("id", S.artefact_key(F.col("path"), F.col("mtime")).alias("key")).withColumn("shard", F.substring("key", 1, 2)), "SELECT id, key, key[:2] AS shard FROM (SELECT id, sha1(path || '::' || coalesce(CAST(CAST(mtime AS DECIMAL(20, 6)) AS VARCHAR), '') || '::1') AS key FROM photos)")
+_failed = lambda c: c.scan.where("size % 10 = 3").select("path")
+book.add("ingest_errors", lambda c: M.ingest_counts(M.index_diff(c.scan, c.photos, MAX_YEAR), _failed(c)), f"WITH {_DIFF}, bad AS (SELECT path FROM scan WHERE size % 10 = 3) SELECT CASE WHEN action IN ('unchanged', 'mtime_only') THEN 'unchanged' WHEN path IN (SELECT path FROM bad) THEN 'errors' WHEN action = 'read' THEN 'updated' ELSE action END AS result, count(*) AS n FROM diff GROUP BY 1")
+book.add("change_deltas", lambda c: (lambda d: d["read"].select(F.lit("read").alias("kind"), F.col("path").alias("what")).unionByName(d["artefacts"].select(F.concat_ws(" ", F.lit("artefact"), "action").alias("kind"), F.lit("").alias("what"))).unionByName(d["vectors"].select(F.lit("vector").alias("kind"), F.col("id").cast("string").alias("what"))))(changes.deltas(M.index_diff(c.scan, c.photos, MAX_YEAR), c.photos, c.scan.select(S.artefact_key(F.col("path"), F.col("mtime")).alias("key")), c.photo_embeddings)), f"""WITH {_DIFF}, k AS (SELECT DISTINCT path, mtime FROM photos), s AS (SELECT DISTINCT path, mtime FROM scan) SELECT 'read' AS kind, path AS what FROM diff WHERE action IN ('added', 'read')
+  UNION ALL SELECT 'artefact make', '' FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = k.path AND s.mtime IS NOT DISTINCT FROM k.mtime) UNION ALL SELECT 'artefact remove', '' FROM s WHERE NOT EXISTS (SELECT 1 FROM k WHERE s.path = k.path AND s.mtime IS NOT DISTINCT FROM k.mtime)
+  UNION ALL SELECT 'vector', CAST(p.id AS VARCHAR) FROM photos p LEFT JOIN photo_embeddings e ON e.photo_id = p.id WHERE e.photo_id IS NULL OR p.mtime IS DISTINCT FROM e.mtime""")
+
+
+def _streamed(c):
+    """The scan as a stream of manifests, compared with the catalogue batch by batch until it is used up."""
+    top = f"{shared_folder(c.spark)}/stream-{uuid.uuid4().hex}"
+    c.scan.repartition(4, "path").write.parquet(f"{top}/in")
+    source = c.spark.readStream.schema(c.scan.schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
+    writer = changes.ingest(source, lambda: c.photos, lambda df, epoch: df.write.mode("overwrite").parquet(f"{top}/out/epoch={epoch}"), MAX_YEAR)
+    writer.option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.parquet(f"{top}/out").select("path", "action")
+
+
+book.add("streamed_index_diff", _streamed, f"WITH {_DIFF} SELECT path, action FROM diff")
+book.add("stored_vectors", lambda c: interchange.stored_counts(interchange.without_other_models(c.photo_embeddings.unionByName(c.photo_embeddings.withColumn("model", F.lit("m2"))), "m2")), "SELECT 'm2' AS model, count(*) AS n FROM photo_embeddings")
 _DEFAULTS = {"id": ("long", None), "path": ("string", None), "rating": ("int", 0), "favorite": ("boolean", False), "note": ("string", None), "phash": ("long", None)}
 book.add("old_snapshot", lambda c: M.with_defaults(c.photos.select("id", "path"), _DEFAULTS), "SELECT id, path, 0 AS rating, false AS favorite, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS phash FROM photos")
 book.add("saved_query_merge", lambda c: hierarchy.merge_in_queries(c.photo_tags.groupBy("photo_id").agg(F.array_sort(F.collect_list("tag_id")).alias("tag_ids")), 3, 9).select("photo_id", F.array_join(F.array_sort("tag_ids"), ",").alias("ids")), "SELECT photo_id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS ids FROM (SELECT DISTINCT photo_id, CASE WHEN tag_id = 3 THEN 9 ELSE tag_id END AS t FROM photo_tags) GROUP BY 1")

@@ -46,6 +46,8 @@ SELECT n AS id, concat('brand#', CAST(n AS STRING)) AS name, concat('cat', CAST(
   '#4A9EFF' AS color, n = 13 AS hidden, n = 7 AS sidebar_hidden,
   CASE WHEN n < 4 THEN NULL ELSE CAST(floor(n / 3) AS INT) END AS parent_id
 FROM (SELECT DISTINCT CAST(substr(p_brand, 7) AS INT) AS n FROM {part}) t""",
+    "categories": r"""
+SELECT DISTINCT category AS name FROM {tags}""",
     "photo_tags": r"""
 SELECT DISTINCT l_orderkey AS photo_id, CAST(substr(p_brand, 7) AS INT) AS tag_id FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "tag_aliases": r"""
@@ -84,6 +86,7 @@ class Catalog:
 
     photos = cached_property(lambda self: self._view("photos"))
     tags = cached_property(lambda self: self._view("tags"))
+    categories = cached_property(lambda self: self._view("categories"))
     photo_tags = cached_property(lambda self: self._view("photo_tags"))
     tag_aliases = cached_property(lambda self: self._view("tag_aliases"))
     tag_rejections = cached_property(lambda self: self._view("tag_rejections"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,12 @@ EXPORT_SCHEMA = """version int, categories array<string>,
 def list_media(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, mtime, media_type) of all media files below a folder, by path; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(folder)
-    ext = F.lower(F.regexp_extract("path", r"\.[^./]*$", 0))
+    return media_rows(files)
+
+
+def media_rows(files: DataFrame) -> DataFrame:
+    """``list_media`` of given (path, length, modificationTime): what is neither image nor video goes."""
+    ext = F.lower(F.regexp_extract("path", r"\.[^./\\]*$", 0))
     kind = F.when(ext.isin(*S.VIDEO_EXTENSIONS), "video").when(ext.isin(*S.IMAGE_EXTENSIONS), "image")
     rows = files.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").cast("double").alias("us"), kind.alias("media_type"))
     return rows.where("media_type IS NOT NULL").select("path", "size", (F.col("us") / 1e6).alias("mtime"), "media_type").orderBy("path")
@@ -73,9 +77,19 @@ def export_tags(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     return tags.join(a, F.col("id") == F.col("tag_id"), "left").join(p, F.col("parent_id") == F.col("_p"), "left").select("name", "category", "color", "parent", "aliases")
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """One row of ``EXPORT_SCHEMA``; other versions are an error."""
-    data = spark.read.json(path, schema=EXPORT_SCHEMA, multiLine=True)
+def write_export(folder: str, tags: DataFrame, categories: DataFrame, aliases: DataFrame, photos: DataFrame, photo_tags: DataFrame, rejections: DataFrame, version: int = 3) -> None:
+    """An export as JSON lines in a folder: every line is an export of its own with one part of the whole, so that no task writes all.
+
+    Absent values are left out. ``read_export(…, lines=True)`` reads it.
+    """
+    part = lambda df, c: df.select(F.lit(version).alias("version"), F.array(F.struct(*df.columns) if c != "categories" else F.col("name")).alias(c))
+    parts = part(export_tags(tags, aliases), "tags"), part(categories.select("name"), "categories"), part(export_assignments(photos, photo_tags, tags, rejections), "assignments")
+    parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).write.mode("overwrite").json(folder)
+
+
+def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of ``EXPORT_SCHEMA``: one for a file that holds one object, one for each line of ``write_export``; other versions are an error."""
+    data = spark.read.json(path, schema=EXPORT_SCHEMA, multiLine=not lines)
     bad = data.where(~F.coalesce(F.col("version"), F.lit(-1)).isin(*EXPORT_VERSIONS)).limit(1).collect()
     if bad:
         raise ValueError(f"unknown export version {bad[0]['version']}")
@@ -83,101 +97,181 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_summary(data: DataFrame) -> DataFrame:
-    n = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long").alias(c)
-    return data.select("version", n("tags"), n("categories"), n("assignments"))
+    """(version, tags, categories, assignments): how many there are, over all rows of an export."""
+    n = lambda c: F.sum(F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))).cast("long").alias(c)
+    return data.groupBy("version").agg(n("tags"), n("categories"), n("assignments"))
 
 
 SIDECAR = "path string, ok boolean, managed boolean, rating int, tags array<struct<name:string,category:string>>"
-#: Fixed value: what our own sidecars carry.
-MANAGED = "fotoquarry"
+#: Public name spaces of sidecars, and our own, whose attribute marks the files that we wrote.
+SPACES = {"x": "adobe:ns:meta/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "dc": "http://purl.org/dc/elements/1.1/", "lr": "http://ns.adobe.com/lightroom/1.0/", "xmp": "http://ns.adobe.com/xap/1.0/", "fq": "urn:fotoquarry:sidecar"}
+
+
+def _parsed(text: str) -> tuple[list[dict], bool, int]:
+    """(tags, whether we wrote it, rating) of one sidecar."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    opens = re.search("<x:xmpmeta|<rdf:RDF", text) if "<x:xmpmeta" not in text else re.search("<x:xmpmeta", text)
+    end = text.rfind("</x:xmpmeta>")
+    if opens and end > opens.start():
+        text = text[opens.start() : end + len("</x:xmpmeta>")]
+    root = ET.fromstring(text)
+    lines = lambda kind: [(li.text or "").strip() for li in root.iterfind(f".//{kind}//rdf:li", SPACES)]
+    category: dict[str, str] = {}
+    for line in lines("lr:hierarchicalSubject"):
+        parts = [x.strip().lower() for x in line.split("|") if x.strip()]
+        if len(parts) > 1:
+            category.setdefault(parts[-1], parts[0])
+    names = dict.fromkeys(n.lower() for n in lines("dc:subject") if n)
+    rating, attribute = 0, f"{{{SPACES['xmp']}}}Rating"
+    for e in root.iter():
+        found = e.get(attribute)
+        found = e.findtext("xmp:Rating", None, SPACES) if found is None else found
+        if found:
+            try:
+                rating = max(0, min(5, round(float(found))))
+            except ValueError:
+                rating = 0
+            break
+    managed = any(e.get(f"{{{SPACES['fq']}}}managed") == "True" for e in root.iter())
+    return [{"name": n, "category": category.get(n)} for n in names], managed, rating
 
 
 def parse_sidecars(files: DataFrame) -> DataFrame:
-    """Sidecar XML (path, content): subjects, categories of hierarchical subjects, rating 0 to 5, whether we wrote it.
+    """Sidecar XML (path, content): the subjects in lower case, each once, with the first level of a hierarchical subject that ends in it as category, the rating rounded to 0 to 5 (0 if there is none), and whether we wrote it.
 
-    Namespaces aside; names that differ in case alone count once, the first stays. Broken XML
-    gives ok = false, not an error.
+    Broken XML gives ok = false, not an error.
     """
 
     def run(batches):
-        import re
         import xml.etree.ElementTree as ET
 
         import pandas as pd
 
-        local = lambda name: name.rsplit("}", 1)[-1]
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
-                cut = re.search(r"<x:xmpmeta.*</x:xmpmeta>", text, re.S)
-                try:
-                    root = ET.fromstring(cut[0] if cut else text)
-                except ET.ParseError:
-                    out.append((path, False, False, None, []))
-                    continue
-                items = lambda kind: [(li.text or "").strip() for e in root.iter() if local(e.tag) == kind for li in e.iter() if local(li.tag) == "li"]  # noqa: E731, B023
-                category = {}
-                for h in items("hierarchicalSubject"):
-                    parts = [x.strip() for x in h.split("|") if x.strip()]
-                    if len(parts) > 1:
-                        category.setdefault(parts[-1].lower(), parts[0])
-                seen, tags = set(), []
-                for name in [*items("subject"), *(h.split("|")[-1].strip() for h in items("hierarchicalSubject"))]:
-                    if name and name.lower() not in seen:
-                        seen.add(name.lower())
-                        tags.append({"name": name, "category": category.get(name.lower())})
-                found = [v for e in root.iter() for k, v in e.attrib.items() if local(k) == "Rating"] + [e.text for e in root.iter() if local(e.tag) == "Rating"]
                 try:
-                    rating = max(0, min(5, int(float(found[0])))) if found else None
-                except (TypeError, ValueError):
-                    rating = None
-                out.append((path, True, any(MANAGED in v for e in root.iter() for v in e.attrib.values()), rating, tags))
+                    tags, managed, rating = _parsed(text)
+                    out.append((path, True, managed, rating, tags))
+                except (ET.ParseError, OverflowError, ValueError):
+                    out.append((path, False, False, 0, []))
             yield pd.DataFrame(out, columns=["path", "ok", "managed", "rating", "tags"]).astype({"rating": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, SIDECAR)
 
 
 def first_sidecar(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Each photo's sidecar: of ``name.ext.xmp`` and ``name.xmp`` the first that is there."""
+    """(id, sidecar): of ``name.ext.xmp`` and ``name.xmp`` the first that is there and, where ``sidecars`` says ok, can be read."""
+    if "ok" in sidecars.columns:
+        sidecars = sidecars.where("ok")
     stem = F.regexp_replace("path", r"\.[^.\\/]*$", "")
     names = photos.select("id", F.posexplode(F.array(F.concat("path", F.lit(".xmp")), F.concat(stem, F.lit(".xmp")))).alias("rank", "_s"))
-    return names.join(sidecars.withColumnRenamed("path", "_f"), F.lower("_s") == F.lower("_f")).groupBy("id").agg(F.min_by("_f", "rank").alias("sidecar"))
+    return names.join(sidecars.select(F.col("path").alias("_f")), F.lower("_s") == F.lower("_f")).groupBy("id").agg(F.min_by("_f", "rank").alias("sidecar"))
 
 
 def _xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def wanted_sidecars(photos: DataFrame, photo_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """(path, tags, rating) of every photo: what its sidecar should say. A tag's category is followed by the names above it."""
+    from ..operators.hierarchy import tag_paths
+
+    above = tag_paths(tags).select(F.col("id").alias("_t"), F.slice("names", F.lit(1), F.size("names") - 1).alias("_above"))
+    full = tags.join(above, F.col("id") == F.col("_t")).select(F.col("id").alias("tag_id"), "name", F.when(F.coalesce("category", F.lit("")) != "", F.array_join(F.concat(F.array("category"), "_above"), "|")).alias("category"))
+    named = photo_tags.join(full, "tag_id").groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("name", "category"))).alias("t"))
+    none = F.array().cast("array<struct<name:string,category:string>>")
+    return photos.join(named, F.col("id") == F.col("photo_id"), "left").select("path", F.coalesce("t", none).alias("tags"), F.coalesce("rating", F.lit(0)).alias("rating"))
+
+
 def build_sidecars(photos: DataFrame, photo_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """(path, xml) for every photo that has a tag or a rating."""
-    named = photo_tags.join(tags.select(F.col("id").alias("tag_id"), "name", "category"), "tag_id").groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("name", "category"))).alias("t"))
-    p = photos.join(named, F.col("id") == F.col("photo_id"), "left").where("t IS NOT NULL OR rating > 0")
-    li = lambda f: F.array_join(F.transform(F.coalesce("t", F.array().cast("array<struct<name:string,category:string>>")), lambda x: F.concat(F.lit("<rdf:li>"), f(x), F.lit("</rdf:li>"))), "")
-    head = escape("") + (
-        f'<x:xmpmeta xmlns:x="adobe:ns:meta/" x:xmptk="{MANAGED}"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:dc="http://purl.org/dc/elements/1.1/"'
-        ' xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:lr="http://ns.adobe.com/lightroom/1.0/" xmp:Rating="'
-    )
+    """(path, xml) for every photo that has a tag or a rating; see ``with_xml``."""
+    return with_xml(wanted_sidecars(photos, photo_tags, tags).where("size(tags) > 0 OR rating > 0")).select("path", "xml")
+
+
+def with_xml(wanted: DataFrame) -> DataFrame:
+    """``wanted_sidecars`` and the xml of each; a rating of 0 is not written."""
+    li = lambda f: F.array_join(F.transform("tags", lambda x: F.concat(F.lit("<rdf:li>"), f(x), F.lit("</rdf:li>"))), "")
+    spaces = {k: f' xmlns:{k}="{v}"' for k, v in SPACES.items()}
+    head = f'<x:xmpmeta{spaces["x"]}><rdf:RDF{spaces["rdf"]}><rdf:Description rdf:about=""{spaces["dc"]}{spaces["lr"]}{spaces["xmp"]}{spaces["fq"]} fq:managed="True"'
     xml = F.concat(
-        F.lit(head), F.coalesce("rating", F.lit(0)).cast("string"), F.lit('"><dc:subject><rdf:Bag>'), li(lambda x: _xml(x["name"])), F.lit("</rdf:Bag></dc:subject><lr:hierarchicalSubject><rdf:Bag>"),
-        li(lambda x: _xml(F.concat_ws("|", x["category"], x["name"]))), F.lit("</rdf:Bag></lr:hierarchicalSubject></rdf:Description></rdf:RDF></x:xmpmeta>"),
+        F.lit(head), F.when(F.col("rating") > 0, F.concat(F.lit(' xmp:Rating="'), F.col("rating").cast("string"), F.lit('"'))).otherwise(F.lit("")), F.lit("><dc:subject><rdf:Bag>"), li(lambda x: _xml(x["name"])),
+        F.lit("</rdf:Bag></dc:subject><lr:hierarchicalSubject><rdf:Bag>"), li(lambda x: _xml(F.concat_ws("|", x["category"], x["name"]))), F.lit("</rdf:Bag></lr:hierarchicalSubject></rdf:Description></rdf:RDF></x:xmpmeta>"),
     )
-    return p.select("path", xml.alias("xml"))
+    return wanted.withColumn("xml", xml)
+
 
+def sidecar_plan(wanted: DataFrame, current: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """(path, outcome) of every photo in ``wanted`` (path, tags, rating) against ``current`` (path, managed, tags, rating, as parsed).
 
-def sidecar_plan(desired: DataFrame, current: DataFrame) -> DataFrame:
-    """(path, outcome): ``desired`` (path, xml) against ``current`` (path, xml, managed); files of others are left alone."""
-    d, c = desired.select(F.col("path").alias("_d"), F.col("xml").alias("_x")), current.select(F.col("path").alias("_c"), F.col("xml").alias("_y"), "managed")
-    j = d.join(c, F.col("_d") == F.col("_c"), "full_outer")
+    Files of others are FOREIGN. Ours are REMOVED where a photo has neither tag nor rating,
+    UNCHANGED where names, first levels of the categories and rating are the same, else WRITTEN.
+    ERROR: the photo's folder is not among ``folders`` (folder), if they are given.
+    """
+    said = lambda t: F.array_sort(F.transform(t, lambda x: F.struct(F.lower(x["name"]).alias("n"), F.coalesce(F.substring_index(x["category"], "|", 1), F.lit("")).alias("c"))))
+    c = current.select(F.col("path").alias("_c"), F.col("managed").alias("_m"), F.col("tags").alias("_t"), F.col("rating").alias("_r"))
+    j = wanted.join(c, F.col("path") == F.col("_c"), "left")
+    data, there = (F.size("tags") > 0) | (F.col("rating") > 0), F.col("_c").isNotNull()
+    reachable = F.lit(True)
+    if folders is not None:
+        j = j.join(folders.select(F.col("folder").alias("_f")).distinct(), S.folder_of(F.col("path")) == F.col("_f"), "left")
+        reachable = F.col("_f").isNotNull()
     outcome = (
-        F.when(F.col("_c").isNotNull() & ~F.col("managed"), "FOREIGN").when(F.col("_d").isNull(), "REMOVED").when(F.col("_c").isNull(), "WRITTEN").when(F.col("_x") == F.col("_y"), "UNCHANGED").otherwise("WRITTEN")
-    )
-    return j.select(F.coalesce("_d", "_c").alias("path"), outcome.alias("outcome"))
+        F.when(there & ~F.col("_m"), "FOREIGN").when(there & ~data, "REMOVED").when(there & (said("tags") == said("_t")) & (F.col("rating") == F.col("_r")), "UNCHANGED")
+        .when(~there & ~data, "UNCHANGED").when(~reachable, "ERROR").otherwise("WRITTEN")
+    )
+    return j.select("path", outcome.alias("outcome"))
+
+
+def _write_file(path: str, text: str) -> None:
+    import os
+
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(path + ".tmp", path)
+
 
+def _remove_file(path: str) -> None:
+    import os
 
-def write_plan(desired: DataFrame, plan: DataFrame, folder: str) -> None:
-    """The XML of all WRITTEN sidecars as text, a line each."""
-    desired.join(plan.where("outcome = 'WRITTEN'"), "path", "left_semi").select("xml").write.mode("overwrite").text(folder)
+    os.remove(path)
+
+
+def apply_plan(wanted: DataFrame, plan: DataFrame, write: Callable[[str, str], None] = _write_file, remove: Callable[[str], None] = _remove_file) -> DataFrame:
+    """(path, outcome) after WRITTEN sidecars were written beside their photos (``path`` and .xmp) and REMOVED ones removed; ERROR where that failed.
+
+    Tasks do the work when the result is read; doing it twice leaves the same files. ``write``
+    and ``remove`` reach the store of the photos, a mounted file system by default.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, outcome, xml in zip(pdf["path"], pdf["outcome"], pdf["xml"]):
+                try:
+                    if outcome == "WRITTEN":
+                        write(path + ".xmp", xml)
+                    elif outcome == "REMOVED":
+                        remove(path + ".xmp")
+                except FileNotFoundError:
+                    outcome = "REMOVED" if outcome == "REMOVED" else "ERROR"
+                except OSError:
+                    outcome = "ERROR"
+                out.append((path, outcome))
+            yield pd.DataFrame(out, columns=["path", "outcome"])
+
+    return plan.join(with_xml(wanted), "path").select("path", "outcome", "xml").mapInPandas(run, "path string, outcome string")
+
+
+def sidecar_counts(outcomes: DataFrame) -> DataFrame:
+    """(written, unchanged, foreign, errors) of one run; removed ones count as unchanged."""
+    n = lambda *k: F.count_if(F.col("outcome").isin(*k))
+    return outcomes.agg(n("WRITTEN").alias("written"), n("UNCHANGED", "REMOVED").alias("unchanged"), n("FOREIGN").alias("foreign"), n("ERROR").alias("errors"))
 
 
 def save_vectors(vectors: DataFrame, folder: str) -> None:
@@ -189,5 +283,15 @@ def load_vectors(spark: SparkSession, folder: str, model: str) -> DataFrame:
     return spark.read.parquet(folder).where(F.col("model") == model)
 
 
+def stored_counts(vectors: DataFrame) -> DataFrame:
+    """(model, n): how many vectors are stored of each model."""
+    return vectors.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_other_models(vectors: DataFrame, model: str) -> DataFrame:
+    """The vectors of one model; those of all others are forgotten."""
+    return vectors.where(F.col("model") == model)
+
+
 def without_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select(F.col("id").alias("_i")), F.col("photo_id") == F.col("_i"), "left_anti")

@@ -26,17 +26,24 @@ def debounced(events: DataFrame, quiet: str = "30 seconds", by: str = "root") ->
     return g.select(by, F.col("w.start").alias("first"), F.col("w.end").alias("fires_at"), "n")
 
 
+#: Watched roots at the most.
+MOST_ROOTS = 10_000
+
+
 def routed(events: DataFrame, roots: DataFrame) -> DataFrame:
     """Events (path, …) with the longest watched root they are in; others go.
 
-    Roots meet events by equality: an event is looked up under each folder above it. Null and
-    repeated roots count once.
+    The roots are a setting, ``MOST_ROOTS`` at the most; they go to all tasks as one row, and an
+    event finds its root within its own row, so that repeated events stay and a stream keeps no
+    state. Null and repeated roots count once.
     """
-    above = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\\")) - 1), lambda k: F.lower(F.array_join(F.slice(F.split("path", r"\\"), F.lit(1), k), "\\"))))
-    known = roots.where("root IS NOT NULL").select(F.lower(F.regexp_replace("root", r"\\+$", "")).alias("_k"), F.col("root")).dropDuplicates(["_k"])
-    names = events.columns
-    met = events.withColumn("_above", F.explode(above)).join(known, F.col("_above") == F.col("_k"))
-    return met.groupBy(*names).agg(F.max_by("root", F.length("_k")).alias("root"))
+    known = roots.where("root IS NOT NULL").select(F.lower(F.regexp_replace("root", r"\\+$", "")).alias("key"), "root").groupBy("key").agg(F.min("root").alias("root"))
+    if known.limit(MOST_ROOTS + 1).count() > MOST_ROOTS:
+        raise ValueError(f"over {MOST_ROOTS} roots")
+    row = known.agg(F.collect_list(F.struct(F.length("key").alias("long"), "key", "root")).alias("_roots"))
+    path = F.lower(F.col("path"))
+    inside = F.filter("_roots", lambda r: F.startswith(path, F.concat(r["key"], F.lit("\\"))))
+    return events.join(F.broadcast(row)).withColumn("root", F.array_max(inside)["root"]).where("root IS NOT NULL").drop("_roots")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None, by: str = "root") -> DataFrame:

@@ -38,9 +38,34 @@ def test_exif_dates_in_order(spark):
 
 
 def test_exif_details(spark):
-    df = spark.createDataFrame([("Canon", "Canon EOS 5", 0.004, 2.8, 100, 50.0), ("Sony", "A7", 2.0, None, None, None), (None,) * 6], "make string, model string, exposure double, aperture double, iso int, focal double")
+    kind = "make string, model string, lens string, taken string, exposure double, aperture double, iso int, focal double"
+    df = spark.createDataFrame([("Canon", "Canon EOS 5", " 50mm ", "2020:01:02 03:04:05.6", 0.004, 8.0, 100, 4.25), ("Sony", "A7", None, "bad", 2.0, 2.8, 0, 50.0), ("Sony", None, "", None, 1.5, 0.0, None, None), (None,) * 8], kind)
     got = [r["m"] for r in df.select(dates.exif_details({c: F.col(c) for c in df.columns}).alias("m")).collect()]
-    assert got == [{"camera": "Canon EOS 5", "exposure": "1/250 s", "aperture": "f/2.8", "iso": "100", "focal": "50 mm"}, {"camera": "Sony A7", "exposure": "2.0 s"}, {}]
+    assert got == [
+        {"Cámara": "Canon EOS 5", "Objetivo": "50mm", "Tomada": "02/01/2020 03:04", "Ajustes": "1/250 s · f/8 · ISO 100 · 4.25 mm"}, {"Cámara": "Sony A7", "Ajustes": "2 s · f/2.8 · 50 mm"}, {"Cámara": "Sony", "Ajustes": "1.5 s"}, {},
+    ]
+    xs = [0.5, 1.0, 4.25, 30.0, 123.456, 1234.5678, 99999.5, 123456.7, 1234567.0, 2e8]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(dates.general(F.col("x"))).collect()]
+    assert got == [f"{x:g}" for x in xs]
+
+
+def test_labels_at_their_edges(spark):
+    sizes = [None, 0, 1, 1023, 1024, 1536, 2560, 1024**2 - 1, 1024**2, 1310720, 1024**3 - 1, 1024**3, 5 * 1024**3 + 2**28]
+
+    def human(n):
+        units = [("B", 0), ("KB", 0), ("MB", 1), ("GB", 1)]
+        k = next((k for k in range(3) if n < 1024 ** (k + 1)), 3) if n else 0
+        return f"{n / 1024**k:.{units[k][1]}f} {units[k][0]}" if n else "—"
+
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(S.human_size(F.col("n"))).collect()] == [human(n) for n in sizes]
+    df = spark.createDataFrame([(None, None), (0, 3), (2020, None), (2020, 0), (2020, 13), (2020, 12)], "y int, m int")
+    assert [r[0] for r in df.select(S.month_label(F.col("y"), F.col("m"))).collect()] == ["Sin fecha", "Sin fecha", "2020", "2020", "2020", "diciembre 2020"]
+    df = spark.createDataFrame([(None, "a" * 22), (0.0, "b" * 23), (0.9, ""), (61.9, "c")], "d double, n string")
+    assert [tuple(r) for r in df.select(S.clock(F.col("d")), S.short_name(F.col("n"))).collect()] == [("", "a" * 22), ("", "b" * 22 + "…"), ("0:00", ""), ("1:01", "c")]
+    df = spark.createDataFrame([(9802, 10000), (1000, 990), (9800, 10000), (9799, 10000), (1021, 1000), (None, 5)], "w long, h long")
+    shapes = ("landscape", "portrait", "square")
+    got = [[x for x, ok in zip(shapes, r) if ok] for r in df.select(*[S.has_shape(F.col("w"), F.col("h"), x) for x in shapes]).collect()]
+    assert got == [["portrait", "square"], ["square"], ["portrait", "square"], ["portrait"], ["landscape"], []]
 
 
 def test_full_text_normalisation(spark):
@@ -96,6 +121,16 @@ def test_closure_is_cycle_safe(spark):
     assert got == {(1, 2), (1, 3), (2, 3), (2, 1), (3, 1), (3, 2)}
 
 
+def test_deep_trees_are_whole(spark):
+    n = 70
+    tags = spark.createDataFrame([(k, f"t{k}", k - 1 if k > 1 else None) for k in range(1, n + 1)], "id int, name string, parent_id int")
+    got = {(r["ancestor"], r["tag"]): r["depth"] for r in hierarchy.descendants(tags).collect()}
+    assert got == {(a, t): t - a for a in range(1, n + 1) for t in range(a + 1, n + 1)}
+    assert hierarchy.tree(tags).expanded([1, 69, 999]) == {1: list(range(1, n + 1)), 69: [69, 70]}
+    bad = hierarchy.reparent_check(tags, spark.createDataFrame([(1, n), (n, 1), (5, 5)], "tag int, parent int"))
+    assert {tuple(r) for r in bad.collect()} == {(1, n, False), (n, 1, True), (5, 5, False)}
+
+
 def test_merge_into_descendant_takes_the_parent(spark):
     tags = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 2)], "id int, name string, parent_id int")
     pairs, aliases = spark.createDataFrame([(9, 2), (9, 3), (8, 2)], "photo_id long, tag_id int"), spark.createDataFrame([("x", 2)], "alias string, tag_id int")
@@ -110,14 +145,22 @@ def test_near_pairs_equal_brute_force(spark):
     hs = [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for h in base for _ in range(4)] + [0, 0]
     signed = [h - (1 << 64) if h >> 63 else h for h in hs]
     df = spark.createDataFrame(list(enumerate(signed)), "id long, h long")
-    one = {}
-    for k, h in enumerate(hs):
-        one.setdefault(h, k)
-    del one[0]
-    items = sorted(one.items(), key=lambda x: x[1])
     for d in (3, 6, 8):
-        want = {(a, b, (x ^ y).bit_count()) for n, (x, a) in enumerate(items) for y, b in items[n + 1 :] if (x ^ y).bit_count() <= d}
-        assert {tuple(r) for r in duplicates.near_pairs(df, d).collect()} == want
+        got = [tuple(r) for r in duplicates.near_pairs(df, d).collect()]
+        # The links are true, none is twice, and over equal hashes they say which ids are near which.
+        assert len(got) == len(set(got)) and all(a < b and n == (hs[a] ^ hs[b]).bit_count() <= d for a, b, n in got)
+        first = {b: a for a, b, n in sorted(got) if n == 0}
+        met = {(first.get(a, a), first.get(b, b)) for a, b, _ in got}
+        for a, x in enumerate(hs):
+            for b in range(a + 1, len(hs)):
+                if x and hs[b] and (x ^ hs[b]).bit_count() <= d:
+                    p, q = sorted((first.get(a, a), first.get(b, b)))
+                    assert p == q or (p, q) in met
+
+
+def test_equal_hashes_link(spark):
+    got = {tuple(r) for r in duplicates.near_pairs(spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, 0), (5, None)], "id long, h long"), 1).collect()}
+    assert got == {(1, 2, 0), (1, 3, 1)}
 
 
 def _sequential(rows, d):
@@ -143,6 +186,12 @@ def test_leader_groups_do_not_chain(spark):
     assert got == _sequential(rows, 2)
 
 
+def test_long_chains_of_leaders(spark):
+    rows = [(k, (1 << (k % 60)) | (1 << ((k + 1) % 60)) | (k // 60) << 60) for k in range(1, 58)]
+    got = {tuple(r) for r in duplicates.leader_groups(spark.createDataFrame(rows, "id long, h long"), 2).collect()}
+    assert got == _sequential(rows, 2)
+
+
 def test_similar_groups_skip_identical(spark):
     photos = spark.createDataFrame([(1, "a", 5, "m", False), (2, "b", 5, "m", False), (3, "c", 7, None, False), (4, "d", 7, "n", False), (5, "e", 1, None, True), (6, "f", 1, None, False)], "id long, path string, filesize long, md5 string, hidden boolean")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "id long, leader long")
@@ -171,7 +220,8 @@ def test_suggestions_of_folder_name(spark):
     aliases = spark.createDataFrame([("fotos", 2)], "alias string, tag_id int")
     pairs = spark.createDataFrame([(1, 3), (2, 3)], "photo_id long, tag_id int")
     got = {tuple(r) for r in suggest.folder_suggestions(photos, pairs, tags, aliases).collect()}
-    assert got == {(1, 1, 0.9), (2, 1, 0.9), (1, 2, 0.9), (2, 2, 0.9), (3, 2, 0.9)}
+    assert {r[:3] for r in got} == {(1, 1, 0.9), (2, 1, 0.9), (1, 2, 0.9), (2, 2, 0.9), (3, 2, 0.9)}
+    assert {r[3] for r in got} == {"«playa» aparece en el nombre de la carpeta", "«fotos» aparece en el nombre de la carpeta"}
 
 
 def test_zero_vectors_never_match(spark):
@@ -217,15 +267,45 @@ def test_export_round_trip(spark, cat, tmp_path):
         interchange.read_export(spark, str(bad))
 
 
+def _sidecar(body, attributes=""):
+    spaces = "".join(f' xmlns:{k}="{v}"' for k, v in interchange.SPACES.items() if k != "x")
+    return f'<?xpacket begin=""?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF{spaces}><rdf:Description{attributes}>{body}</rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+
+
 def test_foreign_and_broken_sidecars(spark):
-    xml = '<?xpacket?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><rdf:Description xmlns:dc="d" xmlns:xmp="x"><dc:subject><rdf:Bag><rdf:li>Playa</rdf:li><rdf:li>playa</rdf:li><rdf:li>Mar</rdf:li></rdf:Bag></dc:subject><lr:hierarchicalSubject xmlns:lr="l"><rdf:Bag><rdf:li>Lugares|Mar</rdf:li></rdf:Bag></lr:hierarchicalSubject><xmp:Rating>9</xmp:Rating></rdf:Description></rdf:RDF></x:xmpmeta>'
-    files = spark.createDataFrame([("a.xmp", bytearray(xml.encode())), ("b.xmp", bytearray(b"<x"))], "path string, content binary")
+    bag = lambda kind, *names: f"<{kind}><rdf:Bag>{''.join(f'<rdf:li>{n}</rdf:li>' for n in names)}</rdf:Bag></{kind}>"
+    texts = {
+        "a.xmp": _sidecar(bag("dc:subject", "Playa", "playa", " ", "Mar") + bag("lr:hierarchicalSubject", "Lugares|Costa|Mar", "Otros|Nunca") + "<xmp:Rating>9</xmp:Rating>"), "b.xmp": "<x", "c.xmp": _sidecar("", ' xmp:Rating="2.5" fq:managed="True"'),
+        "d.xmp": _sidecar(bag("dc:subject", "managed"), ' xmp:Rating="-1" fq:managed="no"'), "e.xmp": _sidecar("", ' xmp:Rating="3.5"'), "f.xmp": _sidecar("", ' xmp:Rating="viel"'), "g.xmp": _sidecar(""),
+    }
+    files = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in texts.items()], "path string, content binary")
     got = {r["path"]: r for r in interchange.parse_sidecars(files).collect()}
-    assert [(t["name"], t["category"]) for t in got["a.xmp"]["tags"]] == [("Playa", None), ("Mar", "Lugares")]
-    assert (got["a.xmp"]["rating"], got["a.xmp"]["managed"], got["b.xmp"]["ok"]) == (5, False, False)
-    photos = spark.createDataFrame([(1, "D:\\a.jpg"), (2, "D:\\b.jpg")], "id long, path string")
-    cars = spark.createDataFrame([("D:\\a.xmp",), ("D:\\a.jpg.xmp",), ("D:\\B.XMP",)], "path string")
-    assert {(r["id"], r["sidecar"]) for r in interchange.first_sidecar(photos, cars).collect()} == {(1, "D:\\a.jpg.xmp"), (2, "D:\\B.XMP")}
+    assert [(t["name"], t["category"]) for t in got["a.xmp"]["tags"]] == [("playa", None), ("mar", "lugares")]
+    assert {k: r["rating"] for k, r in got.items()} == {"a.xmp": 5, "b.xmp": 0, "c.xmp": 2, "d.xmp": 0, "e.xmp": 4, "f.xmp": 0, "g.xmp": 0}
+    assert [k for k, r in got.items() if r["managed"]] == ["c.xmp"] and [k for k, r in got.items() if not r["ok"]] == ["b.xmp"]
+    photos = spark.createDataFrame([(1, "D:\\a.jpg"), (2, "D:\\b.jpg"), (3, "D:\\c.jpg")], "id long, path string")
+    cars = spark.createDataFrame([("D:\\a.xmp", True), ("D:\\a.jpg.xmp", False), ("D:\\B.XMP", True), ("D:\\c.jpg.xmp", True), ("D:\\c.xmp", True)], "path string, ok boolean")
+    assert {(r["id"], r["sidecar"]) for r in interchange.first_sidecar(photos, cars).collect()} == {(1, "D:\\a.xmp"), (2, "D:\\B.XMP"), (3, "D:\\c.jpg.xmp")}
+
+
+def test_sidecars_are_written_beside_their_photos(spark, tmp_path):
+    kind = "path string, tags array<struct<name:string,category:string>>, rating int"
+    names = [str(tmp_path / f"{n}.jpg") for n in "abcd"] + [str(tmp_path / "gone" / "e.jpg")]
+    wanted = spark.createDataFrame([(names[0], [("Rock & <Roll>", "música|padre")], 3), (names[1], [], 0), (names[2], [], 4), (names[3], [("x", None)], 0), (names[4], [("y", None)], 1)], kind)
+
+    def current():
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xmp").load(str(tmp_path)).select(F.regexp_replace("path", "^file:|[.]xmp$", "").alias("path"), "content")
+        return interchange.parse_sidecars(found).select("path", "managed", "tags", "rating")
+
+    (tmp_path / "b.jpg.xmp").write_text(_sidecar("", ' fq:managed="True"'))
+    (tmp_path / "d.jpg.xmp").write_text(_sidecar(""))
+    plan = lambda: interchange.sidecar_plan(wanted, current())
+    assert [r["outcome"] for r in plan().orderBy("path").collect()] == ["WRITTEN", "REMOVED", "WRITTEN", "FOREIGN", "WRITTEN"]
+    done = interchange.apply_plan(wanted, plan()).orderBy("path").collect()
+    assert [r["outcome"] for r in done] == ["WRITTEN", "REMOVED", "WRITTEN", "FOREIGN", "ERROR"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.jpg.xmp", "c.jpg.xmp", "d.jpg.xmp"]
+    assert [r["outcome"] for r in plan().orderBy("path").collect()] == ["UNCHANGED", "UNCHANGED", "UNCHANGED", "FOREIGN", "WRITTEN"]
+    assert [(t["name"], t["category"]) for t in current().where("path LIKE '%a.jpg'").first()["tags"]] == [("rock & <roll>", "música")]
 
 
 def test_vector_store(spark, cat, tmp_path):
