@@ -116,7 +116,7 @@ def format_reply_trees(messages: DataFrame) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, turn, role, :hard AS text FROM VALUES (CAST(0 AS BIGINT), 'user'), (CAST(1 AS BIGINT), 'assistant') AS t(turn, role)", args={"hard": hard})
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     back = read_back(format_reply_trees(durable(conversation_messages(rows))))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
