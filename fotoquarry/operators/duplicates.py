@@ -150,17 +150,25 @@ def similar_groups(photos: DataFrame, groups: DataFrame, show_hidden: bool = Fal
     return (g if show_hidden else g.where("NOT _h")).select("leader", "n", "size", "first_path").orderBy(F.desc("size"), "first_path")
 
 
-def text_fingerprint(docs: DataFrame, bits: int = 60) -> DataFrame:
+#: Two counters of so many bits fit into a long; no text has that many different words.
+COUNTER = 30
+
+
+def text_fingerprint(docs: DataFrame, bits: int = 2 * COUNTER) -> DataFrame:
     """(id, h): 60-bit SimHash of the distinct lower-case words; a word's hash is the first 15 hex digits of its md5.
 
-    A document is folded within its row: nothing is shuffled. Texts without a word have no row.
+    The words of a document lie in one task, so its sums are whole before the shuffle: one row
+    of packed counters a document crosses it. Rows with the same id count as one text; texts
+    without a word have no row.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 15), 16, 10).cast("long"))
-    rows = docs.select(F.col("doc_id").alias("id"), hashed.alias("x")).where(F.size("x") > 0)
-    # How often each bit is set, in one pass over the words.
-    zero = F.array(*[F.lit(0)] * bits)
-    add = lambda s, x: F.zip_with(s, F.array(*[F.shiftright(x, k).bitwiseAND(F.lit(1)).cast("int") for k in range(bits)]), lambda a, b: a + b)
-    counted = rows.select("id", F.size("x").alias("n"), F.aggregate("x", zero, add).alias("s"))
-    value = F.aggregate(F.transform("s", lambda c, k: F.when(c * 2 > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where("w <> ''")
+    hashed = words.select("id", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("x"))
+    # Sum k counts bit k in its lower half and bit k + COUNTER in its upper half.
+    pair = F.lit(1 | 1 << COUNTER)
+    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(pair)).alias(f"s{k}") for k in range(COUNTER)]
+    counted = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *sums)
+    count = lambda k: F.shiftrightunsigned(f"s{k % COUNTER}", k // COUNTER * COUNTER).bitwiseAND(F.lit((1 << COUNTER) - 1))
+    value = F.lit(0).cast("long")
+    for k in range(bits):
+        value = value.bitwiseOR(F.when(count(k) * 2 > F.col("n"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
     return counted.select("id", value.alias("h"))
