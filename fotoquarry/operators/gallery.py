@@ -101,13 +101,27 @@ def predicates(f: PhotoFilter) -> Column:
     return S.all_of(out)
 
 
+def _listed(spark, rows, schema: str) -> DataFrame:
+    """Stated rows of whole numbers as a table of known size, so that Spark itself sees whether it can be sent to all tasks."""
+    names = schema.split(", ")
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(str(int(v)) for v in r) + ")" for r in rows)
+    raw = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(n.split(' ')[0] for n in names)})")
+    return raw.select(*[F.col(n.split(" ")[0]).cast(n.split(" ")[1]) for n in names])
+
+
 def _ids(df: DataFrame, values) -> DataFrame:
-    """Stated ids as a frame; Spark sends it to all tasks if it is small, and deals it out if not."""
-    return df.sparkSession.createDataFrame([(int(v),) for v in dict.fromkeys(values)], "v long")
+    """Stated ids as a table; Spark sends it to all tasks if it is small, and deals it out if not."""
+    return _listed(df.sparkSession, [(v,) for v in dict.fromkeys(values)], "v long")
+
+
+#: The mark of hidden tags; stated tags have marks from 0 on.
+HIDDEN = -1
 
 
 def apply_filter(photos: DataFrame, tags: DataFrame, photo_tags: DataFrame, rejections: DataFrame, f: PhotoFilter) -> DataFrame:
-    """The photos that pass; own columns first, then one semi or anti join for each tag condition."""
+    """The photos that pass: own columns first, then one semi or anti join for all conditions on tags together, and one for each on ids and answers."""
     out = photos.where(predicates(f))
 
     def semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -116,21 +130,22 @@ def apply_filter(photos: DataFrame, tags: DataFrame, photo_tags: DataFrame, reje
 
     if f.only_ids is not None:
         out = semi(out, _ids(photos, f.only_ids))
-    if f.exclude_hidden:
-        out = semi(out, hidden_ids(tags, photo_tags), "left_anti")
-    if f.all_tags:
-        want = _ids(photos, f.all_tags)
-        have = photo_tags.join(want, F.col("tag_id") == F.col("v")).groupBy("photo_id").agg(F.count_distinct("tag_id").alias("n")).where(F.col("n") == len(set(f.all_tags)))
-        out = semi(out, have.select("photo_id"))
-    if f.tag_groups:
-        rows = [(int(t), g) for g, ids in enumerate(f.tag_groups) for t in set(ids)]
-        want = photos.sparkSession.createDataFrame(rows, "v int, g int")
-        have = photo_tags.join(want, F.col("tag_id") == F.col("v")).groupBy("photo_id").agg(F.count_distinct("g").alias("n")).where(F.col("n") == len(f.tag_groups))
-        out = semi(out, have.select("photo_id"))
-    if f.any_tags:
-        out = semi(out, photo_tags.join(_ids(photos, f.any_tags), F.col("tag_id") == F.col("v"), "left_semi").select("photo_id"))
-    if f.none_tags:
-        out = semi(out, photo_tags.join(_ids(photos, f.none_tags), F.col("tag_id") == F.col("v"), "left_semi").select("photo_id"), "left_anti")
+    # Every tag condition is a mark; one pass over the pairs gives each photo's marks.
+    must = [{t} for t in dict.fromkeys(f.all_tags)] + [set(g) for g in f.tag_groups] + ([set(f.any_tags)] if f.any_tags else [])
+    must_not = [set(f.none_tags)] if f.none_tags else []
+    if must or must_not or f.exclude_hidden:
+        rows = [(int(t), k) for k, ids in enumerate([*must, *must_not]) for t in ids]
+        want = _listed(photos.sparkSession, rows, "v int, mark int")
+        if f.exclude_hidden:
+            hidden = tags.where("hidden").select(F.col("id").alias("v"), F.lit(HIDDEN).alias("mark"))
+            want = want.unionByName(hidden) if rows else hidden
+        marks = photo_tags.join(want, F.col("tag_id") == F.col("v")).groupBy("photo_id").agg(F.collect_set("mark").alias("marks"))
+        if must:
+            no = [*range(len(must), len(must) + len(must_not)), HIDDEN]
+            good = S.all_of([*[F.array_contains("marks", k) for k in range(len(must))], ~F.arrays_overlap("marks", F.array(*[F.lit(k) for k in no]))])
+            out = semi(out, marks.where(good))
+        else:
+            out = semi(out, marks, "left_anti")
     if f.not_rejected_for is not None:
         out = semi(out, rejections.where(F.col("tag_id") == f.not_rejected_for).select("photo_id"), "left_anti")
     if f.rejected_for is not None:
