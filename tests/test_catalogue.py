@@ -326,3 +326,36 @@ def test_near_pairs_and_members_name_every_document(spark):
     df = spark.createDataFrame([(5, 0b111), (3, 0b111), (9, 0b111), (4, 0b110), (7, 1 << 40), (8, 0), (6, None)], "id long, h long")
     got = sorted(tuple(r) for r in duplicates.near_pairs_and_members(df, 1).collect())
     assert got == [(3, 3, 0), (3, 4, 1), (4, 4, 0), (5, 3, 0), (7, 7, 0), (9, 3, 0)]
+
+
+def test_fingerprints_equal_brute_force(spark):
+    import hashlib
+    import re
+
+    def brute(text):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in {w for w in re.split(r"[\W_]+", text.lower()) if w}]
+        return sum(1 << k for k in range(60) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+    texts = [(1, "a b c"), (2, None), (3, ""), (4, " .. "), (5, " ".join(f"w{i}" for i in range(20000))), (6, "one"), (7, "Ñandú übér ño"), (8, "one one, ONE")]
+    got = {r["id"]: r["h"] for r in duplicates.text_fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in texts if i not in (2, 3, 4)}
+    assert duplicates.text_fingerprint(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tag_conditions_together(spark):
+    photos = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
+    tags = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "id int, hidden boolean")
+    have = {1: {1}, 2: {1, 2}, 3: {1, 2, 3}, 4: {2, 4}, 5: {1, 2, 4}, 6: {3}, 7: set(), 8: {4}}
+    pairs = spark.createDataFrame([(p, t) for p, own in have.items() for t in own for _ in range(2)], "photo_id long, tag_id int")
+    no = spark.createDataFrame([], "tag_id int, photo_id long")
+
+    def found(**f):
+        return {r["id"] for r in gallery.apply_filter(photos, tags, pairs, no, gallery.PhotoFilter(**f)).collect()}
+
+    assert found(all_tags=(1, 2, 2)) == {2, 3, 5}
+    assert found(all_tags=(1, 2), none_tags=(4,), exclude_hidden=True) == {2}
+    assert found(tag_groups=((1, 4), (2,)), exclude_hidden=True) == {2, 4, 5}
+    assert found(tag_groups=((1,), ())) == set()
+    assert found(any_tags=(1, 4), none_tags=(2,)) == {1, 8}
+    assert found(none_tags=(1,), exclude_hidden=True) == {4, 7, 8}
+    assert found(only_ids=()) == set()
