@@ -1,9 +1,9 @@
 """Every catalogue query by name, with its SQL twin where SQL can express it."""
 
-from . import gallery, summaries, upkeep
+from . import gallery, perceptual, summaries, upkeep
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _book in (gallery.book, summaries.book, upkeep.book):
+for _book in (gallery.book, summaries.book, upkeep.book, perceptual.book):
     QUERIES |= _book.queries
     ORACLES |= _book.oracles
