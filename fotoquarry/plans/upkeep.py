@@ -224,6 +224,9 @@ book.add("watch_folders", lambda c: M.watch_folders(c.photos, ["G:/Fotos/1996",
 _ANS = "SELECT CAST(event_id % 25 + 1 AS INT) AS tag_id, event_id % 1500 AS photo_id, CASE event_type WHEN 'click' THEN 'yes' ELSE 'no' END AS answer, ts, event_id AS seq FROM {e} WHERE event_type IN ('click', 'error')"
 _answers = lambda c: c.spark.sql(_ANS, e=c.base("events"))
 _A = "a AS (" + _ANS.format(e="events") + "), l AS (SELECT tag_id, photo_id, arg_max(answer, (ts, seq)) AS answer FROM a GROUP BY 1, 2)"
+answers = _answers
+#: a: the answers; l: the latest of each pair.
+ANSWERS_CTE = _A
 book.add("latest_answers", lambda c: M.latest_answers(_answers(c)), f"WITH {_A} SELECT tag_id, photo_id, answer FROM l")
 book.add("answered_tags", lambda c: M.apply_answers(c.photo_tags, c.tag_rejections, M.latest_answers(_answers(c)))[0], f"WITH {_A} SELECT tag_id, photo_id FROM photo_tags p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tag_id = p.tag_id AND l.photo_id = p.photo_id AND answer = 'no') UNION SELECT tag_id, photo_id FROM l WHERE answer = 'yes'")
 book.add("answered_rejections", lambda c: M.apply_answers(c.photo_tags, c.tag_rejections, M.latest_answers(_answers(c)))[1], f"WITH {_A} SELECT tag_id, photo_id FROM tag_rejections p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tag_id = p.tag_id AND l.photo_id = p.photo_id AND answer = 'yes') UNION SELECT tag_id, photo_id FROM l WHERE answer = 'no'")
