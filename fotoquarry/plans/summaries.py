@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import duplicates as D
-from ..operators import gallery, hierarchy, suggest
+from ..operators import gallery, hierarchy, suggest, tour
 from ..sources.catalog import with_views
 from .define import Book
 from .gallery import CLOSURE, HID
@@ -99,6 +99,10 @@ _PATH = "WITH RECURSIVE p(id, depth, path, names) AS (SELECT id, 0, name, [name]
 book.add("tag_parents", lambda c: hierarchy.parents(c.tags), "SELECT id, parent_id FROM tags WHERE parent_id IS NOT NULL")
 book.add("tag_descendants", lambda c: hierarchy.descendants(c.tags), f"{_C} SELECT a AS ancestor, t AS tag, d AS depth FROM clo")
 book.add("tag_paths", lambda c: hierarchy.tag_paths(c.tags).select("id", "depth", "path"), f"{_PATH} SELECT id, depth, path FROM p")
+_WALK = """WITH RECURSIVE p(id, depth, way) AS (SELECT id, 0, [(lower(name), id)] FROM tags WHERE parent_id IS NULL UNION ALL SELECT t.id, depth + 1, list_append(way, (lower(t.name), t.id)) FROM p JOIN tags t ON t.parent_id = p.id),
+  o AS (SELECT id, depth, way, row_number() OVER (ORDER BY way) - 1 AS k FROM p), s AS (SELECT a.id, count(*) AS size FROM o a JOIN o b ON b.way[1:len(a.way)] = a.way GROUP BY a.id)"""
+book.add("tag_tour", lambda c: tour.euler_tour(c.tags).drop("cycle"), f"{_WALK} SELECT id, 2 * k - depth AS entry, 2 * k - depth + 2 * size - 1 AS exit, CAST(depth AS BIGINT) AS depth FROM o JOIN s USING (id)")
+book.add("tag_ranges", lambda c: tour.below(tour.euler_tour(c.tags), c.tags), f"{_C} SELECT CAST(a AS BIGINT) AS ancestor, CAST(t AS BIGINT) AS tag FROM clo UNION SELECT id, id FROM tags")
 book.add("tag_tree_order", lambda c: hierarchy.tree_order(c.tags), f"{_PATH} SELECT id, depth, path FROM p")
 book.add("tag_search_text", lambda c: hierarchy.search_text(c.tags, c.tag_aliases), f"{_PATH}, al AS (SELECT tag_id, string_agg(alias, ' ' ORDER BY alias) AS al FROM tag_aliases GROUP BY 1) SELECT id, lower(concat_ws(' ', array_to_string(names, ' '), al)) AS text FROM p LEFT JOIN al ON tag_id = id")
 book.add("reparent_check", lambda c: hierarchy.reparent_check(c.tags, c.tags.select(F.col("id").alias("tag"), "category").join(c.tags.select(F.col("id").alias("parent"), "category"), "category").drop("category")), f"{_C} SELECT x.id AS tag, y.id AS parent, x.id <> y.id AND NOT EXISTS (SELECT 1 FROM clo WHERE a = x.id AND t = y.id) AS allowed FROM tags x JOIN tags y ON y.category = x.category")
