@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import scalars as S
-from ..operators import aggregates, gallery
+from ..operators import aggregates, gallery, saved
 from ..operators.gallery import ALBUMS, GalleryQuery, PhotoFilter, apply_filter
 from ..operators.gallery import gallery as run
 from .define import Book
@@ -172,6 +172,24 @@ book.add("saved_query_counts", lambda c: gallery.count_queries(c, _SAVED), CLOSU
  UNION ALL SELECT 'not five', count(*) FROM photos WHERE id NOT IN {HID} AND id NOT IN (SELECT photo_id FROM photo_tags JOIN clo ON clo.t = tag_id WHERE clo.a = 5) AND starts_with(lower(path), 'd:\fotos\')
  UNION ALL SELECT 'rejected nine', count(*) FROM photos WHERE id NOT IN {HID} AND id IN (SELECT photo_id FROM tag_rejections WHERE tag_id = 9)""")
 
+
+
+def _stored(c):
+    """A saved query for every tag and year, and one for every tag that leaves it out."""
+    years = c.photos.where("year IS NOT NULL").select("year").distinct()
+    both = c.tags.select("id").join(years).select(F.concat_ws(" ", F.lit("with"), "id", "year").alias("name"), F.to_json(F.struct(F.array("id").alias("tag_ids"), F.col("year").alias("year_from"), (F.col("id") % 4).alias("min_rating"))).alias("query"))
+    without = c.tags.select(F.concat_ws(" ", F.lit("without"), "id").alias("name"), F.to_json(F.struct(F.array("id").alias("exclude_tag_ids"), F.col("id").alias("not_rejected_for"), F.lit("video").alias("media_type"))).alias("query"))
+    return both.unionByName(without)
+
+
+book.add(
+    "saved_query_rows",
+    lambda c: saved.count_saved(c, _stored(c)),
+    CLOSURE + f""", has AS (SELECT DISTINCT a, photo_id FROM photo_tags JOIN clo ON clo.t = tag_id), p AS (SELECT * FROM photos WHERE id NOT IN {HID}), y AS (SELECT DISTINCT year FROM photos WHERE year IS NOT NULL)
+    SELECT concat_ws(' ', 'with', tags.id, y.year) AS name, count(p.id) AS n FROM tags JOIN y ON true LEFT JOIN has ON has.a = tags.id LEFT JOIN p ON p.id = has.photo_id AND p.year >= y.year AND p.rating >= tags.id % 4 GROUP BY ALL
+    UNION ALL SELECT concat_ws(' ', 'without', tags.id), count(p.id) FROM tags LEFT JOIN p ON p.media_type = 'video' AND NOT EXISTS (SELECT 1 FROM has WHERE has.a = tags.id AND has.photo_id = p.id) AND NOT EXISTS (SELECT 1 FROM tag_rejections r WHERE r.tag_id = tags.id AND r.photo_id = p.id) GROUP BY ALL""",
+)
+
 # Orders, pages, positions.
 for _field, _cols in gallery.ORDERS.items():
     for _asc in (True, False):
