@@ -61,6 +61,18 @@ def general(x: Column) -> Column:
     return F.when(x >= 999999.5, power).otherwise(short)
 
 
+def _tenth(x: Column) -> Column:
+    """A number from 0 to 1024 rounded to one decimal as it is in binary: below a half down, above it up, an exact half to the even digit."""
+    high = F.floor(x * float(1 << 26))
+    low = F.floor((x * float(1 << 26) - high) * float(1 << 30))
+    # 20 x + 1 in units of 2**-56, in whole numbers.
+    n = ((high.cast("decimal(12,0)") * F.lit(1 << 30).cast("decimal(11,0)") + low.cast("decimal(11,0)")) * F.lit(20) + F.lit(1 << 56)).cast("decimal(30,0)")
+    rest = (n % F.lit(1 << 57)).cast("decimal(18,0)")
+    tenths = ((n - rest) / F.lit(1 << 57)).cast("long")
+    even = F.when((rest == 0) & (tenths % 2 == 1), tenths - 1).otherwise(tenths)
+    return F.when(x.between(0, 1024), even / 10).otherwise(x)
+
+
 def exif_details(c: dict[str, Column]) -> Column:
     """map of the details that are there: camera, lens, time taken, and the settings in one line.
 
@@ -75,7 +87,7 @@ def exif_details(c: dict[str, Column]) -> Column:
     settings = F.filter(
         F.array(
             F.when((t > 0) & (t < 1), F.concat(F.lit("1/"), F.bround(1 / t, 0).cast("long").cast("string"), F.lit(" s"))).when(t >= 1, F.concat(general(t), F.lit(" s"))),
-            F.when(f != 0, F.concat(F.lit("f/"), F.regexp_replace(F.format_string("%.1f", f), r"\.0$", ""))),
+            F.when(f != 0, F.concat(F.lit("f/"), F.regexp_replace(F.format_string("%.1f", _tenth(f)), r"\.0$", ""))),
             F.when(iso != 0, F.concat(F.lit("ISO "), iso.cast("string"))),
             F.when(mm != 0, F.concat(general(mm), F.lit(" mm"))),
         ),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,32 +152,45 @@ def artefact_key(path: Column, mtime: Column, version: int = 1) -> Column:
     return F.sha1(F.concat_ws("::", path, F.coalesce(mtime.cast("decimal(20,6)").cast("string"), F.lit("")), F.lit(str(version))))
 
 
-#: Latin letters with a mark and what they are without; NFKD is the full rule.
-_MARKED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+@cache
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """(characters, what single characters they become, characters that become several), for all of Unicode.
 
+    A character becomes its case folding, decomposed (NFKD) and without combining marks. What is
+    left without a counterpart at the end of the first text becomes nothing.
+    """
+    one: dict[str, str] = {}
+    gone, several = [], {}
+    for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+        if plain == c:
+            continue
+        # Only letters a to z and digits are told apart later; all else is a gap.
+        kept = "".join(x if x in _WORD else " " for x in plain)
+        if not plain:
+            gone.append(c)
+        elif len(kept) == 1 or not kept.strip():
+            one[c] = kept[0]
+        else:
+            several[c] = kept
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
-def normal_text(text: Column) -> Column:
-    """Lower case, no marks, runs of letters and digits joined by one space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"[^a-z0-9]+", " "))
-
-
-def normal_text_full(text: Column) -> Column:
-    """As ``normal_text`` for every script: case folding and NFKD in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(texts):
-        import re
-        import unicodedata
-
-        def one(t):
-            if t is None:
-                return None
-            plain = "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c))
-            return " ".join(re.findall(r"[a-z0-9ñ]+", plain))
-
-        return texts.map(one, na_action=None)
 
-    return run(text)
+def normal_text(text: Column) -> Column:
+    """Case folded, decomposed (NFKD) and without marks, in any script: runs of a to z and digits, joined by one space."""
+    chars, plain, several = _folded()
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    any_of = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
+    # Few texts have a character that becomes several, such as a ligature; the sharp s, which many have, is dealt with first.
+    text = F.replace(text, F.lit("ß"), F.lit("ss"))
+    longer = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(text.rlike(any_of), longer).otherwise(text)
+    # A text as long in bytes as in characters is ASCII.
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(whole, chars, plain))
+    return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -116,12 +116,17 @@ def _ids(df: DataFrame, values) -> DataFrame:
     return _listed(df.sparkSession, [(v,) for v in dict.fromkeys(values)], "v long")
 
 
-#: The mark of hidden tags; stated tags have marks from 0 on.
-HIDDEN = -1
+#: Marks that fit into one whole number.
+BITS = 62
 
 
 def apply_filter(photos: DataFrame, tags: DataFrame, photo_tags: DataFrame, rejections: DataFrame, f: PhotoFilter) -> DataFrame:
-    """The photos that pass: own columns first, then one semi or anti join for all conditions on tags together, and one for each on ids and answers."""
+    """The photos that pass: own columns first, then one semi or anti join for all conditions on tags together, and one for each on ids and answers.
+
+    Every condition on tags is a mark, a bit; one pass over the pairs ors each photo's marks
+    together, in numbers that combine before the shuffle. A single condition needs no marks: it
+    is a semi or anti join with the pairs themselves.
+    """
     out = photos.where(predicates(f))
 
     def semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -130,22 +135,27 @@ def apply_filter(photos: DataFrame, tags: DataFrame, photo_tags: DataFrame, reje
 
     if f.only_ids is not None:
         out = semi(out, _ids(photos, f.only_ids))
-    # Every tag condition is a mark; one pass over the pairs gives each photo's marks.
     must = [{t} for t in dict.fromkeys(f.all_tags)] + [set(g) for g in f.tag_groups] + ([set(f.any_tags)] if f.any_tags else [])
-    must_not = [set(f.none_tags)] if f.none_tags else []
-    if must or must_not or f.exclude_hidden:
-        rows = [(int(t), k) for k, ids in enumerate([*must, *must_not]) for t in ids]
+    # The last mark is what a photo must not have.
+    never = len(must)
+    rows = [(int(t), k) for k, ids in enumerate([*must, set(f.none_tags)]) for t in ids]
+    if rows or f.exclude_hidden:
         want = _listed(photos.sparkSession, rows, "v int, mark int")
         if f.exclude_hidden:
-            hidden = tags.where("hidden").select(F.col("id").alias("v"), F.lit(HIDDEN).alias("mark"))
+            hidden = tags.where("hidden").select(F.col("id").alias("v"), F.lit(never).alias("mark"))
             want = want.unionByName(hidden) if rows else hidden
-        marks = photo_tags.join(want, F.col("tag_id") == F.col("v")).groupBy("photo_id").agg(F.collect_set("mark").alias("marks"))
-        if must:
-            no = [*range(len(must), len(must) + len(must_not)), HIDDEN]
-            good = S.all_of([*[F.array_contains("marks", k) for k in range(len(must))], ~F.arrays_overlap("marks", F.array(*[F.lit(k) for k in no]))])
-            out = semi(out, marks.where(good))
+        tagged = photo_tags.join(want, F.col("tag_id") == F.col("v"))
+        unwanted = bool(f.none_tags) or f.exclude_hidden
+        if not must:
+            out = semi(out, tagged, "left_anti")
+        elif len(must) == 1 and not unwanted:
+            out = semi(out, tagged)
         else:
-            out = semi(out, marks, "left_anti")
+            words = range(never // BITS + 1)
+            one = lambda w: F.bit_or(F.when(F.floor(F.col("mark") / BITS) == w, F.expr(f"shiftleft(1L, mark % {BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}")
+            marks = tagged.groupBy("photo_id").agg(*[one(w) for w in words])
+            full = [sum(1 << k % BITS for k in range(never) if k // BITS == w) for w in words]
+            out = semi(out, marks.where(S.all_of([F.col(f"m{w}") == F.lit(full[w]).cast("long") for w in words])))
     if f.not_rejected_for is not None:
         out = semi(out, rejections.where(F.col("tag_id") == f.not_rejected_for).select("photo_id"), "left_anti")
     if f.rejected_for is not None:

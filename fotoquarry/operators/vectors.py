@@ -29,32 +29,47 @@ def beside(many: DataFrame, few: DataFrame, n: int, most: int = 10_000) -> DataF
 def scores(vectors: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
     """(query, photo_id, score): inner product of each stated query with every vector; zero vectors left out.
 
-    ``queries``: query, qvec; a stated set of at most ``most`` rows, which is checked before it is sent to all tasks.
+    ``queries``: query, qvec; any number: up to ``most`` are sent to all tasks, more meet the vectors in blocks.
     """
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"over {most} query vectors")
-    return beside(vectors.where(~S.is_zero(F.col("vec"))), queries.select("query", "qvec"), n, most).select("query", "photo_id", S.dot(F.col("vec"), F.col("qvec")).alias("score"))
+    return beside(vectors.where(~S.is_zero(F.col("vec"))), queries.select("query", "qvec"), queries.count(), most).select("query", "photo_id", S.dot(F.col("vec"), F.col("qvec")).alias("score"))
 
 
-def scores_arrow(vectors: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
-    """As ``scores`` for query vectors in the driver's hands, by one matrix product an Arrow batch."""
-    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+#: Queries and vectors of a block that one task multiplies.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
-    def run(batches):
+
+def scores_arrow(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """As ``scores``, by one matrix product a block of queries and a block of vectors; nothing is collected or sent to all tasks.
+
+    A block of vectors goes to as many tasks as there are blocks of queries. Rows with a null id
+    or vector take no part; all vectors are of one length.
+    """
+    q = queries.where("query IS NOT NULL AND qvec IS NOT NULL").select(F.col("query").cast("long").alias("query"), F.col("qvec").cast("array<double>").alias("qvec"))
+    v = vectors.where(~S.is_zero(F.col("vec"))).where("photo_id IS NOT NULL").select(F.col("photo_id").cast("long").alias("photo_id"), F.col("vec").cast("array<double>").alias("vec"))
+    qs, vs = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
+    own, every = (lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = q.withColumn("_q", own("query", qs)).withColumn("_v", every(vs))
+    right = v.withColumn("_v", own("photo_id", vs)).withColumn("_q", every(qs))
+
+    def multiply(a, b):
         import numpy as np
         import pyarrow as pa
 
-        names = np.array([q for q, _ in shared.value], np.int64)
-        m = np.array([v for _, v in shared.value], float)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if len(ids):
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-                s = x @ m.T
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(ids))), pa.array(np.repeat(ids, len(names))), pa.array(s.ravel())], ["query", "photo_id", "score"])
+        names, ids = (t.column(c).to_numpy() for t, c in ((a, "query"), (b, "photo_id")))
+        x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if len(t) else np.zeros((0, 1)) for t, c in ((a, "qvec"), (b, "vec")))
+        s = x @ y.T if len(x) and len(y) else np.zeros((len(x), len(y)))
+        return pa.table({"query": pa.array(np.repeat(names, len(ids)), pa.int64()), "photo_id": pa.array(np.tile(ids, len(names)), pa.int64()), "score": pa.array(s.ravel(), pa.float64())})
+
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(multiply, "query long, photo_id long, score double")
+
 
-    return vectors.where(~S.is_zero(F.col("vec"))).select("photo_id", "vec").mapInArrow(run, "query long, photo_id long, score double")
+def tag_vector(cents: DataFrame, tag: int, fallback: list[float] | None = None) -> DataFrame:
+    """(query, qvec, origin): how a tag looks: the mean of its photos or, where it has too few, the fallback (the vector of its name)."""
+    own = cents.where(F.col("tag_id") == tag).select(F.col("tag_id").alias("query"), F.col("centroid").alias("qvec"), F.lit("photos").alias("origin"))
+    if fallback is None:
+        return own
+    other = cents.sparkSession.createDataFrame([(tag, [float(x) for x in fallback], "name")], "query int, qvec array<double>, origin string")
+    return own.unionByName(other.join(own.select(F.col("query").alias("_q")), F.col("query") == F.col("_q"), "left_anti").drop("_q"))
 
 
 def ranked(scored: DataFrame, least: float | None = None, most: int | None = RESULTS_MAX) -> DataFrame:

@@ -92,11 +92,14 @@ book.add(
     r"SELECT id, 'H:\Archivo' || substr(path, 14) AS moved FROM photos WHERE starts_with(lower(path), 'g:\fotos\1997\')",
 )
 book.add("document_digests", lambda c: c.base("documents").select("doc_id", F.md5("text").alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
-book.add("normalised_names", lambda c: c.photos.select("id", S.normal_text(F.col("filename")).alias("plain")), "SELECT id, trim(regexp_replace(lower(filename), '[^a-z0-9]+', ' ', 'g')) AS plain FROM photos")
+#: Names with marks, ligatures and letters of other scripts, and their plain forms.
+_MARKED = {0: ("Gdańsk Świnoujście", "gdansk swinoujscie"), 1: ("Straße Ő", "strasse o"), 2: ("ﬁn № Ⅷ ㎏", "fin o viii kg"), 3: ("Ñandú — Кириллица", "nandu"), 4: ("İstanbul ½ 日本", "istanbul 1 2"), 5: ("n\u0303o Ａｂｃ", "no abc")}
+_case = lambda k: "CASE id % 7 " + " ".join(f"WHEN {i} THEN '{v[k]}'" for i, v in _MARKED.items()) + " ELSE 'x' END"
+book.add("normalised_names", lambda c: c.photos.select("id", S.normal_text(F.concat_ws(" ", F.expr(_case(0)), "filename")).alias("plain")), f"SELECT id, {_case(1)} || ' ' || trim(regexp_replace(lower(filename), '[^a-z0-9]+', ' ', 'g')) AS plain FROM photos")
 
 _EXIF = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Canon' WHEN 2 THEN '' ELSE 'Sony' END AS make, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'CANON EOS 5' WHEN 2 THEN '' ELSE 'A7' END AS model,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('lens ', CAST(o_custkey % 9 AS STRING)) END AS lens, {dates},
-  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 1.0E0 / (o_custkey % 500 + 2) WHEN 2 THEN CAST(o_custkey % 40 AS DOUBLE) ELSE 1.0E0 + (o_custkey % 60) / 8.0E0 END AS exposure, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 8.0E0 ELSE (o_custkey % 90 + 10) / 10.0E0 END AS aperture,
+  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 1.0E0 / (o_custkey % 500 + 2) WHEN 2 THEN CAST(o_custkey % 40 AS DOUBLE) ELSE 1.0E0 + (o_custkey % 60) / 8.0E0 END AS exposure, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 8.0E0 WHEN 2 THEN (o_custkey % 900 + 10) / 40.0E0 ELSE (o_custkey % 90 + 10) / 10.0E0 END AS aperture,
   CASE o_orderkey % 4 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE CAST(100 * (o_custkey % 64) AS INT) END AS iso, CASE o_orderkey % 4 WHEN 2 THEN NULL ELSE (o_custkey % 800) / 4.0E0 END AS focal FROM {orders}"""
 _DAY = "concat(CAST(year(o_orderdate) AS STRING), ':', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), ':', lpad(CAST(day(o_orderdate) AS STRING), 2, '0'))"
 _DATES = f"CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' WHEN 2 THEN '0000:00:00 00:00:00' ELSE concat({_DAY}, ' 07:08:09') END AS taken, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '2999:01:01' ELSE {_DAY} END AS digitized, '2001:02:03 04:05:06' AS modified"

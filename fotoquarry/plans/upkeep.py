@@ -34,7 +34,7 @@ def _labelled(c, tag: int, k: int) -> list[int]:
 _S = f"s AS (SELECT q.photo_id AS query, p.photo_id, {_DOT.format('q.vec', 'p.vec')} AS score FROM photo_embeddings q JOIN photo_embeddings p ON q.photo_id IN (5, 17, 40))"
 _SQ = _S.replace("q.photo_id IN (5, 17, 40)", "q.photo_id % 20 = 0")
 book.add("vector_scores", lambda c: V.scores(c.photo_embeddings, _queries(c, "photo_id % 20 = 0")).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_SQ} SELECT CAST(query AS INT) AS query, photo_id, round(score, 6) AS score FROM s")
-book.add("vector_scores_arrow", lambda c: V.scores_arrow(c.photo_embeddings, [(r[0], list(r[1])) for r in _queries(c, "photo_id % 20 = 0").collect()]).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_SQ} SELECT query, photo_id, round(score, 6) AS score FROM s")
+book.add("vector_scores_arrow", lambda c: V.scores_arrow(c.photo_embeddings, _queries(c, "photo_id % 20 = 0")).select("query", "photo_id", F.round("score", 6).alias("score")), f"WITH {_SQ} SELECT query, photo_id, round(score, 6) AS score FROM s")
 book.add("text_search", lambda c: V.ranked(V.standing_out(V.scores(c.photo_embeddings, _queries(c, "photo_id = 17")))).select("photo_id", F.round("score", 6).alias("score")), f"WITH {_S} SELECT photo_id, round(score, 6) AS score FROM s WHERE query = 17 AND score >= (SELECT avg(score) + 2.5 * stddev_pop(score) FROM s WHERE query = 17)")
 book.add("similar_photos", lambda c: V.ranked(V.scores(c.photo_embeddings, _queries(c, "photo_id = 40")), 0.25).select("photo_id", F.round("score", 6).alias("score")), f"WITH {_S} SELECT photo_id, round(score, 6) AS score FROM s WHERE query = 40 AND score >= 0.25")
 _CENT = f"""m AS (SELECT tag_id, i, avg(CAST(vec[i] AS DOUBLE)) AS m, count(*) AS n FROM photo_embeddings JOIN embedding_tags USING (photo_id), range(1, 65) r(i) GROUP BY tag_id, i HAVING count(*) >= 5),
@@ -42,6 +42,16 @@ _CENT = f"""m AS (SELECT tag_id, i, avg(CAST(vec[i] AS DOUBLE)) AS m, count(*) A
   th AS (SELECT tag_id, quantile_cont({_DOT.format('vec', 'centroid')}, 0.25) AS threshold FROM photo_embeddings JOIN embedding_tags USING (photo_id) JOIN cent USING (tag_id) GROUP BY tag_id)"""
 book.add("tag_centroids", lambda c: V.centroids(c.photo_embeddings, c.embedding_tags).select("tag_id", "n", F.posexplode("centroid").alias("i", "x")).select("tag_id", "n", "i", F.round("x", 6).alias("x")), f"WITH {_CENT} SELECT tag_id, n, CAST(i AS INT) AS i, round(centroid[i + 1], 6) AS x FROM cent, range(0, 64) r(i)")
 book.add("tag_thresholds", lambda c: V.thresholds(c.photo_embeddings, c.embedding_tags, V.centroids(c.photo_embeddings, c.embedding_tags)).select("tag_id", F.round("threshold", 6).alias("threshold")), f"WITH {_CENT} SELECT tag_id, round(threshold, 6) AS threshold FROM th")
+
+
+def _by_name(c, tag: int):
+    """A tag that no photo has; the first vector stands for its name."""
+    name = c.photo_embeddings.orderBy("photo_id").select("vec").first()
+    cents = V.centroids(c.photo_embeddings, c.embedding_tags)
+    return V.ranked(V.scores(c.photo_embeddings, V.tag_vector(cents, tag, list(name["vec"]) if name else None)), None, None).select("photo_id", F.round("score", 6).alias("score"))
+
+
+book.add("ranked_by_name", lambda c: _by_name(c, 25), f"WITH q AS MATERIALIZED (SELECT vec FROM photo_embeddings ORDER BY photo_id LIMIT 1) SELECT photo_id, round({_DOT.format('q.vec', 'p.vec')}, 6) AS score FROM photo_embeddings p, q")
 book.add("ranked_by_tag", lambda c: V.ranked(V.scores(c.photo_embeddings, V.centroids(c.photo_embeddings, c.embedding_tags).where("tag_id = 3").select(F.col("tag_id").alias("query"), F.col("centroid").alias("qvec"))), None, None).select("photo_id", F.round("score", 6).alias("score")), f"WITH {_CENT} SELECT photo_id, round({_DOT.format('vec', 'centroid')}, 6) AS score FROM photo_embeddings JOIN cent ON tag_id = 3")
 book.add(
     "contrastive_ranking",
