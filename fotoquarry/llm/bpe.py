@@ -138,15 +138,13 @@ def word_table(chosen: DataFrame, path: str) -> DataFrame:
     return coded.join(decoded, "word").select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_tokens", "decoded")
 
 
-#: This worker's word table: (ids of a word, each with a comma behind, what a word decodes to where that is not itself), by the run that it belongs to.
+#: This worker's word table: (ids of a word, each with a comma behind; the bytes that these ids decode to), by the run that it belongs to.
 _tables: dict[str, tuple[dict, dict]] = {}
 _later: set[str] = set()
 
 
 def _remember(table: tuple[dict, dict], word: str, ids: str, decoded: bytes) -> None:
-    table[0][word] = f"{ids}," if ids else ""
-    if decoded != word.encode():
-        table[1][word] = decoded
+    table[0][word], table[1][word] = f"{ids}," if ids else "", bytes(decoded)
 
 
 def _table(key: str, shared) -> tuple[dict, dict]:
@@ -178,17 +176,15 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         table, later = _table(key, shared), _later
-        ids_of, odd = table
+        ids_of, bytes_of = table
         for batch in batches:
             n_tokens, id_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
                 own = words(text)
-                distinct = set(own)
-                if new := list(distinct.difference(ids_of)):
+                if new := list(set(own).difference(ids_of)):
                     if len(later) > _MEMORY:
                         for w in later.difference(own):
-                            del ids_of[w]
-                            odd.pop(w, None)
+                            del ids_of[w], bytes_of[w]
                         later.intersection_update(own)
                     for w, got in zip(new, encode(path, new)):
                         _remember(table, w, ",".join(map(str, got)), b"".join([names.value[i] for i in got]))
@@ -196,10 +192,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids = "".join(map(ids_of.__getitem__, own))
                 n_tokens.append(ids.count(","))
                 id_sha.append(hashlib.sha256(ids[:-1].encode()).hexdigest())
-                # Words that the table decodes to themselves need not be put together again.
-                back = text or ""
-                if not odd.keys().isdisjoint(distinct):
-                    back = b"".join([odd[w] if w in odd else w.encode() for w in own]).decode("utf-8", "replace")
+                # The text is what the pieces of its ids make, word by word.
+                back = b"".join(map(bytes_of.__getitem__, own)).decode("utf-8", "replace")
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
