@@ -33,6 +33,8 @@ AROUND = frozenset("nav footer aside menu button select option dialog fieldset d
 NEVER = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor comment comments disqus respond reply replies cookie cookies consent gdpr footer sidebar nav navbar navigation menu breadcrumb breadcrumbs newsletter subscribe signup".split())
 OUTSIDE = frozenset("header masthead banner promo promotion notice notices alert popup modal overlay share sharing social related recommended widget subscription login register copyright legal toolbar pagination pager skip search form tags complementary contentinfo aside".split())
 INSIDE = frozenset("article post entry story content main body text".split())
+#: Names of reader comments. Within an article other ids name its sections: one on cookies, on a menu, on a reply.
+REMARKS = frozenset("comment comments disqus respond".split())
 #: Last parts of a name that say nothing of their own, and parts that turn a name into something else.
 HOLDERS = frozenset("list area box wrapper wrap container section block slot bar left right inner outer top bottom links buttons posts items unit group row col column panel region thread meta info".split())
 SWITCHES = frozenset("with without no has not hide show is layout".split())
@@ -56,8 +58,11 @@ def _labelled() -> np.ndarray:
     prose = [(_LONG, _LONG), (_LONG, _TEXT), (_TEXT, _LONG), (_TEXT, _TEXT)]
     beside_one = [(_LONG, _MENU), (_MENU, _LONG), (_TEXT, _NONE), (_NONE, _TEXT)]
     menus = [(_MENU, _MENU), (_NONE, _MENU), (_MENU, _NONE), (_SHORT, _MENU), (_MENU, _SHORT), (_CLOUD, _MENU), (_CLOUD, _CLOUD), (_MENU, _CLOUD), (_NONE, _CLOUD)]
-    # Inside an article all is main text: headings, one-word lines, lists of references.
-    label(1, 2, [(1, 0.0), (8, 0.0), (40, 0.1), (200, 0.0), (3, 1.0), (7, 1.0)], [(_LONG, _LONG), (_SHORT, _SHORT), (_MENU, _NONE), (_NONE, _MENU), (_MENU, _MENU)])
+    # Inside an article most is main text: headings, one-word lines, references; but no run of short links.
+    inside = [(_LONG, _LONG), (_SHORT, _SHORT), (_MENU, _NONE), (_NONE, _MENU)]
+    label(1, 2, [(1, 0.0), (8, 0.0), (40, 0.1), (200, 0.0), (3, 1.0), (9, 1.0)], inside)
+    label(1, 2, [(1, 0.0), (8, 0.0), (40, 0.1), (200, 0.0), (9, 1.0), (14, 0.9)], [(_MENU, _MENU), (_CLOUD, _CLOUD)])
+    label(0, 2, [(1, 1.0), (2, 1.0), (4, 1.0)], [(_MENU, _MENU), (_LONG, _MENU), (_MENU, _LONG), (_TEXT, _MENU), (_MENU, _TEXT), (_SHORT, _MENU), (_MENU, _SHORT)])
     label(1, 2, [(9, 0.0), (2, 0.0)], [(_MENU, _LONG), (_LONG, _LONG)], heading=1)
     # Something only called content: prose and what stands in it, but no link lists.
     label(1, 1, [(60, 0.0), (25, 0.1), (8, 0.0), (1, 0.0)], prose + beside_one)
@@ -146,11 +151,12 @@ def _place(name: str, attributes: str, above: int) -> int:
         if _HIDDEN.search(attributes):
             return -2
         if name not in ("body", "html"):
-            said = {_says(t) for kind, *v in _HINTS.findall(attributes) for t in "".join(v).split()}
+            said = {_says(t) for kind, *v in _HINTS.findall(attributes) for t in "".join(v).split() if kind.lower() != "id" or above < 2 or REMARKS.intersection(p.lower() for p in _PARTS.findall(t))}
             if 1 in said and min(said) >= -1:
                 return max(above, 1)
             if min(said, default=0) < 0:
-                return min(said)
+                # What is named as no article within one is meant.
+                return -2 if above == 2 else min(said)
     if name == "header" and above < 1 or name == "form" and above < 2:
         return min(above, -1)
     if name == "form":
@@ -266,16 +272,24 @@ def blocks(page: str | None) -> list[tuple]:
 def main_text(page: str | None) -> str:
     """The main blocks in page order, joined by a line feed; empty if there are none.
 
-    >>> main_text("<nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\\n two</article>")
-    'A & B\\nOne two'
+    Where the hints of all text say that it is none of the article, they say nothing about this
+    page, and words and links decide alone.
+
+    >>> main_text("<nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two</article>")
+    'A & B\nOne two'
     """
     own = blocks(page)
+    kept = chosen(own)
+    if not kept and own and all(b[3] == -2 for b in own if b[2] < 0.5):
+        kept = chosen([(*b[:3], 0, b[4]) for b in own])
+    return "\n".join(kept)
+
+
+def chosen(own: list[tuple]) -> list[str]:
+    """The texts of the blocks that the tree takes for main text."""
     none = ("", 0, 0.0, 0, 0)
-    out = []
-    for before, b, after in zip([none, *own], own, [*own[1:], none]):
-        if judge(trained(), (b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4])) >= 0.5:
-            out.append(b[0])
-    return "\n".join(out)
+    rows = zip([none, *own], own, [*own[1:], none])
+    return [b[0] for before, b, after in rows if judge(trained(), (b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4])) >= 0.5]
 
 
 def extract(pages: DataFrame) -> DataFrame:

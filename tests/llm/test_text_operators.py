@@ -433,6 +433,52 @@ def test_extraction_of_generated_pages():
     assert right / said >= 0.98 and right / kept >= 0.9
 
 
+def test_decoded_text_comes_from_the_ids(spark, monkeypatch):
+    """With other pieces for the same ids the decoded text is another one: words of the table and words beyond it."""
+    import hashlib
+
+    path, _ = tokenizers_of("byte_bpe_50k.json")
+    pieces = bpe.pieces(path)
+    monkeypatch.setattr(bpe, "pieces", lambda p: [(i, b"<%d>" % i) for i, _ in pieces])
+    monkeypatch.setattr(bpe.frequent, "__defaults__", (2,))
+    texts = ["one two one two one", "rare words here"]
+    got = {r["doc_id"]: r["decoded_sha256"] for r in bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for k, text in enumerate(texts):
+        ids = bpe.encode(path, [text])[0]
+        assert got[k] == hashlib.sha256("".join(f"<{i}>" for i in ids).encode()).hexdigest()
+
+
+def test_extraction_without_names():
+    """The same pages with every name taken away: only words and links of blocks and their neighbours are left to decide by."""
+    import re
+
+    rng = np.random.default_rng(11)
+    kept = said = right = 0
+    for _ in range(200):
+        page, _, main = random_page(rng)
+        page = re.sub(r"(?i)<(/?)(article|main|nav|footer|header|aside|form|section)\b", r"<\1div", page)
+        page = re.sub(r"""(?i)\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", "", page)
+        assert not re.search(r"(?i)<(article|main|nav)|class=|role=", page)
+        got = html.main_text(page).split("\n")
+        kept, right, said = kept + sum(len(g.split()) for g in got), right + sum(len(g.split()) for g in got if g in main), said + sum(len(m.split()) for m in main)
+    print(f"recall {right / said:.3f}, precision {right / kept:.3f}")
+    assert right / said >= 0.9 and right / kept >= 0.75
+
+
+def test_names_that_mislead_and_names_that_do_not():
+    prose = "It rained on the hills all night, and in the morning the river stood so high that nobody could cross it until noon came. " * 2
+    p, text = f"<p>{prose}</p>", prose.strip()
+    pages = {
+        f'<nav><a href=x>Home</a></nav><article><section id="cookies">{p}{p}</section></article>': 2, f'<article><section id="menu">{p}</section></article>': 1, f'<article>{p}<div id="reply">{p}</div></article>': 2,
+        f'<article><div class="author-comments">{p}{p}</div></article>': 2, f'<body><div class="comment">{p}{p}</div></body>': 2, f'<article>{p}<section class="comments"><p>{prose} no</p></section></article>': 1, f'<article>{p}<section id="comments"><p>{prose} no</p></section></article>': 1,
+        f"<article>{p}<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul>{p}</article>": 2, f'<article>{p}<div class="promo">Buy this, it is a promo of some words for all of your friends out there.</div>{p}</article>': 2,
+        f'<article>{p}<div class="notice">Something of note.</div>{p}<div class="alert alert-warning">Beware. {prose}</div></article>': 2, f'<article>{p}<div class="share">Share this</div>{p}</article>': 2,
+        '<nav><a href=x>Home</a><a href=y>More</a></nav><footer><a href=z>Imprint</a></footer>': 0,
+    }
+    for page, n in pages.items():
+        assert html.main_text(page) == "\n".join([text] * n), page
+
+
 def test_text_blocks_equal_a_plain_walker():
     """The blocks of well-formed pages against a second implementation on the standard parser."""
     import html.parser
