@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.session import durable
-from .ranking import ranked as ranked_rows
 
 SIMILAR_MIN, RESULTS_MAX, TEXT_MIN_Z, MIN_EXAMPLES, PERCENTILE = 0.83, 1000, 2.5, 5, 0.25
 
@@ -92,15 +91,45 @@ def centroids(vectors: DataFrame, tagged: DataFrame, least: int = MIN_EXAMPLES)
     return parts.select("tag_id", "n", S.unit(F.transform("p", lambda s: s["m"]), 1e-9).alias("centroid"))
 
 
+#: Ranks to both sides of a percentile, as a share, among which a sketch is trusted to have it, and the bins that they are cut into.
+AROUND, BINS = 0.05, 1024
+
+
 def thresholds(vectors: DataFrame, tagged: DataFrame, cents: DataFrame, share: float = PERCENTILE) -> DataFrame:
-    """(tag_id, threshold): the share's percentile of the members' scores with their own centroid."""
+    """(tag_id, threshold): the share's percentile of the members' scores with their own centroid, between two scores by linear interpolation."""
     own = vectors.where(~S.is_zero(F.col("vec"))).join(tagged, "photo_id").join(cents, "tag_id")
-    rows = ranked_rows(own.select("tag_id", "photo_id", S.dot(F.col("vec"), F.col("centroid")).alias("s")), [F.col("tag_id"), F.col("s"), F.col("photo_id")])
-    # The two scores around the percentile by their place in their tag, so that no task holds a tag's scores.
-    spans = rows.groupBy("tag_id").agg(F.min("rank").alias("first"), ((F.count(F.lit(1)) - 1) * F.lit(share)).alias("at"))
-    near = rows.join(spans, "tag_id").withColumn("k", F.col("rank") - F.col("first")).where((F.col("k") == F.floor("at")) | (F.col("k") == F.ceil("at")))
-    ends = near.groupBy("tag_id").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.first("at").alias("at"))
-    return ends.select("tag_id", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("threshold"))
+    return percentiles(own.select("tag_id", S.dot(F.col("vec"), F.col("centroid")).alias("s")), share)
+
+
+def percentiles(scored: DataFrame, share: float, guess: float | None = None) -> DataFrame:
+    """(tag_id, threshold) of (tag_id, s): the exact percentile of each tag's scores, without sorting them.
+
+    A quantile sketch a tag, which combines before the shuffle, says between which scores the
+    percentile lies; these are counted in bins, and only scores of the one or two bins that hold it
+    are put in order. Where a sketch is wrong, the percentile lies in the bin below or above, and
+    that one is taken: the sketch decides how much is put in order, never the result. Null scores
+    take no part. Sketches are drawn at random, so they are kept, a row a tag, before the rows are
+    compared with them twice; that job runs when this is called. ``guess`` is the share around which
+    the sketch is asked, the wanted one by default.
+    """
+    guess = share if guess is None else guess
+    rows = scored.where("s IS NOT NULL").select("tag_id", F.col("s").cast("double").alias("s"))
+    quantile = lambda q: F.expr(f"kll_sketch_get_quantile_double(k, {q}D)")
+    sketch = rows.groupBy("tag_id").agg(F.expr("kll_sketch_agg_double(s)").alias("k"), F.count(F.lit(1)).alias("n"))
+    ends = durable(sketch.select(F.col("tag_id").alias("_t"), ((F.col("n") - 1) * F.lit(share)).alias("at"), quantile(max(0.0, guess - AROUND)).alias("lo"), quantile(min(1.0, guess + AROUND)).alias("hi")))
+    place = F.when(F.col("s") < F.col("lo"), -1).when(F.col("s") > F.col("hi"), BINS).when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))).otherwise(0)
+    binned = rows.join(ends, F.col("tag_id") == F.col("_t")).select("tag_id", "s", "at", place.cast("int").alias("bin"))
+    # BINS + 2 rows a tag at the most.
+    counted = binned.groupBy("tag_id", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("at").alias("at"))
+    upto = F.sum("c").over(Window.partitionBy("tag_id").orderBy("bin"))
+    holds = lambda first, end: ((F.floor("at") >= first) & (F.floor("at") < end)) | ((F.ceil("at") >= first) & (F.ceil("at") < end))
+    chosen = counted.withColumn("end", upto).withColumn("first", F.col("end") - F.col("c")).where(holds(F.col("first"), F.col("end"))).select(F.col("tag_id").alias("_c"), F.col("bin").alias("_b"), "first")
+    near = binned.join(chosen, (F.col("tag_id") == F.col("_c")) & (F.col("bin") == F.col("_b"))).groupBy("tag_id", "bin", "s").agg(F.count(F.lit(1)).alias("m"), F.first("first").alias("first"), F.first("at").alias("at"))
+    end = F.col("first") + F.sum("m").over(Window.partitionBy("tag_id", "bin").orderBy("s"))
+    ranked_near = near.withColumn("end", end).withColumn("begin", F.col("end") - F.col("m"))
+    value = lambda k: F.max(F.when((k >= F.col("begin")) & (k < F.col("end")), F.col("s")))
+    two = ranked_near.groupBy("tag_id").agg(value(F.floor("at")).alias("low"), value(F.ceil("at")).alias("high"), F.first("at").alias("at"))
+    return two.select("tag_id", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("threshold"))
 
 
 def contrast(scored: DataFrame, good: list[int], bad: list[int]) -> DataFrame:

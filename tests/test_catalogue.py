@@ -237,6 +237,19 @@ def test_zero_vectors_never_match(spark):
     assert [r["origin"] for tag in (3, 4) for r in vectors.tag_vector(cents, tag, [1.0, 0.0]).collect()] == ["photos", "name"] and vectors.tag_vector(cents, 4).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.999, 1.0])
+def test_percentiles_without_sorting(spark, share):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    groups = {1: rng.normal(size=20_000), 2: np.full(9000, 0.5), 3: np.array([3.0]), 4: np.array([1.0, 2.0]), 5: rng.integers(0, 5, 7000) / 4, 6: np.append(rng.normal(size=3000), [1e9, -1e9])}
+    rows = spark.createDataFrame([(t, float(x)) for t, xs in groups.items() for x in xs] + [(1, None), (7, None)], "tag_id int, s double")
+    want = {t: np.percentile(xs, 100 * share) for t, xs in groups.items()}
+    for guess in (None, 0.1, 0.9):  # a sketch that is wrong changes nothing
+        got = {r["tag_id"]: r["threshold"] for r in vectors.percentiles(rows, share, guess).collect()}
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
 def test_media_listing(spark, tmp_path):
     (tmp_path / "x").mkdir()
     for n, size in (("a.JPG", 3), ("x/b.mp4", 5), ("x/c.txt", 1)):
