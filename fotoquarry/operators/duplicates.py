@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.session import durable
-from .graph import components
+from . import graph
 from .ranking import ranked
 
 #: Hamming distances of the sensitivities.
@@ -110,62 +109,17 @@ def near_pairs_and_members(hashes: DataFrame, distance: int) -> DataFrame:
     return _meeting(hashes, distance).unionByName(members)
 
 
-#: Rounds over all undecided hashes before components are told apart, and between two such tests.
-ROUNDS = 3
-#: Links of a component that one task decides by the sequential rule; larger ones go on in rounds.
-IN_ONE_TASK = 500_000
-
-
-def _round(both: DataFrame, open_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links between undecided ids, new centres, ids that are still undecided)."""
-    live = both.join(open_ids.select(F.col("id").alias("x")), "x", "left_semi").join(open_ids.select(F.col("id").alias("y")), "y", "left_semi")
-    waits = live.where("y < x").select(F.col("x").alias("id")).distinct()
-    new = durable(open_ids.join(waits, "id", "left_anti"))
-    covered = live.join(new.select(F.col("id").alias("y")), "y", "left_semi").select(F.col("x").alias("id"))
-    left = durable(open_ids.join(new.unionByName(covered).distinct(), "id", "left_anti"))
-    rest = left.select(F.col("id").alias("_l"))
-    return durable(live.join(rest, F.col("x") == F.col("_l"), "left_semi").join(rest, F.col("y") == F.col("_l"), "left_semi")), new, left
-
-
-def _sequential(links: pa.Table) -> pa.Table:
-    """The centres of a component: its ids in order, each a centre unless a smaller neighbour is one."""
-    x, y = links.column("x").to_numpy(), links.column("y").to_numpy()
-    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    fx, fy = at[: len(x)], at[len(x) :]
-    back = fy < fx
-    order = np.argsort(fx[back], kind="stable")
-    first, near = np.searchsorted(fx[back][order], np.arange(len(ids) + 1)), fy[back][order]
-    centre = np.zeros(len(ids), bool)
-    for k in range(len(ids)):
-        centre[k] = not centre[near[first[k] : first[k + 1]]].any()
-    return pa.table({"id": pa.array(ids[centre], pa.int64())})
-
-
 def leader_groups(hashes: DataFrame, distance: int) -> DataFrame:
     """(id, leader) of the groups of two or more.
 
     In id order, a hash joins the first centre within the distance, else it becomes a centre; so
-    groups do not chain. Done over the links of distinct hashes. In a round, an undecided id with
-    no smaller undecided neighbour is a centre and its neighbours are covered; that decides most
-    ids at once. Links that are left after some rounds are long chains: their components are told
-    apart, and each of up to ``IN_ONE_TASK`` links is decided by the sequential rule in one task.
-    Larger components go on in rounds, which take their ids away, until none is left.
+    groups do not chain. Done over the links of distinct hashes, see ``graph.first_come``.
     """
     hashes = durable(hashes.select("id", "h"))
     one = durable(hashes.where(F.col("h") != FLAT).groupBy("h").agg(F.min("id").alias("id")))
     pairs = durable(_meeting(hashes, distance).select("a", "b"))
-    both = durable(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    open_ids = durable(both.select(F.col("x").alias("id")).distinct())
-    live, centres, n = both, open_ids.limit(0), 0
-    while open_ids.limit(1).count():
-        live, new, open_ids = _round(live, open_ids)
-        centres, n = durable(centres.unionByName(new)), n + 1
-        if n % ROUNDS == 0 and live.limit(1).count():
-            linked = live.join(components(live), F.col("x") == F.col("node")).select("root", "x", "y")
-            small = linked.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= IN_ONE_TASK).select("root")
-            whole = durable(linked.join(small, "root", "left_semi"))
-            centres = durable(centres.unionByName(whole.groupBy("root").applyInArrow(_sequential, "id long")))
-            open_ids = durable(open_ids.join(whole.select(F.col("x").alias("id")).distinct(), "id", "left_anti"))
+    both = durable(graph.both_ways(pairs))
+    centres = graph.first_come(both)
     near = both.join(centres.select(F.col("id").alias("y")), "y", "left_semi").groupBy("x").agg(F.min("y").alias("c"))
     is_centre = centres.select(F.col("id").alias("ci"))
     led = one.join(is_centre, F.col("id") == F.col("ci"), "left").join(near, F.col("id") == F.col("x"), "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.session import durable
+from .graph import both_ways, first_come
 from .hierarchy import descendants, resolve_names
 from .ranking import ranked
 
@@ -235,6 +236,11 @@ def create_tags(names: DataFrame, tags: DataFrame, aliases: DataFrame) -> tuple[
     return after, resolve_names(clean.select("name"), after, aliases)
 
 
+def _all_or_none(more: DataFrame, clash: DataFrame) -> DataFrame:
+    """The wishes of the tags that are not among those with a clash."""
+    return more.join(clash.distinct(), F.col("tag") == F.col("_t"), "left_anti")
+
+
 def import_catalogue(tags_in: DataFrame, categories_in: DataFrame, assignments: DataFrame, photos: DataFrame, photo_tags: DataFrame, tags: DataFrame, categories: DataFrame, aliases: DataFrame, rejections: DataFrame) -> dict[str, DataFrame]:
     """The catalogue after an import: photos, photo_tags, tags, categories, aliases, rejections, and counts (one row).
 
@@ -243,22 +249,26 @@ def import_catalogue(tags_in: DataFrame, categories_in: DataFrame, assignments:
     has them. Nothing is overwritten or taken away: tags are made where neither a tag nor an alias
     has the name; a parent is set where a tag has none and no cycle arises; aliases where a tag has
     none and no name is taken; ratings rise, notes fill gaps; a rejection counts unless the photo
-    has the tag or no tag has the name.
+    has the tag or no tag has the name. ``tags_in`` may have seq, the place in the list: of rows
+    that repeat a name the first makes the tag and the others are skipped; an alias that several
+    tags want goes to the first, and the others get none of theirs; a tag's last list counts.
     """
     named = tags_in.where("trim(name) <> ''").withColumn("name", F.lower(F.trim("name")))
+    if "seq" not in named.columns:
+        named = named.withColumn("seq", F.lit(0))
     known = tags.select(F.lower("name").alias("_k"))
     matched = durable(_matched(assignments, photos))
     own = matched.where("photo_id IS NOT NULL")
     pairs = durable(own.select("photo_id", F.explode("tags").alias("name")).select("photo_id", F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct())
     # Tags of the list first: they are made whatever aliases there are; then names that only assignments have.
-    first = named.join(known, F.col("name") == F.col("_k"), "left_anti").select("name", F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"))
-    first = first.groupBy("name").agg(F.min(F.struct("category", "color")).alias("x")).select("name", "x.category", "x.color")
+    first = named.join(known, F.col("name") == F.col("_k"), "left_anti").select("name", "seq", F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"))
+    first = first.groupBy("name").agg(F.min(F.struct("seq", "category", "color")).alias("x")).select("name", "x.category", "x.color")
     made = numbered_after(first, tags, ["name"]).withColumns({c: F.lit(False) for c in ("hidden", "sidebar_hidden") if c in tags.columns})
     listed = durable(tags.unionByName(made, allowMissingColumns=True))
     after, ids = create_tags(pairs.select("name").distinct().withColumns({"category": F.lit(None).cast("string"), "color": F.lit(None).cast("string")}), listed, aliases)
     # Parents and aliases where there are none.
     by_name = after.select(F.col("id").alias("_i"), F.lower("name").alias("_n"))
-    wish = named.join(by_name, F.col("name") == F.col("_n")).select(F.col("_i").alias("tag"), F.lower(F.trim("parent")).alias("parent"), "aliases")
+    wish = named.join(by_name, F.col("name") == F.col("_n")).select(F.col("_i").alias("tag"), F.lower(F.trim("parent")).alias("parent"), "aliases", "seq")
     asked = wish.join(by_name, F.col("parent") == F.col("_n")).groupBy("tag").agg(F.min("_i").alias("parent"))
     free = asked.join(after.where("parent_id IS NULL").select(F.col("id").alias("_i")), F.col("tag") == F.col("_i"), "left_semi").where("tag <> parent")
     joined = after.join(free, F.col("id") == F.col("tag"), "left").withColumn("parent_id", F.coalesce("parent_id", "parent")).drop("tag", "parent")
@@ -268,10 +278,17 @@ def import_catalogue(tags_in: DataFrame, categories_in: DataFrame, assignments:
     closes = free.join(circle, (F.col("tag") == F.col("ancestor")) & (F.col("parent") == F.col("below"))).select(F.col("tag").alias("_c")).distinct()
     new_tags = durable(joined.join(closes, F.col("id") == F.col("_c"), "left").withColumn("parent_id", F.when(F.col("_c").isNull(), F.col("parent_id"))).drop("_c"))
     have = aliases.select(F.col("tag_id").alias("_h")).distinct()
-    more = wish.join(have, F.col("tag") == F.col("_h"), "left_anti").select("tag", F.explode("aliases").alias("alias")).select("tag", F.lower(F.trim("alias")).alias("alias")).where("alias <> ''").distinct()
-    taken = new_tags.select(F.lower("name").alias("_n")).unionByName(aliases.select(F.lower("alias").alias("_n"))).unionByName(more.groupBy("alias").count().where("count > 1").select(F.col("alias").alias("_n"))).distinct()
-    clash = more.join(taken, F.col("alias") == F.col("_n"), "left_semi").select(F.col("tag").alias("_t")).distinct()
-    more = more.join(clash, F.col("tag") == F.col("_t"), "left_anti").select("alias", F.col("tag").cast("int").alias("tag_id"))
+    lists = wish.join(have, F.col("tag") == F.col("_h"), "left_anti").where(F.size("aliases") > 0).groupBy("tag").agg(F.max(F.struct("seq", "aliases")).alias("x"))
+    more = lists.select("tag", "x.seq", F.explode("x.aliases").alias("alias")).select("tag", "seq", F.lower(F.trim("alias")).alias("alias")).where("alias <> ''").distinct()
+    taken = new_tags.select(F.lower("name").alias("_n")).unionByName(aliases.select(F.lower("alias").alias("_n"))).distinct()
+    more = durable(_all_or_none(more, more.join(taken, F.col("alias") == F.col("_n"), "left_semi").select(F.col("tag").alias("_t"))))
+    # Of several tags that want an alias the first that gets all of its own has it.
+    turns = ranked(more.select("tag", "seq").distinct(), [F.col("seq"), F.col("tag")]).select(F.col("tag").alias("_w"), F.col("rank").alias("turn"))
+    wanted_by = durable(more.join(turns, F.col("tag") == F.col("_w")).select("turn", "tag", "alias"))
+    rival = wanted_by.select(F.col("turn").alias("b"), F.col("alias").alias("_a"))
+    both = durable(both_ways(wanted_by.select(F.col("turn").alias("a"), "alias").join(rival, (F.col("alias") == F.col("_a")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()))
+    late = both.select(F.col("x").alias("id")).distinct().join(first_come(both), "id", "left_anti").join(wanted_by, F.col("id") == F.col("turn")).select(F.col("tag").alias("_t"))
+    more = _all_or_none(more, late).select("alias", F.col("tag").cast("int").alias("tag_id"))
     # Pairs, extras, rejections.
     wanted = durable(pairs.join(ids, "name").select("photo_id", F.col("tag_id").cast("int").alias("tag_id")).distinct())
     added = durable(new_pairs(wanted, photo_tags))
@@ -286,7 +303,7 @@ def import_catalogue(tags_in: DataFrame, categories_in: DataFrame, assignments:
     one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
     kinds = matched.agg(*[F.count_if(F.col("match_kind") == k).alias(n) for k, n in (("path", "photos_matched"), ("name", "photos_by_name"), ("missing", "photos_missing"))])
     counts = kinds.join(new_tags.join(tags.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti").agg(F.count(F.lit(1)).alias("created")))
-    counts = counts.join(one(named.join(known.distinct(), F.col("name") == F.col("_k"), "left_semi"), "skipped")).join(one(added, "pairs_added")).join(one(changed, "extras_added"))
+    counts = counts.join(one(named, "listed").join(one(first, "made")).select((F.col("listed") - F.col("made")).alias("skipped"))).join(one(added, "pairs_added")).join(one(changed, "extras_added"))
     return {"photos": raised, "photo_tags": all_pairs, "tags": new_tags, "categories": cats, "aliases": aliases.select("alias", F.col("tag_id").cast("int").alias("tag_id")).unionByName(more), "rejections": import_rejections(rejections, no, all_pairs), "counts": counts}
 
 

@@ -211,6 +211,28 @@ book.add("import_refusals", lambda c: _imported(c)["rejections"], f"WITH {_IM} S
 book.add("import_counts", lambda c: _imported(c)["counts"], f"WITH {_IM} SELECT (SELECT count(*) FROM mt WHERE kind = 'path') AS photos_matched, (SELECT count(*) FROM mt WHERE kind = 'name') AS photos_by_name, (SELECT count(*) FROM mt WHERE kind = 'missing') AS photos_missing, CAST(3 AS BIGINT) AS created, CAST(1 AS BIGINT) AS skipped, (SELECT count(*) FROM ap) AS pairs_added, (SELECT count(*) FROM photos WHERE id IN (SELECT pid FROM ok) AND (rating < 4 OR (NOT favorite AND id IN (SELECT pid FROM ok WHERE src % 6 = 0)) OR coalesce(note, '') = '')) AS extras_added")
 
 
+def _in_order(c):
+    """A list whose order decides: a name twice, an alias that two tags want, one that is a tag's name, and a known tag."""
+    kind = "seq int, name string, category string, color string, parent string, aliases array<string>"
+    rows = [(1, "uno", "viajes", None, None, ["eins", "One "]), (2, "dos", "otra", None, None, ["one", "zwei"]), (3, "tres", None, None, None, ["zwei"]), (4, "Uno", "zzz", None, None, []), (5, "cuatro", "aaa", None, None, ["vier", "brand#3"]), (6, "brand#5", None, None, None, ["cinco"])]
+    none = c.photos.limit(0).select("path", "filename", "filesize", F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("rejected"), "rating", "favorite", "note")
+    return M.import_catalogue(c.spark.createDataFrame(rows, kind), c.spark.createDataFrame([], "name string"), none, c.photos, c.photo_tags, c.tags, c.categories, c.tag_aliases, c.tag_rejections)
+
+
+def _listed_tags(c):
+    done = _in_order(c)
+    own = done["aliases"].groupBy("tag_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), ",").alias("aliases"))
+    return done["tags"].join(own, F.col("id") == F.col("tag_id"), "left").join(done["counts"].select("created", "skipped")).select("name", "category", "aliases", "created", "skipped")
+
+
+book.add(
+    "import_in_order",
+    _listed_tags,
+    """WITH al AS (SELECT tag_id, alias FROM tag_aliases UNION ALL SELECT 5, 'cinco'), own AS (SELECT tag_id, string_agg(alias, ',' ORDER BY alias) AS aliases FROM al GROUP BY 1), t AS (SELECT name, category, aliases FROM tags LEFT JOIN own ON tag_id = id
+      UNION ALL VALUES ('uno', 'viajes', 'eins,one'), ('dos', 'otra', NULL), ('tres', 'general', 'zwei'), ('cuatro', 'aaa', NULL)) SELECT *, CAST(4 AS BIGINT) AS created, CAST(2 AS BIGINT) AS skipped FROM t""",
+)
+
+
 def _exported(c):
     """The catalogue written as an export and read again."""
     folder = f"{shared_folder(c.spark)}/export-{uuid.uuid4().hex}"

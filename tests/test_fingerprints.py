@@ -75,7 +75,7 @@ def sequential(items, distance):
 @pytest.mark.parametrize("bound", [500_000, 30])
 def test_leaders_of_chains(spark, monkeypatch, bound):
     """Neighbours in a Gray code differ by one bit: long chains in id order, decided in one task or, over the bound, in rounds."""
-    monkeypatch.setattr(duplicates, "IN_ONE_TASK", bound)
+    monkeypatch.setattr(graph, "IN_ONE_TASK", bound)
     rng = random.Random(2)
     items = [(i, (i ^ i >> 1) | 1 << 50) for i in range(150)] + [(1000 + i, rng.getrandbits(62) | 1) for i in range(50)]
     items += [(2000 + i, h ^ 1 << rng.randrange(40)) for i, (_, h) in enumerate(items[150:])] + [(3000, 0), (3001, items[160][1])]
