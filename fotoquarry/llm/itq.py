@@ -1,13 +1,16 @@
 """Embedding near-duplicates with iterative quantisation.
 
 Rotations learned on a bounded sample turn vectors into balanced binary codes. Hamming tables
-index the codes by segment, whose width and number follow from the number of vectors (see
-``layout``); vectors whose segments differ in at most one bit meet on a variant with that bit left
-out, each pair is kept where it meets first, and the original vectors decide in double precision.
+index the codes by segment, one table a segment, whose width and number follow from the number of
+vectors (see ``layout``); vectors with an equal segment meet. What is shuffled is the segment, the
+vector's number and the code's first 63 bits, by which unrelated pairs and most repeated meetings
+are dropped where they meet; the original vectors decide in double precision.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +21,23 @@ from .vectors import matrices, usable
 #: Vectors that the rotation is learned from, at the most (about).
 SAMPLE = 4096
 #: Share of links that the tables may miss by calculation, and how many standard deviations over the
-#: mean the bits of a pair may differ in before its vectors are not even compared.
-MISSED, DEVIATIONS = 2e-4, 6.0
+#: mean the first bits of a pair may differ in before its vectors are not even compared.
+MISSED, DEVIATIONS = 2e-4, 5.0
+#: Bits of a code that are shuffled beside its segments, in one integer.
+FIRST = 63
 
 
 def layout(rows: int, least: float) -> tuple[int, int, int]:
-    """(segments, bits of each, most bits in which a linked pair may differ) for so many vectors of a label.
+    """(segments, bits of each, most of the first bits in which a linked pair may differ) for so many vectors of a label.
 
-    Segments are as wide as the logarithm of the rows, so that the unrelated vectors that a
-    vector meets stay few however many there are; there are as many as the links need.
+    Segments are about as wide as the logarithm of the rows, so that the unrelated vectors that
+    a vector meets in a table stay few however many there are; there are as many as the links need.
     """
-    width = min(30, max(10, (max(rows, 2) - 1).bit_length()))
+    width = min(30, max(8, (max(rows, 2) - 1).bit_length() - 1))
     flip = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
-    meets = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
-    segments = max(4, int(np.ceil(np.log(MISSED) / np.log1p(-min(meets, 1 - 1e-9)))))
-    bits = segments * width
-    return segments, width, int(bits * flip + DEVIATIONS * np.sqrt(bits * flip * (1 - flip))) + 1
+    meets = (1 - flip) ** width
+    segments = max(8, int(np.ceil(np.log(MISSED) / np.log1p(-min(meets, 1 - 1e-9)))))
+    return segments, width, int(FIRST * flip + DEVIATIONS * np.sqrt(FIRST * flip * (1 - flip))) + 1
 
 
 def learn(sample: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -66,16 +70,14 @@ def segment_values(signs: np.ndarray, segments: int, width: int) -> np.ndarray:
     return signs.reshape(len(signs), segments, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
 
 
-def _variants(values: Column, width: int) -> Column:
-    """For each segment and each of its bits the segment's number, the bit and the segment with that bit left out, in one integer."""
-    one = lambda v, s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (s * width + k).cast("long") * F.lit(1 << width) + v.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-    return F.flatten(F.transform(values, one))
-
+def _not_met_before(x: Column, segment: Column, width: int) -> Column:
+    """Whether a pair whose first bits differ by ``x`` has no earlier whole segment within them in common.
 
-def _meets_first(x: Column, width: int) -> Column:
-    """The number of the first variant on which codes meet whose segments differ by the array ``x``; null if there is none."""
-    at = F.transform(x, lambda p, s: F.when(p == 0, s * width).when(F.bit_count(p) == 1, s * width + F.bit_count(p - 1)))
-    return F.get(F.filter(at, lambda v: v.isNotNull()), F.lit(0))
+    Of the tables where a pair meets it leaves one among those that the first bits hold; it is
+    left in any later ones if it met in none of these.
+    """
+    apart = [(segment <= j) | (x.bitwiseAND(F.lit(((1 << width) - 1) << (j * width))) != 0) for j in range(FIRST // width)]
+    return reduce(lambda a, b: a & b, apart)
 
 
 def links(distinct: DataFrame, least: float) -> DataFrame:
@@ -84,7 +86,7 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
     sizes = distinct.groupBy("label", F.size("embedding")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
     total = sizes["all"] or 0
     segments, width, radius = layout(sizes["most"] or 0, least)
-    bits = segments * width
+    bits, numbers = segments * width, (segments - 1).bit_length()
     draw = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / max(total, 1))))
     drawn = [np.array(r[0], float) for r in distinct.where(draw).select("embedding").limit(2 * SAMPLE).collect()]
     model = {}
@@ -97,22 +99,27 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
     def encode(batches):
         import pyarrow as pa
 
+        places = np.arange(segments, dtype=np.int64) << width
         for batch in batches:
-            out = np.zeros((batch.num_rows, segments), np.int64)
+            first, keys = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, segments), np.int64)
+            group = np.asarray(batch.column(1)) << (width + numbers)
             for rows, x in matrices(batch.column(2)):
-                out[rows] = segment_values(codes(x, shared.value, bits), segments, width)
-            code = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, segments, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), code], ["nid", "label", "dim", "code"])
-
-    coded = durable(distinct.select("nid", "label", "embedding", F.size("embedding").alias("dim")).mapInArrow(encode, "nid long, label string, dim int, code array<long>"))
-    spread = coded.select("nid", "label", "dim", "code", F.explode(_variants(F.col("code"), width)).alias("key"))
-    other = spread.select(F.col("nid").alias("n2"), F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("code").alias("c2"), F.col("key").alias("k2"))
-    x = F.zip_with("code", "c2", lambda a, b: a.bitwiseXOR(b))
-    far = F.aggregate(x, F.lit(0), lambda s, p: s + F.bit_count(p))
-    same = (F.col("key") == F.col("k2")) & (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2"))
-    met = spread.join(other, same & (F.col("nid") < F.col("n2")) & (far <= radius) & (F.shiftright("key", width) == _meets_first(x, width))).select(F.col("nid").alias("a"), F.col("n2").alias("b"))
-    va, vb = (distinct.select(F.col("nid").alias(n), F.col("embedding").alias(v)) for n, v in (("a", "va"), ("b", "vb")))
-    both = met.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
+                signs = codes(x, shared.value, bits)
+                first[rows] = segment_values(signs[:, :FIRST], 1, FIRST)[:, 0]
+                keys[rows] = segment_values(signs, segments, width) | places | group[rows, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, segments, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), lists], ["nid", "first", "keys"])
+
+    # A key is a hash of label and length, the segment's number and the segment: groups whose hashes share their low bits are told apart below.
+    coded = durable(distinct.select("nid", F.xxhash64("label", F.size("embedding")).alias("group"), "embedding").mapInArrow(encode, "nid long, first long, keys array<long>"))
+    spread = coded.select("nid", "first", F.explode("keys").alias("key"))
+    x = F.col("p.first").bitwiseXOR(F.col("q.first"))
+    segment = F.shiftright("p.key", width).bitwiseAND(F.lit((1 << numbers) - 1))
+    close = (F.col("p.nid") < F.col("q.nid")) & (F.bit_count(x) <= radius) & _not_met_before(x, segment, width)
+    # A size estimate does not see that explode multiplies rows, so the join is told not to broadcast. Both sides are one shuffle.
+    met = spread.alias("p").hint("merge").join(spread.alias("q"), (F.col("p.key") == F.col("q.key")) & close).select(F.col("p.nid").alias("a"), F.col("q.nid").alias("b")).distinct()
+    va, vb = (distinct.select(F.col("nid").alias(n), F.col("label").alias("l" + n), F.col("embedding").alias("v" + n)) for n in ("a", "b"))
+    both = met.join(va, "a").join(vb, "b").where((F.col("la") == F.col("lb")) & (F.size("va") == F.size("vb"))).select("a", "b", "va", "vb")
 
     def verify(batches):
         import pyarrow as pa

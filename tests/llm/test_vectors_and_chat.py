@@ -62,26 +62,38 @@ def test_layout_follows_the_rows():
     for rows_ in (10, 1000, 10**5, 10**7, 10**9):
         segments, width, most = itq.layout(rows_, 0.93)
         flip = np.arccos(0.93) / np.pi
-        meets = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
-        assert (1 - meets) ** segments <= itq.MISSED and most < segments * width / 2
-        assert rows_ * segments * (width + 1) / 2**width <= 3000
+        meets = (1 - flip) ** width
+        assert (1 - meets) ** segments <= itq.MISSED and most < itq.FIRST / 2
+        assert rows_ * segments / 2**width <= 3000
 
 
-def test_first_meeting_is_the_first_common_variant(spark):
-    segments, width = 5, 11
+@pytest.mark.parametrize("width", [8, 11, 30])
+def test_one_meeting_within_the_first_bits(spark, width):
+    """A pair is left in its first common segment if the first bits hold that whole, else in every common segment."""
+    segments, whole = 9, itq.FIRST // width
     rng = np.random.default_rng(1)
-    pairs = []
-    for _ in range(300):
-        a = rng.integers(0, 1 << width, segments)
-        b = a ^ np.array([sum(1 << int(x) for x in rng.choice(width, rng.integers(0, 4), replace=False)) for _ in range(segments)])
-        pairs.append((a.tolist(), b.tolist()))
-    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
-    x = F.zip_with("a", "b", lambda p, q: p.bitwiseXOR(q))
-    got = df.select(itq._variants(F.col("a"), width).alias("p"), itq._variants(F.col("b"), width).alias("q"), itq._meets_first(x, width).alias("f")).collect()
-    for (a, b), r in zip(pairs, got):
-        common = [k >> width for k in r["p"] if k in set(r["q"])]
-        assert len(set(r["p"])) == segments * width and (min(common) if common else None) == next((s * width + max(0, (u ^ v).bit_length() - 1) for s, (u, v) in enumerate(zip(a, b)) if (u ^ v).bit_count() <= 1), None)
-        assert (r["f"] is None) == (not common) and (not common or r["f"] in common)
+    signs = rng.integers(0, 2, (300, segments * width)).astype(np.uint8)
+    other = signs ^ ((rng.random(signs.shape) < 0.5) & np.repeat(rng.random((300, segments)) < 0.6, width, axis=1)).astype(np.uint8)
+    a, b = (itq.segment_values(s, segments, width) for s in (signs, other))
+    x = [int(v) for v in itq.segment_values(signs[:, : itq.FIRST] ^ other[:, : itq.FIRST], 1, itq.FIRST)[:, 0]]
+    common = [[s for s in range(segments) if p[s] == q[s]] for p, q in zip(a, b)]
+    df = spark.createDataFrame([(k, x[k], s) for k, c in enumerate(common) for s in c], "k long, x long, s long")
+    got = {}
+    for r in df.where(itq._not_met_before(F.col("x"), F.col("s"), width)).collect():
+        got.setdefault(r["k"], []).append(r["s"])
+    assert sum(map(len, common)) > 600
+    for k, c in enumerate(common):
+        assert sorted(got.get(k, [])) == ([c[0]] if c and c[0] < whole else c)
+
+
+def test_labels_and_lengths_that_share_a_hash_do_not_link(spark, monkeypatch):
+    """Keys hold only some bits of a label's hash; here they hold none."""
+    monkeypatch.setattr(itq.F, "xxhash64", lambda *_: F.lit(0).cast("long"))
+    rng = np.random.default_rng(4)
+    v = [unit(rng.normal(size=64)).tolist() for _ in range(20)]
+    df = spark.createDataFrame([(k, w, str(k % 2), k) for k, w in enumerate(v + v)], "nid long, embedding array<double>, label string, g long")
+    assert itq.links(df.where("nid < 20 OR nid % 2 = 0").withColumn("label", F.when(F.col("nid") < 20, "a").otherwise("b")), 0.93).count() == 0
+    assert itq.links(df.withColumn("label", F.lit("a")), 0.93).count() == 20
 
 
 def test_thousands_of_links_are_found(spark):
