@@ -13,6 +13,8 @@ from .duplicates import FLAT
 SIDE, LOW, FLAT_STD = 32, 8, 4.0
 #: Decimals of the coefficients that are compared, so that no bit hangs on the order of a sum.
 DECIMALS = 6
+#: Images that are transformed at once, 8 kB each and a few copies.
+IMAGES = 512
 _COSINES = np.cos(np.pi / (2 * SIDE) * np.outer(np.arange(LOW), 2 * np.arange(SIDE) + 1))
 
 
@@ -44,16 +46,18 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            grey, h = batch.column(1), [None] * batch.num_rows
-            sizes = grey.value_lengths().to_pylist()
-            rows = [k for k, n in enumerate(sizes) if n == SIDE * SIDE]
-            if rows:
-                x = grey.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, SIDE * SIDE)
-                good = np.isfinite(x).all(1)
-                for k, value in zip(np.array(rows)[good].tolist(), fingerprints(x[good]).tolist()):
-                    h[k] = value
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64())], ["id", "h"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, IMAGES):
+                batch = whole.slice(at, IMAGES)
+                grey, h = batch.column(1), [None] * batch.num_rows
+                sizes = grey.value_lengths().to_pylist()
+                rows = [k for k, n in enumerate(sizes) if n == SIDE * SIDE]
+                if rows:
+                    x = grey.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, SIDE * SIDE)
+                    good = np.isfinite(x).all(1)
+                    for k, value in zip(np.array(rows)[good].tolist(), fingerprints(x[good]).tolist()):
+                        h[k] = value
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64())], ["id", "h"])
 
     return images.select(F.col("id").cast("long"), F.col("grey").cast("array<double>")).mapInArrow(run, "id long, h long")
 
