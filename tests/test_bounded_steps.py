@@ -48,7 +48,7 @@ def test_images_are_transformed_in_slices(spark, monkeypatch):
     """Whatever the size of a batch, as many images at once as ``IMAGES`` says."""
     rng, rows = np.random.default_rng(2), perceptual.IMAGES + 3
     grey = rng.integers(0, 256, (rows, 1024)).astype(float)
-    df = spark.createDataFrame(pd.DataFrame({"id": range(rows), "grey": list(grey)})).coalesce(1)
+    df = spark.createDataFrame([(k, g) for k, g in enumerate(grey.tolist())], "id long, grey array<double>").coalesce(1)
     got = [r["h"] for r in perceptual.perceptual_hashes(df).orderBy("id").collect()]
     assert got == perceptual.fingerprints(grey).tolist()
 
@@ -75,3 +75,14 @@ def test_a_sidecar_is_read_in_one_pass(monkeypatch):
     monkeypatch.setattr(ET, "fromstring", lambda t: Root(real(t)))
     assert interchange._parsed("junk" + text + "tail") == ([{"name": "a", "category": "x"}, {"name": "b", "category": None}], True, 3)
     assert len(calls) == 1
+
+
+def test_a_restore_keeps_photos_only_when_they_are_asked_for(spark, sf_dir, monkeypatch):
+    from fotoquarry.operators import maintenance
+    from fotoquarry.plans import registry
+
+    kept, real = [], maintenance.durable
+    monkeypatch.setattr(maintenance, "durable", lambda df: (kept.append(df.columns), real(df))[1])
+    for name in ("restore_tag_list", "restore_categories", "import_pairs", "import_aliases", "import_refusals"):
+        assert registry.QUERIES[name](spark, sf_dir) is not None
+    assert not [c for c in kept if "media_type" in c]
