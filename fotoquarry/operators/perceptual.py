@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ SIDE, LOW, FLAT_STD = 32, 8, 4.0
 DECIMALS = 6
 #: Images that are transformed at once, 8 kB each and a few copies.
 IMAGES = 512
+#: Where a piece of a text that is no word falls.
+NO_CELL = 0xFFFF
 _COSINES = np.cos(np.pi / (2 * SIDE) * np.outer(np.arange(LOW), 2 * np.arange(SIDE) + 1))
 
 
@@ -59,7 +63,9 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
                         h[k] = value
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64())], ["id", "h"])
 
-    return images.select(F.col("id").cast("long"), F.col("grey").cast("array<double>")).mapInArrow(run, "id long, h long")
+    # Small integers stay so on their way to the task, a quarter of the bytes.
+    grey = F.col("grey") if images.schema["grey"].dataType.simpleString() == "array<smallint>" else F.col("grey").cast("array<double>")
+    return images.select(F.col("id").cast("long"), grey).mapInArrow(run, "id long, h long")
 
 
 def needs_fingerprint(photos: DataFrame, show_hidden: bool = False) -> DataFrame:
@@ -79,15 +85,37 @@ def text_pictures(docs: DataFrame) -> DataFrame:
     """(id, grey): a grey picture of each text, for fingerprints of documents.
 
     A word falls into one of 1024 cells by the first ten bits of its md5; a cell is 16 grey steps
-    a word bright, 255 at the most. Texts without a word are black.
+    a word bright, 255 at the most. Texts without a word are black. Rows with the same id are one
+    picture; of each row only its words' cells, two bytes a word, cross the shuffle.
     """
-    words = docs.select(F.col("doc_id").alias("id"), F.explode_outer(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w"))
-    cell = F.shiftright(F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 3), 16, 10).cast("int"), 2)
-    counted = words.select("id", F.when(F.col("w") != "", cell).alias("cell")).groupBy("id", "cell").agg(F.least(F.lit(255), 16 * F.count(F.lit(1))).cast("double").alias("v"))
-    counted = counted.withColumn("y", F.shiftright("cell", 5)).withColumn("x", F.col("cell").bitwiseAND(SIDE - 1))
-    # 32 rows of 32 cells, so that a look-up goes over 32 entries at the most.
-    filled = lambda m, empty: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda k: F.coalesce(F.try_element_at(m, k), empty))
-    entries = lambda key, value: F.map_from_entries(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(key, value))))
-    lines = counted.groupBy("id", "y").agg(entries("x", "v").alias("m")).select("id", "y", filled("m", F.lit(0.0)).alias("line"))
-    grey = F.flatten(filled("m", F.array_repeat(F.lit(0.0), SIDE)))
-    return lines.groupBy("id").agg(entries("y", "line").alias("m")).select("id", grey.alias("grey"))
+
+    def cells(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, IMAGES):
+                batch = whole.slice(at, IMAGES)
+                lists = batch.column(1)
+                words = lists.flatten().dictionary_encode()
+                digests = [hashlib.md5(w.encode()).digest() if w else None for w in words.dictionary.to_pylist()]
+                cell = np.array([d[0] << 2 | d[1] >> 6 if d else NO_CELL for d in digests] or [NO_CELL], "<u2")[words.indices.to_numpy()]
+                many = lists.value_lengths().fill_null(0).to_numpy()
+                parts = np.split(cell, np.cumsum(many)[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[c != NO_CELL].tobytes() for c in parts], pa.binary())], ["id", "cells"])
+
+    def pictures(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, IMAGES):
+                batch = whole.slice(at, IMAGES)
+                own = [np.frombuffer(c, "<u2") for c in batch.column(1).to_pylist()]
+                place = np.repeat(np.arange(len(own)) * SIDE * SIDE, [len(c) for c in own]) + np.concatenate(own)
+                grey = np.minimum(255, 16 * np.bincount(place, minlength=len(own) * SIDE * SIDE)).astype(np.int16)
+                ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * SIDE * SIDE)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(grey))], ["id", "grey"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = docs.select(F.col("doc_id").alias("id"), F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
+    rows = words.mapInArrow(cells, f"id {kind}, cells binary").groupBy("id").agg(F.listagg("cells").alias("cells"))
+    return rows.mapInArrow(pictures, f"id {kind}, grey array<smallint>")
