@@ -4,8 +4,10 @@ Vectors get one more component that makes all of them equally long, so that the
 product is the smallest distance. Each table cuts a few Gaussian projections into cells; a
 query visits the cells around its own in the order of their estimated success. Candidates of
 all tables are ranked by the inner product of the original vectors, summed in one order, so that
-equal products are equal wherever they are computed. Queries that meet too few candidates are
-compared with all rows, in blocks.
+equal products are equal wherever they are computed. The first block of each bucket gives a query
+its best rows; of all further blocks only those that are as near as the last of these are kept, so
+that a bucket of many blocks does not give a set of candidates for each. Queries that meet too few
+candidates are compared with all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ TABLES, PROJECTIONS, WIDTH, PROBES = 2, 4, 2.0, 40
 #: Cells are numbered from -EDGE to EDGE; what lies beyond is in the outermost.
 EDGE = 4
 #: Vectors and queries that one task multiplies.
-BLOCK, QUERY_BLOCK = 512, 512
+BLOCK, QUERY_BLOCK = 2048, 512
 _OFFSETS = np.array(list(itertools.product((-1, 0, 1), repeat=PROJECTIONS)))
 _PLACES = (2 * EDGE + 1) ** np.arange(PROJECTIONS)
 
@@ -91,7 +93,7 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _rank(k: int, a, b):
-    """(query_id, vec_id, score): of one block of queries and one of vectors the best k of each query, and what ties with the last of them."""
+    """(query_id, vec_id, score): of one block of queries and one of vectors the best k of each query, none below the query's ``least`` if it has one."""
     import pyarrow as pa
 
     out: list = [[], [], []]
@@ -104,9 +106,14 @@ def _rank(k: int, a, b):
         s[qi[:, None] == ci[None, :]] = -np.inf
         n = min(k, len(ci))
         edge = np.partition(s, len(ci) - n, axis=1)[:, len(ci) - n]
+        if "least" in a.column_names:
+            edge = np.maximum(edge, a.column("least").to_numpy())
         for r in range(len(qi)):
             near = np.flatnonzero((s[r] >= edge[r] - slack[r]) & (s[r] > -np.inf))
             exact = products(np.broadcast_to(x[r], (len(near), x.shape[1])), y[near])
+            if "least" in a.column_names:
+                keep = exact >= edge[r] - slack[r]
+                near, exact = near[keep], exact[keep]
             best = np.lexsort((ci[near], -exact))[:n]
             out[0].append(np.full(len(best), qi[r]))
             out[1].append(ci[near][best])
@@ -146,8 +153,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     key = [*place, "b", "q"]
 
     rank, kind = (lambda a, b: _rank(k, a, b)), "query_id long, vec_id long, score double"
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, kind)
-    found = durable(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    meet = lambda a, b: a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(rank, kind)
+    once = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = durable(once(meet(left.where("b = 0"), right.where("b = 0"))))
+    if any_row(sizes.where(F.col("n") > BLOCK)):
+        # A query's k-th best so far: what is worse cannot be among its k best.
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        least = found.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        known = left.where("b > 0").join(least, "id", "left").select(*key, "id", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        found = durable(once(found.unionByName(meet(known, right.where("b > 0")))))
 
     # What met fewer than k candidates though there are more meets all rows of its length.
     many = durable(base.groupBy(F.size("vector").alias("dim")).agg(F.count_distinct("id").alias("all")))
