@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, components, durable, small_batches, table, written
+from .common import any_row, boxed, components, durable, small_batches, table, written
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -26,6 +26,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 WIDE, TABLES, APART = 512, 96, 34
 #: Candidates of a text that meet it in one place.
 BLOCK = 512
+#: Bytes of text, and texts, of each side that one task compares with each other.
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 22, 4096
 _RNG = np.random.default_rng(42)
 _CHOICE = np.stack([_RNG.permutation(WIDE) for _ in range(TABLES)])
 _LANES = _RNG.integers(0, 1 << 63, WIDE // 64, dtype=np.uint64)
@@ -165,9 +167,9 @@ def table_keys(wide: np.ndarray, n_bits: int) -> np.ndarray:
     return np.stack([bits[:, own[:n_bits]] @ power for own in _CHOICE], 1) + (np.arange(TABLES, dtype=np.int64) << 40)
 
 
-def meetings(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest, closest): for each row of a table in key order the place of the first row of its key that is near, and of the last near one before it; rows without a near one before them have -1, those without any -2."""
-    lo, hi = np.full(len(key), -2), np.full(len(key), -2)
+def gathered(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest, closest, group) of each row of a table in key order: the two of ``meetings``, and the place of the first row of its key that is reached over near ones."""
+    lo, hi, group = np.full(len(key), -2), np.full(len(key), -2), np.arange(len(key))
     left, shift = np.arange(len(key)), 1
     while len(left := left[left + shift < len(key)]):
         left = left[key[left] == key[left + shift]]
@@ -175,8 +177,98 @@ def meetings(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np
         lo[near + shift] = near
         hi[near + shift] = np.where(hi[near + shift] < 0, near, hi[near + shift])
         lo[near], hi[near] = np.maximum(lo[near], -1), np.maximum(hi[near], -1)
+        x, y = group[near], group[near + shift]
+        while len(x := x[apart := x != y]):
+            y = y[apart]
+            np.minimum.at(group, np.maximum(x, y), np.minimum(x, y))
+            while (up := group[group] != group).any():
+                group[up] = group[group[up]]
+            x, y = group[x], group[y]
         shift += 1
-    return lo, hi
+    return lo, hi, group
+
+
+def meetings(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, closest): for each row of a table in key order the place of the first row of its key that is near, and of the last near one before it; rows without a near one before them have -1, those without any -2."""
+    return gathered(key, first, second)[:2]
+
+
+def bridging(left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """Pairs of ids with a similarity of 0.8 or more: enough to join all components that such pairs join, and fewer than there are components.
+
+    Both sides are texts (id, component, distinct hashes); every text of ``left`` is compared
+    with every one of ``right``, unless pairs found before have joined their components.
+    """
+    known = np.intersect1d(np.concatenate([s for *_, s in left]), np.concatenate([s for *_, s in right]))
+    if not len(known):
+        return []
+
+    def shared(hashes):
+        place = np.minimum(known.searchsorted(hashes), len(known) - 1)
+        return place[known[place] == hashes]
+
+    places = [shared(s) for *_, s in right]
+    # A text without a shared hash is similar to none; the places of the others follow one another.
+    some = np.flatnonzero([len(p) for p in places])
+    n, size = np.array([len(places[j]) for j in some]), np.array([len(right[j][2]) for j in some])
+    flat, starts, held = np.concatenate(places), np.cumsum(n) - n, np.zeros(len(known), bool)
+    comps, at = np.unique([c for side in (left, right) for _, c, _ in side], return_inverse=True)
+    group, mine, theirs = np.arange(len(comps)), at[: len(left)], at[len(left) :][some]
+    found = []
+    for (a, _, own), c in zip(left, mine):
+        place = shared(own)
+        held[place] = True
+        common = np.add.reduceat(held[flat], starts, dtype=np.int64)
+        held[place] = False
+        for j in np.flatnonzero((5 * common >= 4 * (len(own) + size - common)) & (group[theirs] != group[c])):
+            if group[theirs[j]] != group[c]:
+                found.append((a, right[some[j]][0]))
+                group[group == group[theirs[j]]] = group[c]
+    return found
+
+
+def _blocks() -> Column:
+    """How many blocks a group of rows (bytes, n) takes."""
+    return F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.sum("n") / BLOCK_TEXTS))
+
+
+def _bridges(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) that join the components of a region: of ``members`` (region, comp, sid, bytes), whose texts are in ``texts`` (sid, text).
+
+    A region of one block is one task, and each text is sent once. In others the largest component
+    meets the rest, not itself: texts of the rest, in blocks, are compared with blocks of all texts
+    of the region, a pair of blocks in a task. What comes out grows with the components, however
+    many texts are alike.
+    """
+    import pyarrow as pa
+
+    def compare(batches):
+        place, left, right = None, [], []
+        names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def found():
+            pairs = bridging(left or right, right) if right else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=names)
+
+        for batch in batches:
+            for region, i, j, first, sid, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (region, i, j):
+                    yield found()
+                    place, left, right = (region, i, j), [], []
+                (left if first else right).append((sid, comp, np.unique(shingle_hashes(text, width))))
+        yield found()
+
+    comps = members.groupBy("region", "comp").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    top = comps.groupBy("region").agg(F.max(F.struct("bytes", "comp"))["comp"].alias("top"), _blocks().alias("rs"))
+    rest = comps.join(top, "region").where("comp <> top").groupBy("region").agg(F.first("top").alias("top"), F.first("rs").alias("rs"), _blocks().alias("ls"))
+    sent = members.join(durable(rest), "region")
+    own, every = (lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)))
+    left = sent.where("comp <> top AND rs > 1").select("region", own("ls").alias("i"), every("rs").alias("j"), F.lit(True).alias("first"), "sid", "comp")
+    right = sent.select("region", every("ls").alias("i"), own("rs").alias("j"), F.lit(False).alias("first"), "sid", "comp")
+    places = written(left.unionByName(right))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as for other shuffles
+    rows = places.join(texts.select("sid", "text"), "sid").select("region", "i", "j", "first", "sid", "comp", "text")
+    return rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -217,9 +309,10 @@ def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
     Compared are the sets of ``width``-word shingles. Distinct sets have a SimHash of ``WIDE``
     bits; each table indexes about log2 of their number of its bits, and sets that agree on those
     and differ in at most ``APART`` of the first 128 bits are candidates, verified on the sets
-    themselves. First each is verified with its first and its closest near one; then only
-    candidates of different components. Texts without a word are one set. Null ids are treated
-    as in ``near_duplicates``.
+    themselves. Sets that candidates lead to are a region; a region is compared in blocks of texts,
+    in one task where it has one block. In a region of several, each set is first verified with its
+    first and its closest near one, and what these join is not compared again. Texts without a word
+    are one set. Null ids are treated as in ``near_duplicates``.
     """
     import pyarrow as pa
 
@@ -244,14 +337,14 @@ def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table_keys(wide, n_bits).ravel(), *own)], ["key", "sid", "f0", "f1"])
 
     def met(batches):
-        names, held = ["key", "sid", "f0", "f1"], None
+        held = None
 
         def found(cols):
             key, sid, f0, f1 = cols
-            lo, hi = meetings(key, f0.view(np.uint64), f1.view(np.uint64))
+            lo, hi, group = gathered(key, f0.view(np.uint64), f1.view(np.uint64))
             own = np.flatnonzero(lo > -2)
             other = lambda at: pa.array(sid[at[own]], mask=at[own] < 0)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in cols), other(lo), other(hi)], [*names, "lowest", "closest"])
+            return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(sid[own]), other(lo), other(hi), other(group)], ["key", "sid", "lowest", "closest", "first"])
 
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -266,25 +359,22 @@ def similar_components(docs: DataFrame, width: int = 5) -> DataFrame:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows that grow so many times
     keys = named.where("wide IS NOT NULL").select("sid", "wide").repartition(parts, "sid").mapInArrow(spread, "key long, sid long, f0 long, f1 long")
-    near = durable(keys.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(met, "key long, sid long, f0 long, f1 long, lowest long, closest long"))
+    near = durable(keys.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(met, "key long, sid long, lowest long, closest long, first long"))
     shown = written(named.join(near.select("sid").distinct(), "sid", "left_semi").select("row"))
-    texts = written(rows.join(shown, "row", "left_semi").select("sid", "text"))
-    tried = near.groupBy("sid").agg(F.min("lowest").alias("lowest"), F.max("closest").alias("closest"))
-    tried = durable(tried.select(F.col("sid").alias("b"), F.explode(F.array_distinct(F.array("lowest", "closest"))).alias("a")).where("a IS NOT NULL").select("a", "b"))
-    chained = durable(components(_verified(tried, texts, width)))
-    # Of keys with several components, those pairs that are near and not tried.
-    comp = near.select("key", "sid", "f0", "f1").join(chained, F.col("sid") == F.col("node"), "left").select("key", "sid", "f0", "f1", F.coalesce("root", "sid").alias("comp"))
-    several = comp.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("key")
-    live = durable(comp.join(several, "key", "left_semi"))
-    left = live.toDF("key", "a", "x0", "x1", "ca")
-    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("f1")))
-    pairs = left.join(live, "key").where((F.col("a") < F.col("sid")) & (F.col("ca") != F.col("comp")) & (apart <= APART)).select("a", F.col("sid").alias("b")).distinct()
-    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
-    bridges = _verified(pairs, texts, width)
-    own = durable(named.join(chained, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("comp")))
-    at = lambda c: own.select(F.col("sid").alias(c), F.col("comp").alias(f"c{c}"))
-    roots = components(bridges.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    whole = durable(own.join(roots, own.comp == roots.node, "left").select("sid", "first", F.coalesce("root", "comp").alias("root")))
+    texts = written(rows.join(shown, "row", "left_semi").select("sid", F.octet_length("text").alias("bytes"), "text"))
+    regions = components(near.select(F.col("sid").alias("a"), F.col("first").alias("b")))
+    sized = durable(texts.select("sid", "bytes").join(regions, F.col("sid") == F.col("node"), "left").select(F.coalesce("root", "sid").alias("region"), F.col("sid").alias("comp"), "sid", "bytes"))
+    large = durable(sized.withColumn("n", F.lit(1)).groupBy("region").agg(_blocks().alias("blocks")).where("blocks > 1"))
+    links = near.select(F.col("sid").alias("a"), F.col("first").alias("b")).limit(0)
+    if any_row(large):
+        tried = near.join(sized.join(large, "region", "left_semi").select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("lowest").alias("lowest"), F.max("closest").alias("closest"))
+        tried = durable(tried.select(F.col("sid").alias("b"), F.explode(F.array_distinct(F.array("lowest", "closest"))).alias("a")).where("a IS NOT NULL").select("a", "b"))
+        links = durable(_verified(tried, texts, width))
+        chained = components(links)
+        sized = durable(sized.drop("comp").join(chained, F.col("sid") == F.col("node"), "left").select("region", F.coalesce("root", "sid").alias("comp"), "sid", "bytes"))
+    found = _verified(durable(_bridges(sized, texts, width).distinct()), texts, width)
+    roots = components(links.unionByName(found))
+    whole = durable(named.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
     least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
     by_set = whole.join(least, "root").select(F.col("sid").alias("s"), "component_id")
     return rows.select("doc_id", "sid").join(by_set, F.col("sid") == F.col("s")).select("doc_id", "component_id")
