@@ -237,6 +237,45 @@ def test_zero_vectors_never_match(spark):
     assert [r["origin"] for tag in (3, 4) for r in vectors.tag_vector(cents, tag, [1.0, 0.0]).collect()] == ["photos", "name"] and vectors.tag_vector(cents, 4).count() == 0
 
 
+def test_scores_in_blocks(spark, monkeypatch):
+    """Many queries meet the vectors in blocks of arrays, evenly dealt; every pair has its score, also where blocks are cut and components are missing."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vecs = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(60)] + [(60, [1.0, 2.0]), (61, [1.0, None, 0.0, 2.0]), (62, [float("inf"), 0.0, 0.0, 1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (63, [0.0] * 4), (64, None), (5, [1.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(vecs, "photo_id long, vec array<double>").repartition(3)
+    q = v.where("photo_id IS NULL OR photo_id % 2 = 0").select(F.col("photo_id").cast("int").alias("query"), F.col("vec").alias("qvec"))
+    key = lambda r: tuple((x is None, -1 if x is None else x) for x in r[:2])
+    rows = lambda df: sorted([(r[0], r[1], r[2] if r[2] is None else "nan" if r[2] != r[2] else round(r[2], 9)) for r in df.collect()], key=lambda r: (*key(r), str(r[2])))
+    want = vectors.scores(v, q, most=10_000)
+    assert "MapInArrow" not in want._jdf.queryExecution().toString()
+    for side, fill in ((4096, 3800), (7, 10)):
+        monkeypatch.setattr(vectors, "SIDE", side)
+        monkeypatch.setattr(vectors, "FILL", fill)
+        monkeypatch.setattr(vectors, "BATCH", 5 if side == 7 else 1 << 18)
+        got = vectors.scores(v, q)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want)
+        # No join of single rows, and no block of pairs decides alone how many tasks there are.
+        assert "MapInArrow" in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+        assert got.rdd.getNumPartitions() == (1 if side == 4096 else 28)
+        known = want.where("query IS NOT NULL AND photo_id IS NOT NULL").join(q.where("qvec IS NOT NULL").select("query").distinct(), "query", "left_semi").select("query", "photo_id", "score")
+        assert rows(vectors.scores_arrow(v, q)) == rows(known)
+    s = rng.normal(size=5000)
+    assert (s[vectors.ordered(s)] == np.sort(s)).all() and sorted(vectors.ordered(np.append(s, [np.nan, np.inf]))) == list(range(5002))
+    assert len(vectors.ordered(s[:0])) == 0
+
+
+def test_rounded_is_round(spark):
+    import math
+
+    from fotoquarry.functions import scalars as S
+
+    values = [0.0, -0.0, 0.1234564, -0.1234566, 2.5e-7, -2.5e-7, 1e-9, -1e-9, 0.9999996, 123456.1234567, 1e9, -1e9, 3.3e12, 1e300, float("inf"), float("-inf"), float("nan"), None, *(math.sin(k) * 1.7 for k in range(3000))]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    # As text, so that the sign of zero counts.
+    assert df.where(~S.rounded(F.col("x"), 6).cast("string").eqNullSafe(F.round("x", 6).cast("string"))).collect() == []
+
+
 @pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.999, 1.0])
 def test_percentiles_without_sorting(spark, share):
     import numpy as np
