@@ -165,12 +165,16 @@ def _place(name: str, attributes: str, above: int) -> int:
 
 
 def blocks(page: str | None) -> list[tuple]:
-    """(text, words, link density, place, heading) of each flat block that has text, in page order."""
+    """(text, words, link density, place, heading, part) of each flat block that has text, in page order.
+
+    ``part`` numbers the outermost elements of place -2 on the page; it is 0 for blocks of other places.
+    """
     page = page or ""
     out: list[tuple] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, place, in a heading
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # name, place, in a heading, part
+    parts = 0
     is_open: dict[str, int] = {}
     in_link = False
 
@@ -180,7 +184,7 @@ def blocks(page: str | None) -> list[tuple]:
             words = html.unescape("".join(text)).split()
             if words:
                 n_linked = len(html.unescape(" ".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), stack[-1][1], int(stack[-1][2])))
+                out.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), stack[-1][1], int(stack[-1][2]), stack[-1][3]))
         text, linked = [], []
 
     def add(part: str) -> None:
@@ -262,7 +266,11 @@ def blocks(page: str | None) -> list[tuple]:
             if k and stack[k][0] in alike:
                 while len(stack) > k:
                     pop()
-        stack.append((name, _place(name, attributes, stack[-1][1]), stack[-1][2] or name in _HEADINGS))
+        place, part = _place(name, attributes, stack[-1][1]), 0
+        if place == -2:
+            part = stack[-1][3] or parts + 1
+            parts = max(parts, part)
+        stack.append((name, place, stack[-1][2] or name in _HEADINGS, part))
         is_open[name] = is_open.get(name, 0) + 1
     add(page[at:])
     flush()
@@ -272,8 +280,9 @@ def blocks(page: str | None) -> list[tuple]:
 def main_text(page: str | None) -> str:
     """The main blocks in page order, joined by a line feed; empty if there are none.
 
-    Where the hints of all text say that it is none of the article, they say nothing about this
-    page, and words and links decide alone.
+    Where the hints of all text say that it is none of the article, and words and links alone find
+    main text in a single part of the page, its hint says nothing and these decide. Where they find
+    it in several parts, as in a menu, comments and an aside, each is what it is called.
 
     >>> main_text("<nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two</article>")
     'A & B\nOne two'
@@ -281,15 +290,16 @@ def main_text(page: str | None) -> str:
     own = blocks(page)
     kept = chosen(own)
     if not kept and own and all(b[3] == -2 for b in own if b[2] < 0.5):
-        kept = chosen([(*b[:3], 0, b[4]) for b in own])
-    return "\n".join(kept)
+        unnamed = chosen([(*b[:3], 0, *b[4:]) for b in own])
+        kept = unnamed if len({b[5] for b in unnamed}) == 1 else []
+    return "\n".join(b[0] for b in kept)
 
 
-def chosen(own: list[tuple]) -> list[str]:
-    """The texts of the blocks that the tree takes for main text."""
-    none = ("", 0, 0.0, 0, 0)
+def chosen(own: list[tuple]) -> list[tuple]:
+    """The blocks that the tree takes for main text."""
+    none = ("", 0, 0.0, 0, 0, 0)
     rows = zip([none, *own], own, [*own[1:], none])
-    return [b[0] for before, b, after in rows if judge(trained(), (b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4])) >= 0.5]
+    return [b for before, b, after in rows if judge(trained(), (b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4])) >= 0.5]
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -402,6 +402,16 @@ def test_decision_tree_learns_its_table_from_neighbours():
         assert html.main_text(page) == "Short.", page
 
 
+def test_hints_that_leave_nothing():
+    """Prose in one part that is called none of the article is the article; prose in several parts is what each is called."""
+    prose, other = "<p>" + "word " * 50 + "</p>", "<p>" + "other " * 50 + "</p>"
+    text = ("word " * 50).strip()
+    assert html.main_text(f"<div class='comments'><div>{prose}</div><div class='reply'>{prose}</div></div><footer>&copy; x</footer>") == f"{text}\n{text}"
+    assert html.main_text(f"<div class='comments'>{prose}</div><div class='comments'>{other}</div>") == ""
+    assert html.main_text(f"<nav>{prose}</nav><div class='sponsored'>{other}</div>") == ""
+    assert [b[5] for b in html.blocks("<nav>a<p>b</p></nav>c<aside>d<main>e</main>f</aside>")] == [1, 1, 0, 2, 0, 2]
+
+
 def random_page(rng):
     """A page of known main text, and that text block by block."""
     words = lambda lo, hi: " ".join(WORDS[k] for k in rng.integers(0, len(WORDS), rng.integers(lo, hi)))
