@@ -249,15 +249,15 @@ def test_scores_in_blocks(spark, monkeypatch):
     rows = lambda df: sorted([(r[0], r[1], r[2] if r[2] is None else "nan" if r[2] != r[2] else round(r[2], 9)) for r in df.collect()], key=lambda r: (*key(r), str(r[2])))
     want = vectors.scores(v, q, most=10_000)
     assert "MapInArrow" not in want._jdf.queryExecution().toString()
-    for side, fill in ((4096, 3800), (7, 10)):
-        monkeypatch.setattr(vectors, "SIDE", side)
+    for sides, fill in ((vectors.SIDES, vectors.FILL), ((7, 6), (10, 10))):
+        monkeypatch.setattr(vectors, "SIDES", sides)
         monkeypatch.setattr(vectors, "FILL", fill)
-        monkeypatch.setattr(vectors, "BATCH", 5 if side == 7 else 1 << 18)
+        monkeypatch.setattr(vectors, "BATCH", 5 if sides == (7, 6) else 1 << 18)
         got = vectors.scores(v, q)
         assert got.dtypes == want.dtypes and rows(got) == rows(want)
         # No join of single rows, and no block of pairs decides alone how many tasks there are.
         assert "MapInArrow" in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
-        assert got.rdd.getNumPartitions() == (1 if side == 4096 else 28)
+        assert got.rdd.getNumPartitions() == (28 if sides == (7, 6) else 1)
         known = want.where("query IS NOT NULL AND photo_id IS NOT NULL").join(q.where("qvec IS NOT NULL").select("query").distinct(), "query", "left_semi").select("query", "photo_id", "score")
         assert rows(vectors.scores_arrow(v, q)) == rows(known)
     s = rng.normal(size=5000)
