@@ -49,6 +49,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_afresh(df: DataFrame) -> DataFrame:
+    """``durable`` for loops: also cut off is Spark's estimate of the size, which a checkpoint inherits.
+
+    A join multiplies the estimates of both sides. Rounds of joins square it again and again, until
+    the driver has no memory or time left for its digits.
+    """
+    kept = durable(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), df.sparkSession)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of a wide table: Parquet in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -95,13 +105,13 @@ def components(edges: DataFrame) -> DataFrame:
     aggregate, and nothing is collected.
     """
     lo, hi = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-    left = durable(edges.where("a <> b").select(hi, lo).distinct())
+    left = durable_afresh(edges.where("a <> b").select(hi, lo).distinct())
     roots = None
     while any_row(left):
-        hook = durable(left.groupBy("a").agg(F.min("b").alias("p")))
+        hook = durable_afresh(left.groupBy("a").agg(F.min("b").alias("p")))
         while True:
             up = hook.select(F.col("a").alias("u"), F.col("p").alias("pp"))
-            hook = durable(hook.join(up, hook.p == up.u, "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            hook = durable_afresh(hook.join(up, hook.p == up.u, "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
             moved = any_row(hook.where("moved"))
             hook = hook.select("a", "p")
             if not moved:
@@ -109,12 +119,12 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = hook.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
-            roots = durable(
+            roots = durable_afresh(
                 roots.join(hook, roots.root == hook.a, "left").select("node", F.coalesce("p", "root").alias("root")).unionByName(hook.select(F.col("a").alias("node"), F.col("p").alias("root")))
             )
         ra, rb = hook.select(F.col("a").alias("ka"), F.col("p").alias("pa")), hook.select(F.col("a").alias("kb"), F.col("p").alias("pb"))
         new = left.join(ra, left.a == ra.ka, "left").join(rb, left.b == rb.kb, "left").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y"))
-        left = durable(new.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        left = durable_afresh(new.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     if roots is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
