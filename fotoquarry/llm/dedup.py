@@ -25,7 +25,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: bits among the first 128 in which two fingerprints that meet may differ.
 WIDE, TABLES, APART = 512, 96, 34
 #: Counters by which shingles are ordered, rare ones first, and the parts in which they are added up.
-COUNTERS, COUNTER_PARTS = 1 << 21, 16
+COUNTERS, COUNTER_PARTS = 1 << 21, 256
 #: Candidates of a text that meet it in one place.
 BLOCK = 512
 #: Bytes of text, and texts, of each side that one task compares with each other.
@@ -374,7 +374,7 @@ def _counts(texts: DataFrame, width: int) -> np.ndarray:
     rows = lambda found: pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in found.values()], pa.binary())], ["part", "counts"])
 
     def count(batches):
-        found = np.zeros(COUNTERS, np.int64)
+        found = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 own = np.unique(shingle_hashes(text, width))
@@ -392,7 +392,7 @@ def _counts(texts: DataFrame, width: int) -> np.ndarray:
 
     out = np.zeros((COUNTER_PARTS, size), "<u2")
     kind = "part long, counts binary"
-    for part, counts in texts.select("text").mapInArrow(count, kind).repartition(COUNTER_PARTS, "part").mapInArrow(added, kind).collect():
+    for part, counts in texts.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(added, kind).collect():
         out[part] = np.frombuffer(counts, "<u2")
     return out.ravel()
 
